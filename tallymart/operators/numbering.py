@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymart.session import ensure_checkpoint_dir
 
-_WITHIN = F.lit((1 << 33) - 1)
+_WITHIN = (1 << 33) - 1  # row part of monotonically_increasing_id
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
