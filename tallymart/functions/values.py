@@ -7,26 +7,39 @@ from pyspark.sql import functions as F
 
 from tallymart.schema import MONEY
 
-# The white space that Python's str.strip removes, as one regex class.
-_BLANK = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_BLANK}+|{_BLANK}+$"
+# The white space that Python's str.strip removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Accepted number spelling; suffixes (12d), inf and nan are not numbers.
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INTEGER = r"^[+-]?\d+$"
-
-# The date spellings; one separator per date, day and month of 1-2 digits.
-YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$"
-DAY_FIRST = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"
-YEAR_FIRST_DASHED = r"^\d{4}-\d{1,2}-\d{1,2}$"
+NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+INTEGER = r"[+-]?[0-9]+"
+
+# The date spellings, one separator per date, day and month of 1-2 digits, years
+# from 1. The last alternative takes everything else, so that one replacement both reorders the
+# parts of a date and empties what is not one.
+_DATE = (
+    r"(?s)^(?:(?!0000)([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})"
+    r"|([0-9]{1,2})([-/.])([0-9]{1,2})\6(?!0000)([0-9]{4}))$|^.*$"
+)
+_DATE_ISO = "$1$8-$3$7-$4$5"
+_DATE_YEAR_FIRST = r"(?s)^(?!0000)([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})$|^.*$"
+_DATE_YEAR_FIRST_ISO = "$1-$2-$3"
 
 # Currency signs; the comma is the thousands separator.
 CURRENCY_SIGNS = "¥￥"
 
 
+# Each expression below names its input once. Catalyst copies expressions when it merges
+# projections and pushes filters, so a second mention would be computed again each time.
+
+
 def strip(col: Column) -> Column:
-    """Trim Unicode white space, not only the ASCII space that ``trim`` removes."""
-    return F.regexp_replace(col, _EDGES, "")
+    """Trim Unicode white space, not only the ASCII space that ``trim`` removes by default."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def normalize_id(col: Column) -> Column:
@@ -35,40 +48,29 @@ def normalize_id(col: Column) -> Column:
 
 def parse_date(col: Column) -> Column:
     """Six spellings: year first or day first, with ``-``, ``/`` or ``.`` used throughout."""
-    text = strip(col)
-    dashed = F.translate(text, "/.", "--")
-    return _in_calendar(
-        F.when(text.rlike(YEAR_FIRST), F.try_to_date(dashed, "yyyy-M-d")).when(
-            text.rlike(DAY_FIRST), F.try_to_date(dashed, "d-M-yyyy")
-        )
-    )
+    return F.regexp_replace(strip(col), _DATE, _DATE_ISO).try_cast("date")
 
 
 def parse_date_year_first(col: Column) -> Column:
     """Dashboard parsing: separators are interchangeable, but only year-month-day passes."""
-    dashed = F.translate(strip(col), "/.", "--")
-    return _in_calendar(
-        F.when(dashed.rlike(YEAR_FIRST_DASHED), F.try_to_date(dashed, "yyyy-M-d"))
-    )
+    return F.regexp_replace(strip(col), _DATE_YEAR_FIRST, _DATE_YEAR_FIRST_ISO).try_cast("date")
 
 
-def _in_calendar(date: Column) -> Column:
-    # Spark knows a year 0, the reference calendar starts at year 1.
-    return F.when(date >= F.lit("0001-01-01").cast("date"), date)
+def _plain_number(col: Column) -> Column:
+    """The stripped text if it spells a number, otherwise the empty text."""
+    return F.regexp_extract(strip(col), f"^({NUMBER})$", 1)
 
 
 def money_text(col: Column) -> Column:
     """Amount text without currency signs and thousands separators."""
-    return strip(F.translate(strip(col), CURRENCY_SIGNS + ",", ""))
+    return F.translate(strip(col), CURRENCY_SIGNS + ",", "")
 
 
 def number(col: Column) -> Column:
     """Text to DOUBLE, null where the text is not a plain number."""
-    text = strip(col)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return _plain_number(col).try_cast("double")
 
 
 def money(col: Column) -> Column:
     """Amount text to DECIMAL(18,2), rounded half up; null if not a number or too large."""
-    text = money_text(col)
-    return F.when(text.rlike(NUMBER), text.try_cast(MONEY))
+    return _plain_number(money_text(col)).try_cast(MONEY)

@@ -27,70 +27,81 @@ _TYPE_NAMES = {
     "boolean": "bool",
 }
 TEXT_TYPE = "str"
+# Cell texts that make a column boolean.
+BOOLEANS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 REPORT = ["table_name", "section", "column_name", "metric", "value"]
 _ROWS = "_rows"
 
 
 class Metrics:
-    """A set of named aggregates over one table, evaluated together and returned as rows."""
+    """Named aggregates over one table, evaluated together and returned as rows.
+
+    Parsed cells are prepared as columns below the aggregate, so each is parsed once per row
+    however many metrics look at it.
+    """
 
     def __init__(self, table_name: str):
         self.table_name = table_name
-        self._entries: list[tuple[str, str | None, str, Column, bool]] = []
+        self._prepared: dict[str, Column] = {}
+        self._counted: dict[str, Column] = {}
+        self._lines: list[Column] = []
+
+    def prepare(self, name: str, value: Column) -> Column:
+        self._prepared[name] = value
+        return F.col(name)
 
     def add(self, section: str, column: str | None, metric: str, value: Column) -> None:
-        self._entries.append((section, column, metric, value, False))
+        """A metric computed by an aggregate."""
+        name = f"m{len(self._counted)}"
+        self._counted[name] = value
+        self._line(section, column, metric, F.col(name))
 
     def state(self, section: str, column: str | None, metric: str, value: str) -> None:
-        """A fact known from the schema alone."""
-        self._entries.append((section, column, metric, F.lit(value), True))
+        """A metric known from the schema alone."""
+        self._line(section, column, metric, F.lit(value))
 
-    def rows(self, df: DataFrame) -> DataFrame:
-        names = [f"m{i}" for i in range(len(self._entries))]
-        counted = df.agg(
-            F.count(F.lit(1)).alias(_ROWS),
-            *[
-                e[3].alias(name)
-                for name, e in zip(names, self._entries, strict=True)
-                if not e[4]
-            ],
-        )
-        lines = [
+    def _line(self, section: str, column: str | None, metric: str, value: Column) -> None:
+        self._lines.append(
             F.struct(
                 F.lit(self.table_name).alias("table_name"),
                 F.lit(section).alias("section"),
                 F.lit(column).cast("string").alias("column_name"),
                 F.lit(metric).alias("metric"),
-                (value if stated else F.col(name)).cast("string").alias("value"),
-            )
-            for name, (section, column, metric, value, stated) in zip(
-                names, self._entries, strict=True
+                value.cast("string").alias("value"),
             )
-        ]
-        return counted.select(F.inline(F.array(*lines)))
+        )
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        counted = df.withColumns(self._prepared) if self._prepared else df
+        counted = counted.agg(
+            F.count(F.lit(1)).alias(_ROWS), *[c.alias(n) for n, c in self._counted.items()]
+        )
+        return counted.select(F.inline(F.array(*self._lines)))
 
 
 def _is_text(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
 
 
-def _reported_type(df: DataFrame, column: str) -> Column:
+def _reported_type(m: Metrics, df: DataFrame, column: str) -> Column:
     """Type name of a column. Text columns are typed by their content, as a CSV reader would:
     all whole numbers, all numbers (or nothing at all), all booleans, otherwise text."""
     if not _is_text(df, column):
         name = df.schema[column].dataType.simpleString()
         return F.max(F.lit(_TYPE_NAMES.get(name, TEXT_TYPE)))
-    cell = F.col(column)
-    text = values.strip(cell)
-    all_of = lambda condition: F.coalesce(F.bool_and(condition), F.lit(True))
-    complete = F.count_if(cell.isNull()) == 0
+    text = m.prepare(f"_text_{column}", values.strip(F.col(column)))
+    filled, rows = F.count(column), F.count(F.lit(1))
+
+    def all_are(condition: Column) -> Column:
+        return F.coalesce(F.bool_and(condition), F.lit(True))
+
     return (
-        F.when((F.count(cell) == 0) & ~complete, "float64")
-        .when(F.count(F.lit(1)) == 0, TEXT_TYPE)
-        .when(all_of(text.rlike(values.INTEGER)) & complete, "int64")
-        .when(all_of(text.rlike(values.NUMBER)), "float64")
-        .when(all_of(text.isin("True", "False", "TRUE", "FALSE", "true", "false")) & complete, "bool")
+        F.when(rows == 0, TEXT_TYPE)
+        .when(filled == 0, "float64")
+        .when(all_are(text.rlike(f"^{values.INTEGER}$")) & (filled == rows), "int64")
+        .when(all_are(text.rlike(f"^{values.NUMBER}$")), "float64")
+        .when(all_are(text.isin(BOOLEANS)) & (filled == rows), "bool")
         .otherwise(TEXT_TYPE)
     )
 
@@ -101,7 +112,7 @@ def add_basic_info(m: Metrics, df: DataFrame) -> None:
     m.state("basic_info", None, "column_count", str(len(df.columns)))
     for position, column in enumerate(df.columns):
         m.state("basic_info", column, "position", str(position))
-        m.add("basic_info", column, "dtype", _reported_type(df, column))
+        m.add("basic_info", column, "dtype", _reported_type(m, df, column))
 
 
 def add_missing(m: Metrics, df: DataFrame) -> None:
@@ -133,8 +144,10 @@ def add_dates(m: Metrics, df: DataFrame) -> None:
     if not _exists(m, "dates", df, "date"):
         return
     cell = F.col("date")
-    parsed = values.parse_date(cell) if _is_text(df, "date") else cell.cast("date")
-    text = values.strip(cell.cast("string"))
+    parsed = m.prepare(
+        "_date", values.parse_date(cell) if _is_text(df, "date") else cell.cast("date")
+    )
+    text = m.prepare("_date_text", values.strip(cell.cast("string")))
     dash, slash, dot = (F.contains(text, F.lit(sign)) for sign in "-/.")
     m.add("dates", "date", "total_count", F.count(F.lit(1)))
     m.add("dates", "date", "unparseable_count", F.count_if(parsed.isNull()))
@@ -151,7 +164,7 @@ def add_qty(m: Metrics, df: DataFrame) -> None:
     if not _exists(m, "qty", df, "qty"):
         return
     cell = F.col("qty")
-    number = values.number(cell.cast("string"))
+    number = m.prepare("_qty", values.number(cell.cast("string")))
     m.add("qty", "qty", "missing_count", F.count_if(cell.isNull()))
     m.add("qty", "qty", "non_numeric_count", F.count_if(number.isNull() & cell.isNotNull()))
     m.add("qty", "qty", "less_or_equal_zero_count", F.count_if(number <= 0))
@@ -162,7 +175,7 @@ def add_amount(m: Metrics, df: DataFrame) -> None:
     if not _exists(m, "amount", df, "amount"):
         return
     cell = F.col("amount").cast("string")
-    number = values.number(values.money_text(cell))
+    number = m.prepare("_amount", values.number(values.money_text(cell)))
     m.add("amount", "amount", "missing_count", F.count_if(cell.isNull()))
     signed = cell.rlike(f"[{values.CURRENCY_SIGNS}]")
     m.add("amount", "amount", "currency_symbol_count", F.count_if(signed))

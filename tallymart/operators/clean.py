@@ -11,6 +11,10 @@ from tallymart.functions import values
 from tallymart.functions.sizes import broadcast_if_small
 from tallymart.schema import SALES_COLUMNS
 
+# First values that BIGINT and DECIMAL(18,2) cannot hold.
+TOO_MANY = float(2**63)
+TOO_MUCH = 1e16
+
 COPIES = "copies"
 REASON = "reject_reason"
 
@@ -66,11 +70,11 @@ def _normalized(raw: DataFrame) -> DataFrame:
 
 
 def _valid_cells() -> dict[str, Column]:
-    """What a row must satisfy on its own. Text too large for the target type is invalid."""
+    """What a row must satisfy on its own. Numbers too large for their type are invalid."""
     return {
         "invalid_date": F.col("date").isNotNull(),
-        "invalid_qty": (F.col("_qty") > 0) & F.col("qty").isNotNull(),
-        "invalid_amount": (F.col("_amount") > 0) & F.col("amount").isNotNull(),
+        "invalid_qty": (F.col("_qty") > 0) & (F.col("_qty") < TOO_MANY),
+        "invalid_amount": (F.col("_amount") > 0) & (F.col("_amount") < TOO_MUCH),
     }
 
 
