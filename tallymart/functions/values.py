@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.schema import MONEY
@@ -33,8 +33,19 @@ _DATE_YEAR_FIRST_ISO = "$1-$2-$3"
 CURRENCY_SIGNS = "¥￥"
 
 
-# Each expression below names its input once. Catalyst copies expressions when it merges
-# projections and pushes filters, so a second mention would be computed again each time.
+# Each expression below names its input once: Catalyst copies expressions when it merges
+# projections and pushes filters, and every copy is computed again. ``computed_once`` is for
+# cells that several later expressions look at.
+
+
+def computed_once(df: DataFrame, cells: dict[str, Column], keep: list[Column]) -> DataFrame:
+    """The ``keep`` columns and the given cells, each cell evaluated exactly once per row.
+
+    Inlining a one-element array keeps filters on the cells from being pushed below it, where
+    they would evaluate the parsing a second time.
+    """
+    row = F.struct(*[value.alias(name) for name, value in cells.items()])
+    return df.select(*keep, F.inline(F.array(row)))
 
 
 def strip(col: Column) -> Column:
@@ -56,21 +67,21 @@ def parse_date_year_first(col: Column) -> Column:
     return F.regexp_replace(strip(col), _DATE_YEAR_FIRST, _DATE_YEAR_FIRST_ISO).try_cast("date")
 
 
-def _plain_number(col: Column) -> Column:
+def number_text(col: Column) -> Column:
     """The stripped text if it spells a number, otherwise the empty text."""
     return F.regexp_extract(strip(col), f"^({NUMBER})$", 1)
 
 
 def money_text(col: Column) -> Column:
-    """Amount text without currency signs and thousands separators."""
-    return F.translate(strip(col), CURRENCY_SIGNS + ",", "")
+    """Amount text without currency signs and thousands separators, not yet stripped."""
+    return F.translate(col, CURRENCY_SIGNS + ",", "")
 
 
 def number(col: Column) -> Column:
     """Text to DOUBLE, null where the text is not a plain number."""
-    return _plain_number(col).try_cast("double")
+    return number_text(col).try_cast("double")
 
 
 def money(col: Column) -> Column:
     """Amount text to DECIMAL(18,2), rounded half up; null if not a number or too large."""
-    return _plain_number(money_text(col)).try_cast(MONEY)
+    return number_text(money_text(col)).try_cast(MONEY)

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import values
 from tallymart.functions.sizes import broadcast_if_small
-from tallymart.schema import SALES_COLUMNS
-
-# First values that BIGINT and DECIMAL(18,2) cannot hold.
-TOO_MANY = float(2**63)
-TOO_MUCH = 1e16
+from tallymart.schema import MONEY, SALES_COLUMNS
 
 COPIES = "copies"
 REASON = "reject_reason"
@@ -51,21 +47,31 @@ def _first_per_key(df: DataFrame, key: str, order: str | None) -> DataFrame:
     return first.drop(order) if order else first
 
 
-def _normalized(raw: DataFrame) -> DataFrame:
+def _normalized(raw: DataFrame, keep: list[str]) -> DataFrame:
     """Cleaned cells beside what the rules still need: the quantity before truncation and the
-    amount before rounding. Other columns pass through."""
-    kept = [c for c in raw.columns if c not in SALES_COLUMNS]
-    return raw.select(
-        values.normalize_id(F.col("order_id")).alias("order_id"),
-        values.parse_date(F.col("date")).alias("date"),
-        values.normalize_id(F.col("store_id")).alias("store_id"),
-        values.normalize_id(F.col("product_id")).alias("product_id"),
-        values.number(F.col("qty")).alias("_qty"),
-        values.number(F.col("qty")).try_cast("bigint").alias("qty"),
-        values.number(values.money_text(F.col("amount"))).alias("_amount"),
-        values.money(F.col("amount")).alias("amount"),
-        "payment",
-        *kept,
+    amount before rounding."""
+    cells = values.computed_once(
+        raw,
+        {
+            "order_id": values.normalize_id(F.col("order_id")),
+            "date": values.parse_date(F.col("date")),
+            "store_id": values.normalize_id(F.col("store_id")),
+            "product_id": values.normalize_id(F.col("product_id")),
+            "_qty": values.number(F.col("qty")),
+            "_amount": values.number_text(values.money_text(F.col("amount"))),
+        },
+        [F.col(c) for c in keep],
+    )
+    return cells.select(
+        *keep,
+        "order_id",
+        "date",
+        "store_id",
+        "product_id",
+        F.col("_qty").try_cast("bigint").alias("qty"),
+        F.col("_amount").try_cast(MONEY).alias("amount"),
+        "_qty",
+        F.col("_amount").try_cast("double").alias("_amount"),
     )
 
 
@@ -73,8 +79,8 @@ def _valid_cells() -> dict[str, Column]:
     """What a row must satisfy on its own. Numbers too large for their type are invalid."""
     return {
         "invalid_date": F.col("date").isNotNull(),
-        "invalid_qty": (F.col("_qty") > 0) & (F.col("_qty") < TOO_MANY),
-        "invalid_amount": (F.col("_amount") > 0) & (F.col("_amount") < TOO_MUCH),
+        "invalid_qty": (F.col("_qty") > 0) & F.col("qty").isNotNull(),
+        "invalid_amount": (F.col("_amount") > 0) & F.col("amount").isNotNull(),
     }
 
 
@@ -97,7 +103,7 @@ def clean_sales(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataF
     stay equal, so the only dedup is the final one.
     """
     valid = reduce(lambda a, b: a & b, _valid_cells().values())
-    rows = _normalized(raw.select(*SALES_COLUMNS)).where(valid)
+    rows = _normalized(raw, ["payment"]).where(valid)
     return keep_known(rows, stores, products).select(*SALES_COLUMNS).dropDuplicates()
 
 
@@ -105,8 +111,8 @@ def judge(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
     """Every distinct raw row with its cleaned cells, its number of copies and the first rule
     it breaks (null if none). Raw cells are kept under ``raw_`` names."""
     distinct = raw.groupBy(*SALES_COLUMNS).agg(F.count(F.lit(1)).alias(COPIES))
-    raw_cells = [F.col(c).alias(f"raw_{c}") for c in SALES_COLUMNS]
-    rows = _normalized(distinct.select(*raw_cells, *SALES_COLUMNS, COPIES))
+    raw_cells = {f"raw_{c}": F.col(c) for c in SALES_COLUMNS}
+    rows = _normalized(distinct.withColumns(raw_cells), ["payment", COPIES, *raw_cells])
 
     def flagged(dimension: DataFrame, key: str, flag: str) -> DataFrame:
         return broadcast_if_small(
