@@ -90,22 +90,33 @@ def _reported_type(m: Metrics, df: DataFrame, column: str) -> Column:
     if not _is_text(df, column):
         name = df.schema[column].dataType.simpleString()
         return F.max(F.lit(_TYPE_NAMES.get(name, TEXT_TYPE)))
-    text = m.prepare(f"_text_{column}", values.strip(F.col(column)))
+    kind = m.prepare(f"_kind_{column}", _kind(F.col(column)))
     filled, rows = F.count(column), F.count(F.lit(1))
-
-    def all_are(condition: Column) -> Column:
-        return F.coalesce(F.bool_and(condition), F.lit(True))
-
     return (
         F.when(rows == 0, TEXT_TYPE)
         .when(filled == 0, "float64")
-        .when(all_are(text.rlike(f"^{values.INTEGER}$")) & (filled == rows), "int64")
-        .when(all_are(text.rlike(f"^{values.NUMBER}$")), "float64")
-        .when(all_are(text.isin(BOOLEANS)) & (filled == rows), "bool")
+        .when((F.max(kind) == _WHOLE) & (filled == rows), "int64")
+        .when(F.max(kind) <= _NUMERIC, "float64")
+        .when((F.min(kind) == _BOOLEAN) & (F.max(kind) == _BOOLEAN) & (filled == rows), "bool")
         .otherwise(TEXT_TYPE)
     )
 
 
+# What a cell's text looks like, from the narrowest to the widest.
+_WHOLE, _NUMERIC, _BOOLEAN, _TEXT = range(4)
+
+
+def _kind(text: Column) -> Column:
+    # Signs, digits and the point all sort before ":", so most text skips the patterns.
+    return (
+        F.when(text.isNull(), None)
+        .when(text >= ":", F.when(text.isin(BOOLEANS), _BOOLEAN).otherwise(_TEXT))
+        .when(text.rlike(rf"^\s*{values.INTEGER}\s*$"), _WHOLE)
+        .when(text.rlike(rf"^\s*{values.NUMBER}\s*$"), _NUMERIC)
+        .otherwise(_TEXT)
+    )
+
+
 def add_basic_info(m: Metrics, df: DataFrame) -> None:
     """Row and column count, and position and type of each column."""
     m.add("basic_info", None, "row_count", F.count(F.lit(1)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import values
 from tallymart.functions.sizes import broadcast_if_small
-from tallymart.schema import MONEY, SALES_COLUMNS
+from tallymart.schema import MONEY
 from tallymart.sources.star import Star
 
 
@@ -150,20 +150,17 @@ def raw_products(spark: SparkSession, folder: str) -> DataFrame:
 def unchecked(spark: SparkSession, folder: str) -> Star:
     """Raw sales with ids normalised and cells typed, but nothing rejected: a star with
     unknown references, null dates and null amounts."""
-    cells = values.computed_once(
-        raw_sales(spark, folder),
-        {
-            "order_id": values.normalize_id(F.col("order_id")),
-            "date": values.parse_date(F.col("date")),
-            "store_id": values.normalize_id(F.col("store_id")),
-            "product_id": values.normalize_id(F.col("product_id")),
-            "qty": values.number(F.col("qty")).try_cast("bigint"),
-            "amount": values.money(F.col("amount")),
-        },
-        [F.col("payment")],
-    )
+    raw = raw_sales(spark, folder)
     return Star(
-        sales=cells.select(*SALES_COLUMNS),
+        sales=raw.select(
+            values.normalize_id(F.col("order_id")).alias("order_id"),
+            values.parse_date(F.col("date")).alias("date"),
+            values.normalize_id(F.col("store_id")).alias("store_id"),
+            values.normalize_id(F.col("product_id")).alias("product_id"),
+            values.number(F.col("qty")).try_cast("bigint").alias("qty"),
+            values.money(F.col("amount")).alias("amount"),
+            "payment",
+        ),
         stores=raw_stores(spark, folder),
         products=raw_products(spark, folder),
     )
