@@ -1,0 +1,192 @@
+from __future__ import annotations
+
+from datetime import date
+from decimal import Decimal
+
+import pytest
+
+from tallymart.operators import dashboard, facts, trend
+from tallymart.sources.star import Star
+from tests.conftest import CLEAN, sales_of, values_of
+
+MAY, JULY, LAST = date(2026, 5, 1), date(2026, 7, 24), date(2026, 7, 31)
+DAILY = [(MAY, 64.0, 1, 64.0), (JULY, 1050.5, 1, 1050.5), (LAST, 66.0, 1, 66.0)]
+
+
+def with_sales(spark, star, rows):
+    return Star(sales_of(spark, rows), star.stores, star.products)
+
+
+def test_daily(star):
+    assert values_of(facts.daily_sales(star)) == DAILY
+    assert values_of(dashboard.daily_sales(star)) == DAILY
+    assert values_of(facts.aov_trend(star)) == DAILY
+
+
+def test_monthly(star):
+    assert values_of(facts.monthly_sales(star)) == [
+        ("2026-05", 64.0, 2, 1, 64.0),
+        ("2026-07", 1116.5, 6, 2, 558.25),
+    ]
+
+
+def test_top_products(star):
+    rows = dashboard.top_products(star).select("product_id", "revenue").collect()
+    assert [tuple(r) for r in rows] == [("P04", 1038.5), ("P20", 66.0), ("P01", 64.0), ("P15", 12.0)]
+    assert len(values_of(dashboard.top_products(star, limit=2))) == 2
+
+
+def test_store_sales(star):
+    rows = dashboard.store_sales(star).select(
+        "store_id", "revenue", "order_count", "qty", "average_order_value"
+    )
+    assert values_of(rows) == [
+        ("S02", 1038.5, 1, 1, 1038.5), ("S01", 76.0, 2, 4, 38.0), ("S05", 66.0, 1, 3, 66.0),
+    ]
+
+
+def test_category_sales_and_share(star):
+    assert values_of(dashboard.category_sales(star)) == [("主食", 1102.5, 3, 2), ("饮料", 78.0, 5, 2)]
+    shares = dashboard.category_share(star).select("product_category", "share_percent")
+    assert values_of(shares) == [("主食", 93.4), ("饮料", 6.6)]
+
+
+def test_kpi(star):
+    assert values_of(dashboard.kpi_summary(star)) == [(1180.5, 3, 393.5, 3)]
+
+
+def test_order_over_two_days_counts_once_per_day(spark, star):
+    rows = [CLEAN[0], (CLEAN[0][0], LAST, *CLEAN[0][2:])]
+    [kpi] = values_of(dashboard.kpi_summary(with_sales(spark, star, rows)))
+    assert kpi == (128.0, 2, 64.0, 1)
+
+
+def test_verdict(spark, star):
+    assert values_of(trend.aov_verdict(star)) == [("up", 64.0, 66.0, 2.0, 3)]
+    one = with_sales(spark, star, CLEAN[:1])
+    assert values_of(trend.aov_verdict(one)) == [("insufficient", None, None, None, 1)]
+    flat = with_sales(spark, star, [CLEAN[0], (CLEAN[0][0], LAST, *CLEAN[0][2:])])
+    assert values_of(trend.aov_verdict(flat)) == [("flat", 64.0, 64.0, 0.0, 2)]
+    assert values_of(trend.aov_recent(star)) == [("down", 1050.5, 66.0, 984.5, 2)]
+    assert values_of(trend.aov_recent(star, 7)) == [("insufficient", None, None, None, 1)]
+
+
+def test_compare_periods(star):
+    [row] = trend.aov_compare(star, ("2026-05-01", "2026-07-24"), ("2026-07-01", "2026-07-31")).collect()
+    assert (row.first_revenue, row.first_order_count, row.first_aov) == (1114.5, 2, 557.25)
+    assert (row.second_revenue, row.second_order_count, row.second_aov) == (1116.5, 2, 558.25)
+    assert (row.trend, row.change) == ("up", 1.0)
+    [none] = trend.aov_compare(star, ("2020-01-01", "2020-01-02"), ("2026-07-01", "2026-07-31")).collect()
+    assert (none.first_aov, none.trend, none.change) == (None, "insufficient", None)
+
+
+def test_ranking_by_category_never_returns_another(star):
+    rows = values_of(facts.product_rank(star, category="饮品", limit=1))
+    assert rows == [("P20", "梅子酒", "饮料", 66.0, 3, 1)]
+    assert {r[2] for r in values_of(facts.product_rank(star, category="饮品", limit=100))} == {"饮料"}
+
+
+def test_unknown_name_empties_one_query_but_not_a_ranking(star):
+    assert len(values_of(facts.product_rank(star, category="zzz", limit=100))) == 4
+    assert len(values_of(facts.product_quantity(star, product_name="zzz", limit=100))) == 4
+    assert values_of(facts.product_revenue(star, "zzz")) == []
+    assert values_of(facts.product_revenue(star, None)) == []
+    assert values_of(facts.category_revenue(star, "zzz")) == []
+    assert values_of(facts.store_revenue(star, "")) == []
+
+
+@pytest.mark.parametrize("order", ["desc", "DESC", "ASC", None, 1])
+def test_only_asc_sorts_upwards(star, order):
+    first = values_of(facts.product_rank(star, order=order))[0][0]
+    assert first == "P04"
+    assert values_of(facts.product_rank(star, order="asc"))[0][0] == "P15"
+
+
+def test_ranking_details(star):
+    assert values_of(facts.product_quantity(star, limit=2)) == [
+        ("P20", "梅子酒", "饮料", 3, 66.0, 1), ("P01", "豚骨拉面", "主食", 2, 64.0, 1),
+    ]
+    assert values_of(facts.category_rank(star)) == [("主食", 1102.5, 3, 2)]
+    assert values_of(facts.store_rank(star, "asc", "2")) == [
+        ("S05", "Night Grill", 66.0, 3, 1), ("S01", "Corner Soup", 76.0, 4, 2),
+    ]
+    assert values_of(facts.store_revenue(star, "makai")) == [("S02", "Makai Poke", 1038.5, 1, 1)]
+    assert values_of(facts.category_revenue(star, "饮料类")) == [("饮料", 78.0, 5, 2)]
+    assert values_of(facts.product_orders(star, "三文鱼POKE")) == [("P04", "三文鱼poke", 1, 1, 1038.5)]
+    assert values_of(facts.product_monthly_sales(star, "梅子酒")) == [("2026-07", "梅子酒", 66.0, 3, 1)]
+    assert values_of(facts.product_daily_sales(star, "梅子酒")) == [(LAST, "梅子酒", 66.0, 3, 1)]
+    assert len(values_of(facts.product_revenue_month(star, "绿茶", "2026-07"))) == 1
+    assert values_of(facts.product_revenue_month(star, "绿茶", "2026-06")) == []
+    assert values_of(facts.category_performance(star)) == [("主食", 1102.5, 3, 2), ("饮料", 78.0, 5, 2)]
+    assert values_of(facts.dataset_summary(star)) == [(4, 5, 9, MAY, LAST)]
+    assert values_of(facts.payment_sales(star)) == [
+        ("cash", 1050.5, 3, 1), (None, 66.0, 3, 1), ("card", 64.0, 2, 1),
+    ]
+
+
+def test_date_bounds(star):
+    assert values_of(facts.daily_sales(star, "2026-07-24", "2026-07-24")) == DAILY[1:2]
+    assert values_of(facts.daily_sales(star, "nonsense", "2026-05-31")) == DAILY[:1]
+    assert values_of(dashboard.daily_sales(star, "2026-07-24", "")) == DAILY[1:]
+    with pytest.raises(ValueError, match="Invalid start_date"):
+        dashboard.daily_sales(star, "2026/07/24")
+    with pytest.raises(ValueError, match="Invalid end_date"):
+        dashboard.category_sales(star, None, "soon")
+
+
+def test_nulls_and_orphans(spark, star):
+    rows = [
+        ("A", MAY, "S77", "P77", 1, Decimal("5.00"), None),
+        ("B", None, None, None, 1, Decimal("7.00"), None),
+        (None, LAST, "S01", "P01", 2, None, None),
+    ]
+    odd = with_sales(spark, star, rows)
+    assert values_of(facts.product_rank(odd, limit=100)) == [("P01", "豚骨拉面", "主食", None, 2, 0)]
+    assert values_of(facts.daily_sales(odd)) == [(MAY, 5.0, 1, 5.0), (LAST, None, 0, None)]
+    assert values_of(dashboard.daily_sales(odd)) == [(MAY, 5.0, 1, 5.0), (LAST, 0.0, 0, 0.0)]
+    assert values_of(dashboard.top_products(odd)) == [
+        ("P77", 5.0, 1, 1, None, None), ("P01", 0.0, 2, 0, "豚骨拉面", "主食"),
+    ]
+    assert values_of(dashboard.store_sales(odd))[0] == ("S77", 5.0, 1, 1, None, None, None, 5.0)
+    assert values_of(dashboard.category_sales(odd)) == [("Unknown", 12.0, 2, 2), ("主食", 0.0, 2, 0)]
+    labels = values_of(dashboard.labelled(dashboard.product_sales(odd)))
+    assert ("P77", "P77", "-", "未知分类", "¥5.00") in labels
+    assert values_of(dashboard.kpi_summary(odd)) == [(5.0, 1, 5.0, 1)]
+
+
+def test_empty_sales(spark, star):
+    none = with_sales(spark, star, [])
+    assert values_of(dashboard.kpi_summary(none)) == [(0.0, 0, 0.0, 0)]
+    assert values_of(dashboard.category_share(none)) == []
+    assert values_of(facts.daily_sales(none)) == []
+    assert values_of(facts.dataset_summary(none)) == [(0, 5, 9, None, None)]
+    assert values_of(trend.aov_verdict(none)) == [("insufficient", None, None, None, 0)]
+    assert values_of(trend.aov_recent(none)) == [("insufficient", None, None, None, 0)]
+
+
+def test_dashboard_reads_text_cells(spark, star):
+    rows = [
+        ("A", "2026/05.01", "S01", "P01", 1, "¥1,000.50", None),
+        ("B", "01-05-2026", "S01", "P01", 1, "5", None),
+    ]
+    df = spark.createDataFrame(
+        rows, "order_id string, date string, store_id string, product_id string, qty bigint, amount string, payment string"
+    )
+    dirty = Star(df, star.stores, star.products)
+    assert values_of(dashboard.daily_sales(dirty)) == [(MAY, 1000.5, 1, 1000.5)]
+    assert values_of(dashboard.meta(dirty)) == [(2, 5, 9, MAY, MAY)]
+
+
+def test_positions_and_money(spark, star):
+    ranked = dashboard.ranked_products(star).select("position", "product_id")
+    assert values_of(ranked) == [(1, "P04"), (2, "P20"), (3, "P01"), (4, "P15")]
+    df = spark.createDataFrame([(1234567.5,), (None,), (-3.0,)], "x double")
+    texts = [r[0] for r in df.select(dashboard.format_money(df.x)).collect()]
+    assert texts == ["¥1,234,567.50", "¥0.00", "¥-3.00"]
+
+
+def test_ties_at_the_limit_go_by_key(spark, star):
+    rows = [(f"O{i}", MAY, "S01", p, 1, Decimal("5.00"), None) for i, p in enumerate(["P20", "P04", "P15"])]
+    tied = with_sales(spark, star, rows)
+    assert [r[0] for r in values_of(facts.product_rank(tied, limit=2))] == ["P04", "P15"]
+    assert [r[0] for r in values_of(dashboard.top_products(tied, limit=2))] == ["P04", "P15"]
