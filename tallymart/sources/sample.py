@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import values
 from tallymart.functions.sizes import broadcast_if_small
-from tallymart.schema import MONEY
+from tallymart.schema import MONEY, SALES_COLUMNS
 from tallymart.sources.star import Star
 
 
@@ -26,15 +26,21 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sales(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select(
+    # Columns get their names and types before the join: a semi join on the result can then
+    # sink to the side it belongs to.
+    lines = read(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
-        F.col("o_orderdate").cast("date").alias("date"),
         F.col("l_suppkey").alias("store_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("bigint").alias("qty"),
         F.col("l_extendedprice").cast(MONEY).alias("amount"),
+    )
+    orders = read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_orderdate").cast("date").alias("date"),
         F.col("o_orderpriority").alias("payment"),
     )
+    return lines.join(orders, "order_id").select(*SALES_COLUMNS)
 
 
 def stores(spark: SparkSession, folder: str) -> DataFrame:
