@@ -39,7 +39,7 @@ RAW = [
 
 STORES = [
     ("S01", "Corner Soup", "拉面", "North"),
-    ("S02", "Makai Poke", "轻食", "East"),
+    ("S02", "Harbour Poke", "轻食", "East"),
     ("S03", "Bao House", "点心", "South"),
     ("S04", "Sando Bar", "三明治", "West"),
     ("S05", "Night Grill", "日料", "Centre"),

@@ -21,8 +21,8 @@ def test_names(spark, star):
         "牛肉Poke": "牛肉poke", "拉面": "味增拉面", "": None, None: None, "zzz": None,
         "来一份绿茶吧": "绿茶",
     }
-    assert resolved(spark, ["makai", "  MAKAI poke "], star.stores, "store_name") == {
-        "makai": "Makai Poke", "  MAKAI poke ": "Makai Poke",
+    assert resolved(spark, ["harbour", "  HARBOUR poke "], star.stores, "store_name") == {
+        "harbour": "Harbour Poke", "  HARBOUR poke ": "Harbour Poke",
     }
 
 
@@ -145,7 +145,7 @@ def test_sql_over_registered_tables(spark, star):
         spark, star, "SELECT st.store_name, SUM(s.amount) AS a FROM sales s JOIN stores st USING (store_id) GROUP BY 1;"
     )
     assert {r.store_name: float(r.a) for r in rows.collect()} == {
-        "Corner Soup": 76.0, "Makai Poke": 1038.5, "Night Grill": 66.0,
+        "Corner Soup": 76.0, "Harbour Poke": 1038.5, "Night Grill": 66.0,
     }
 
 

@@ -110,7 +110,7 @@ def test_ranking_details(star):
     assert values_of(facts.store_rank(star, "asc", "2")) == [
         ("S05", "Night Grill", 66.0, 3, 1), ("S01", "Corner Soup", 76.0, 4, 2),
     ]
-    assert values_of(facts.store_revenue(star, "makai")) == [("S02", "Makai Poke", 1038.5, 1, 1)]
+    assert values_of(facts.store_revenue(star, "harbour")) == [("S02", "Harbour Poke", 1038.5, 1, 1)]
     assert values_of(facts.category_revenue(star, "饮料类")) == [("饮料", 78.0, 5, 2)]
     assert values_of(facts.product_orders(star, "三文鱼POKE")) == [("P04", "三文鱼poke", 1, 1, 1038.5)]
     assert values_of(facts.product_monthly_sales(star, "梅子酒")) == [("2026-07", "梅子酒", 66.0, 3, 1)]
