@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallymart.functions import values
 from tallymart.functions.sizes import broadcast_if_small
@@ -15,8 +16,16 @@ from tallymart.schema import MONEY, SALES_COLUMNS
 from tallymart.sources.star import Star
 
 
+# Schemas of the tables read so far; the tables are read-only. Knowing the schema saves a job
+# per table that only looks at a file footer.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
