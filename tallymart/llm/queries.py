@@ -5,21 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymart.llm import simhash
+from tallymart.llm import decontaminate, mixing, quality, simhash
 from tallymart.session import tune
 
+QUALITY_THRESHOLD = 0.3
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    rows = docs.select("doc_id", "text")
+    held_out = quality.fold(F.col("doc_id"), 5) == 0
+    model = quality.train(rows, labels.where(~held_out).select("doc_id", "quality"))
+    scored = quality.with_score(rows, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash_near_dedup,)}
+    return {f.__name__: f for f in (
+        op1_quality_nbsvm,
+        op2_source_mixing,
+        op3_decontaminate,
+        op5_simhash_near_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -103,10 +103,11 @@ class Words:
         return mix(raw)
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Words:
+def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE) -> Words:
+    """Words between the bytes that ``breaks`` marks; other tables give other notions of a word."""
     data = LOWER[data]
     rows = len(at) - 1
-    inside = ~SPACE[data]
+    inside = ~breaks[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[at] = True
     opens = inside.copy()
