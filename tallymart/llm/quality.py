@@ -36,7 +36,8 @@ _U = np.uint64
 
 def _cells(keys: np.ndarray, kind: int) -> np.ndarray:
     """Cell numbers of 64-bit keys of one kind of feature."""
-    spread = (keys + _U(kind + 1) * _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93)
+    salt = _U((kind + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    spread = (keys + salt) * _U(0xD6E8FEB86659FD93)
     spread ^= spread >> _U(32)
     spread *= _U(0xD6E8FEB86659FD93)
     return (spread >> _U(64 - BITS)).astype(np.int64)

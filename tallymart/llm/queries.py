@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import decontaminate, mixing, quality, simhash
-from tallymart.session import tune
+from tallymart.llm import decontaminate, mixing, quality, simhash, urls, warc
+from tallymart.session import fresh_path, tune
 
 QUALITY_THRESHOLD = 0.3
 
+# The rules of the URL filter.
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
@@ -34,16 +43,27 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op4_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    path = warc.write(_table(spark, folder, "pages"), fresh_path(spark, "warc"))
+    return warc.payloads(warc.read(spark, path))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_nbsvm,
         op2_source_mixing,
         op3_decontaminate,
+        op4_warc_chunks,
         op5_simhash_near_dedup,
+        op6_url_filter,
     )}
 
 
