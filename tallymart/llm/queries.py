@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import decontaminate, mixing, quality, simhash, urls, warc
+from tallymart.llm import decontaminate, licenses, mixing, quality, simhash, tokens, urls, warc
 from tallymart.session import fresh_path, tune
 
 QUALITY_THRESHOLD = 0.3
 
+VOCABULARY = "word_bpe_49k.json"
+
 # The rules of the URL filter.
 URL_RULES = [
     ("org/", "allow"),
@@ -56,6 +58,16 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # the vocabulary's place; only this query needs it
+
+    return tokens.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_nbsvm,
@@ -64,8 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_warc_chunks,
         op5_simhash_near_dedup,
         op6_url_filter,
+        op9_license_scan,
+        op10_token_counts,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_scan": licenses.oracle()}
