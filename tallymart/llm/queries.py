@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import decontaminate, graph, licenses, mixing, quality, simhash, tokens, urls, warc
+from tallymart.llm import decontaminate, graph, licenses, maxent, mixing, quality, simhash, tokens, urls, warc
 from tallymart.session import fresh_path, tune
 
 QUALITY_THRESHOLD = 0.3
@@ -58,6 +58,13 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op7_maxent_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held_out = quality.fold(F.col("doc_id"), 7) == 2
+    found = maxent.score_corpus(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_graph_search(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
     return graph.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -81,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_warc_chunks,
         op5_simhash_near_dedup,
         op6_url_filter,
+        op7_maxent_score,
         op8_graph_search,
         op9_license_scan,
         op10_token_counts,
