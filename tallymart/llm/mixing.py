@@ -259,3 +259,65 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         & (tokens_of(frames.col(docs, text_col)) == F.col(key[2])),
     )
     return joined.select(*[frames.col(docs, c) for c in docs.columns], *[F.col(f"`{turn}`.`{n}`") for n in names.values()])
+
+
+def oracle() -> str:
+    """``mix`` with its defaults in DuckDB SQL: one window for each running sum, no levels."""
+    place = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 12) AS BIGINT)"
+    row = place.format(f"'{SEED}', 'block', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(n_tokens AS VARCHAR)")
+    turn = place.format(f"'{SEED}', 'epoch', CAST(epoch AS VARCHAR), coalesce(source, ''), CAST(block AS VARCHAR)")
+    inside = place.format(f"'{SEED}', 'row', CAST(epoch AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''), CAST(n_tokens AS VARCHAR)")
+    return f"""
+WITH RECURSIVE
+units AS (
+  SELECT source, doc_id, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS n_tokens, count(*) AS copies
+  FROM documents GROUP BY ALL),
+totals AS (SELECT source, CAST(sum(n_tokens * copies) AS BIGINT) AS t FROM units GROUP BY 1 HAVING sum(n_tokens * copies) > 0),
+lists AS (SELECT list(CAST(t AS DOUBLE)) AS ts, CAST(sum(t) AS DOUBLE) AS whole, count(*) AS k FROM totals),
+spread(i, bad, good, done) AS (
+  SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE, false
+  UNION ALL
+  SELECT i + 1, CASE WHEN enough THEN bad ELSE x END, CASE WHEN enough THEN x ELSE good END, i = 0 AND enough
+  FROM (
+    SELECT *, -list_sum(list_transform(p, lambda v: v / list_sum(p) * ln(v / list_sum(p)))) >= {ENTROPY_SHARE} * ln(k) AS enough
+    FROM (SELECT *, list_transform(ts, lambda v: pow(v / whole, x)) AS p
+          FROM (SELECT *, CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE (bad + good) / 2 END AS x FROM spread, lists)))
+  WHERE i <= {BISECTIONS} AND NOT done),
+found AS (SELECT CASE WHEN k < 2 THEN 1.0::DOUBLE ELSE good END AS x FROM spread, lists ORDER BY i DESC LIMIT 1),
+fit(i, bad, good, done) AS (
+  SELECT 0, x, 1.0::DOUBLE, false FROM found
+  UNION ALL
+  SELECT i + 1, CASE WHEN fits THEN bad ELSE x END, CASE WHEN fits THEN x ELSE good END, i = 0 AND fits
+  FROM (
+    SELECT *, list_max(list_transform(w, lambda v, j: v * list_max(list_transform(w, lambda u, m: ts[m] / u)) / ts[j])) <= {MAX_EPOCHS} AS fits
+    FROM (SELECT *, list_transform(p, lambda v: v / list_sum(p)) AS w
+          FROM (SELECT *, list_transform(ts, lambda v: pow(v / whole, x)) AS p
+                FROM (SELECT *, CASE WHEN i = 0 THEN bad ELSE (bad + good) / 2 END AS x FROM fit, lists))))
+  WHERE i <= {BISECTIONS} AND NOT done),
+exponent AS (SELECT good AS x FROM fit ORDER BY i DESC LIMIT 1),
+weighted AS (
+  SELECT source, t, pow(t / whole, x) / sum(pow(t / whole, x)) OVER () AS w FROM totals, lists, exponent),
+budgets AS (
+  SELECT source, t, CAST(floor(w * max(t / w) OVER () + 0.5) AS BIGINT) AS budget FROM weighted),
+sizes AS (SELECT source, CAST(ceil(count(*) / {BLOCK_DOCS}) AS BIGINT) AS blocks FROM units GROUP BY 1),
+rows_ AS (
+  SELECT u.*, n_tokens * copies AS weight, t, budget, {row} % blocks AS block
+  FROM units u JOIN budgets b ON u.source IS NOT DISTINCT FROM b.source JOIN sizes s ON u.source IS NOT DISTINCT FROM s.source),
+turns AS (
+  SELECT *, budget - (epoch - 1) * t AS rest, {turn} AS place
+  FROM (SELECT *, unnest(range(1, budget // t + CASE WHEN budget % t > 0 THEN 1 ELSE 0 END + 1)) AS epoch
+        FROM (SELECT source, block, t, budget, sum(weight) AS size FROM rows_ GROUP BY ALL))),
+ordered AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, epoch ORDER BY place, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    row_number() OVER (PARTITION BY source, epoch ORDER BY place, block) AS block_place
+  FROM turns),
+met AS (
+  SELECT r.source, r.doc_id, r.n_tokens, r.copies, r.weight, o.epoch, r.block, o.block_place, o.rest, o.before
+  FROM rows_ r JOIN ordered o ON r.source IS NOT DISTINCT FROM o.source AND r.block = o.block WHERE o.before < o.rest),
+summed AS (
+  SELECT *, before + sum(weight) OVER (
+    PARTITION BY source, block, epoch ORDER BY {inside}, doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM met)
+SELECT source, doc_id, n_tokens, CAST(epoch AS INTEGER) AS epoch, block, block_place, CAST(upto - weight AS BIGINT) AS tokens_before
+FROM (SELECT *, unnest(range(copies)) FROM summed WHERE upto <= rest)
+"""

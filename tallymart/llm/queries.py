@@ -96,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": licenses.oracle()}
+    return {"op2_source_mixing": mixing.oracle(), "op9_license_scan": licenses.oracle()}
