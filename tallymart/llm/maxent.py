@@ -35,7 +35,7 @@ PER_CLASS = 32
 CLASSES = 32  # the last one holds all words outside WORDS
 WORDS = (CLASSES - 1) * PER_CLASS
 BITS = 15
-RATE = 0.5
+RATE = 0.2
 STEP_TOKENS = 8192
 
 _U = np.uint64
