@@ -4,17 +4,34 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MONTH = "month"
+
+# The spellings of a day that loose bounds understand, tried in this order.
+DAY_FORMATS = [
+    "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%Y-%m", "%Y/%m",
+    "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y/%m/%d %H:%M:%S",
+    "%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y",
+    "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y",
+]
+
+
 def loose_day(value: object) -> date | None:
-    """A bound in any spelling pandas reads; empty or unusable means no bound."""
-    if not value:
-        return None
-    parsed = pd.to_datetime(value, errors="coerce")
-    return None if pd.isna(parsed) else parsed.date()
+    """A bound as a date, a time, or text in one of ``DAY_FORMATS``; anything else is no bound."""
+    if isinstance(value, datetime):
+        return value.date()
+    if isinstance(value, date):
+        return value
+    text = value.strip() if isinstance(value, str) else ""
+    for form in DAY_FORMATS:
+        try:
+            return datetime.strptime(text, form).date()
+        except ValueError:
+            continue
+    return None
 
 
 def strict_day(value: str | None, argument: str) -> date | None:
@@ -28,11 +45,19 @@ def strict_day(value: str | None, argument: str) -> date | None:
 
 
 def between(df: DataFrame, start: date | None, end: date | None, column: str = "date") -> DataFrame:
-    """Inclusive range with open ends; a set bound also drops null dates."""
+    """Inclusive range with open ends; a set bound also drops null dates.
+
+    Where the frame has the month folders of the processed layer, the bounds prune them too.
+    """
+    folders = MONTH in df.columns and column == "date"
     if start is not None:
         df = df.where(F.col(column) >= F.lit(start))
+        if folders:
+            df = df.where(F.col(MONTH) >= start.strftime("%Y-%m"))
     if end is not None:
         df = df.where(F.col(column) <= F.lit(end))
+        if folders:
+            df = df.where(F.col(MONTH) <= end.strftime("%Y-%m"))
     return df
 
 
@@ -48,8 +73,11 @@ def between_strict(
     return between(df, first, last, column)
 
 
-def row_limit(value: object) -> int:
-    """Ranking limit: an integer between 1 and 100, and 1 when it cannot be read."""
+def tool_limit(value: object) -> int:
+    """A tool call's limit argument: an integer between 1 and 100, and 1 when it cannot be read.
+
+    For readers of such arguments only; operators take what they are given.
+    """
     try:
         wanted = int(value)  # type: ignore[call-overload]
     except (TypeError, ValueError, OverflowError):
@@ -57,6 +85,28 @@ def row_limit(value: object) -> int:
     return max(1, min(wanted, 100))
 
 
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows, or all of them for None; other limits raise."""
+    if limit is None:
+        return df
+    if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
+        raise ValueError(f"Invalid limit: {limit}")
+    return df.limit(limit)
+
+
+def dashboard_limit(value: object) -> int | None:
+    """A dashboard's limit: an integer from 1 to 100, or None for all rows; others raise."""
+    if value is None:
+        return None
+    try:
+        wanted = int(value)  # type: ignore[call-overload]
+    except (TypeError, ValueError, OverflowError):
+        raise ValueError(f"Invalid limit: {value}") from None
+    if not 1 <= wanted <= 100:
+        raise ValueError(f"Invalid limit: {value}")
+    return wanted
+
+
 def by(column: str, order: object) -> Column:
     """Sort key: only the exact word ``asc`` sorts upwards, whatever else is given sorts down."""
     return F.asc_nulls_first(column) if order == "asc" else F.desc_nulls_last(column)

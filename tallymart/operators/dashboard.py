@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart.functions import values
-from tallymart.functions.bounds import between_strict, row_limit
+from tallymart.functions.bounds import between_strict, dashboard_limit, first_rows
 from tallymart.functions.metrics import TOTAL, as_average, as_percent, as_revenue, measure
 from tallymart.operators.facts import dataset_summary
 from tallymart.sources.star import Star
@@ -28,7 +28,10 @@ def readable(sales: DataFrame) -> DataFrame:
         parsed["date"] = values.parse_date_year_first(F.col("date"))
     if isinstance(sales.schema["amount"].dataType, T.StringType):
         parsed["amount"] = values.money(F.col("amount"))
-    return sales.withColumns(parsed) if parsed else sales
+    if not parsed:
+        return sales
+    others = [F.col(c) for c in sales.columns if c not in parsed]
+    return values.computed_once(sales, parsed, others)
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -68,16 +71,18 @@ def daily_sales(star: Star, start_date=None, end_date=None) -> DataFrame:
 
 
 def _top(star: Star, start_date, end_date, limit) -> DataFrame:
+    wanted = dashboard_limit(limit)
     sales = between_strict(readable(star.sales), start_date, end_date)
-    return (
-        _measured(sales, "product_id")
-        .orderBy(*_largest_first("product_id"))
-        .limit(row_limit(limit))
+    return first_rows(
+        _measured(sales, "product_id").orderBy(*_largest_first("product_id")), wanted
     )
 
 
 def top_products(star: Star, start_date=None, end_date=None, limit=10) -> DataFrame:
-    """The products with most revenue; the name joins only the rows that are left."""
+    """The products with most revenue; the name joins only the rows that are left.
+
+    ``limit`` is 1 to 100, or None for every product; anything else raises.
+    """
     named = star.products.select("product_id", "product_name", "product_category")
     return (
         _top(star, start_date, end_date, limit)
@@ -176,7 +181,9 @@ def category_share(star: Star, start_date=None, end_date=None) -> DataFrame:
 
 
 def ranked_products(star: Star, start_date=None, end_date=None, limit=10) -> DataFrame:
-    """top_products with its position; the window sees at most ``limit`` rows."""
+    """top_products with its position; the window sees at most ``limit`` rows, so it needs one."""
+    if limit is None:
+        raise ValueError("Invalid limit: positions need a limit")
     position = F.row_number().over(Window.orderBy(*_largest_first("product_id")))
     top = _top(star, start_date, end_date, limit).withColumn("position", position.cast("bigint"))
     named = star.products.select("product_id", "product_name", "product_category")

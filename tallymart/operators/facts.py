@@ -3,15 +3,19 @@
 Dates are loose bounds (unusable ones are ignored). Names are matched the way users type them;
 a name that matches nothing empties a query about one entity but does not filter a ranking.
 Where the grouping key is a dimension's key, sales are aggregated first and the dimension joins
-the result, so the fact is shuffled at most once and already combined.
+the result, so the fact is shuffled at most once and already combined. Rankings take any positive
+limit, and None for all rows.
 """
 
 from __future__ import annotations
 
+from calendar import monthrange
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.bounds import between_loose, by, row_limit
+from tallymart.functions.bounds import between, between_loose, by, first_rows
 from tallymart.functions.metrics import TOTAL, as_average, as_revenue, measure
 from tallymart.functions.sizes import broadcast_if_small
 from tallymart.operators.resolve import best_category, best_name
@@ -84,7 +88,7 @@ def _product_ranking(star, by_column, order, limit, name, category, start, end)
     rows = _per_product(
         sales, products, "product_id", "product_name", "product_category", *measures, "order_count"
     )
-    return rows.orderBy(by(by_column, order), "product_id").limit(row_limit(limit))
+    return first_rows(rows.orderBy(by(by_column, order), "product_id"), limit)
 
 
 def _of_product(star: Star, name: object, start: object, end: object) -> tuple[DataFrame, DataFrame]:
@@ -143,11 +147,9 @@ def product_daily_sales(star: Star, product_name, start_date=None, end_date=None
 
 def product_revenue_month(star: Star, product_name, month: str) -> DataFrame:
     """product_revenue within one month, given as YYYY-MM."""
-    first = f"{month}-01"
-    last = F.last_day(F.lit(first).cast("date"))
-    in_month = star.sales.where(
-        (F.col("date") >= F.lit(first).cast("date")) & (F.col("date") <= last)
-    )
+    first = date.fromisoformat(f"{month}-01")
+    last = first.replace(day=monthrange(first.year, first.month)[1])
+    in_month = between(star.sales, first, last)
     return product_revenue(Star(in_month, star.stores, star.products), product_name)
 
 
@@ -166,14 +168,14 @@ def category_rank(star: Star, order="desc", limit=1, start_date=None, end_date=N
     """Categories by revenue."""
     sales = between_loose(star.sales, start_date, end_date)
     rows = _per_category(sales, star.products)
-    return rows.orderBy(by("revenue", order), "category").limit(row_limit(limit))
+    return first_rows(rows.orderBy(by("revenue", order), "category"), limit)
 
 
 def category_revenue(star: Star, category, start_date=None, end_date=None) -> DataFrame:
     """One category with its measures."""
     products = _named(star.products, "product_category", best_category(star.products, category))
     sales = between_loose(star.sales, start_date, end_date)
-    return _per_category(sales, products)
+    return _per_category(_only(sales, products, "product_id"), products)
 
 
 def category_performance(star: Star) -> DataFrame:
@@ -204,7 +206,7 @@ def store_rank(star: Star, order="desc", limit=1, start_date=None, end_date=None
     """Stores by revenue."""
     sales = between_loose(star.sales, start_date, end_date)
     rows = _per_store(sales, star.stores)
-    return rows.orderBy(by("revenue", order), "store_id").limit(row_limit(limit))
+    return first_rows(rows.orderBy(by("revenue", order), "store_id"), limit)
 
 
 def store_revenue(star: Star, store_name, start_date=None, end_date=None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.bounds import strict_day
+from tallymart.functions.bounds import MONTH, strict_day
 from tallymart.functions.metrics import as_average, as_revenue, measure
 from tallymart.operators.facts import daily_sales
 from tallymart.schema import MONEY
@@ -58,6 +58,9 @@ def aov_recent(star: Star, days: int = RECENT_DAYS) -> DataFrame:
     """
     newest = star.sales.agg(F.max("date")).scalar()
     recent = star.sales.where(F.col("date") > F.date_sub(newest, days))
+    if MONTH in star.sales.columns:
+        first = F.date_format(F.date_sub(newest, days), "yyyy-MM")
+        recent = recent.where(F.col(MONTH) >= first)
     return verdict(daily_sales(Star(recent, star.stores, star.products)))
 
 

@@ -596,7 +596,7 @@ def oracle_sql() -> dict[str, str]:
     sql["category_rank"] = with_(
         STAR,
         f"SELECT product_category AS category, {MEASURES} FROM sales {P_JOIN} "
-        "GROUP BY 1 ORDER BY revenue DESC, category LIMIT 100",
+        "GROUP BY 1",
     )
     sql["category_revenue"] = with_(
         STAR,
@@ -656,6 +656,26 @@ def oracle_sql() -> dict[str, str]:
         "GROUP BY product_id, product_name, product_category "
         "ORDER BY revenue DESC, product_id LIMIT 50",
     )
+    layer = f"{JUDGED}, sales AS (SELECT * FROM cleaned), products AS (SELECT * FROM raw_products)"
+    sql["layer_category_rank"] = with_(
+        layer, f"SELECT product_category AS category, {MEASURES} FROM sales {P_JOIN} GROUP BY 1"
+    )
+    sql["layer_daily_sales"] = with_(
+        f"{layer}, {DAILY}", f"SELECT * FROM daily WHERE {IN_RANGE}"
+    )
+    sql["layer_top_products"] = with_(
+        layer,
+        f"SELECT product_id, {filled}, product_name, product_category FROM sales "
+        f"LEFT JOIN products USING (product_id) WHERE {IN_RANGE} "
+        "GROUP BY product_id, product_name, product_category "
+        "ORDER BY revenue DESC, product_id LIMIT 50",
+    )
+    sql["layer_store_sales"] = with_(
+        layer,
+        f"SELECT s.*, d.store_name, d.category, d.district FROM "
+        f"(SELECT store_id, {filled}, {filled_average} FROM sales "
+        f"WHERE {IN_RANGE} GROUP BY store_id) s LEFT JOIN raw_stores d ON s.store_id = d.store_id",
+    )
     sql["dash_store_sales"] = with_(
         UNCHECKED,
         f"SELECT s.*, d.store_name, d.category, d.district FROM "
@@ -787,14 +807,23 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT conv_id, turn, CAST({words('text', registry.FOLLOW_UP_WORDS)} AS BIGINT) AS is_follow_up "
         "FROM asked",
     )
+    fired = f"(({_RANKING}) OR ({words('text', _Q['aov_words'])}))"
     sql["question_route"] = with_(
         ASKED,
         f"""SELECT conv_id, turn,
             CASE WHEN {_RANKING} THEN 'product_rank'
-                 WHEN {words('text', _Q['aov_words'])} THEN 'aov_trend' ELSE 'unknown' END AS tool,
-            CASE WHEN {_RANKING} THEN 'desc' END AS "order",
-            CASE WHEN {_RANKING} THEN CAST(1 AS BIGINT) END AS "limit",
-            CASE WHEN {_BEVERAGE} THEN '{_Q['beverage_category']}' END AS category
+                 WHEN {words('text', _Q['aov_words'])} THEN 'aov_trend'
+                 WHEN length(text) % 3 = 0 THEN 'daily_sales' ELSE 'product_revenue' END AS tool,
+            CASE WHEN {_RANKING} THEN 'desc' WHEN {fired} THEN NULL
+                 WHEN length(text) % 3 = 0 THEN 'asc' END AS "order",
+            CASE WHEN {_RANKING} THEN CAST(1 AS BIGINT) WHEN {fired} THEN NULL
+                 ELSE CAST(length(text) % 7 AS BIGINT) END AS "limit",
+            CASE WHEN {_BEVERAGE} THEN '{_Q['beverage_category']}' WHEN {fired} THEN NULL
+                 ELSE substr(text, 1, 3) END AS category,
+            CASE WHEN {fired} THEN NULL ELSE substr(text, 2, 5) END AS product_name,
+            CASE WHEN {fired} THEN NULL ELSE 'user' END AS store_name,
+            CASE WHEN {fired} THEN NULL WHEN length(text) % 3 = 0 THEN '{START}' END AS start_date,
+            CASE WHEN {fired} THEN NULL WHEN length(text) % 3 <> 0 THEN '{END}' END AS end_date
         FROM asked""",
     )
     sql["adhoc_sql"] = with_(STAR, registry.ADHOC_SQL.strip().rstrip(";"))

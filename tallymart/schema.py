@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The column names of the three tables, in file order.
 SALES_COLUMNS = ["order_id", "date", "store_id", "product_id", "qty", "amount", "payment"]
 STORE_COLUMNS = ["store_id", "store_name", "category", "district"]
 PRODUCT_COLUMNS = ["product_id", "product_name", "product_category", "unit_price"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,25 +45,39 @@ def read_raw_csv(
     missing: list[str] = MISSING_MARKERS,
     multiline: bool = False,
 ) -> DataFrame:
-    """Read a headed CSV as text. A missing path is an error, a byte order mark is ignored.
+    """Read the named columns of a headed CSV as text, in any order and among any others.
 
-    ``multiline`` admits line breaks inside quoted cells but makes files unsplittable.
+    A column that the header lacks is left out of the result; ``absent`` tells which. A missing
+    path is an error, a byte order mark is ignored. Only the header is read ahead, and files of
+    one folder share it. ``multiline`` admits line breaks inside quoted cells but makes files
+    unsplittable.
     """
     raw = (
-        spark.read.schema(columns)
-        .option("header", True)
-        .option("enforceSchema", False)
+        spark.read.option("header", True)
+        .option("inferSchema", False)
         .option("escape", '"')
         .option("multiLine", multiline)
         .csv(path)
     )
-    return raw.select(
-        *[F.when(~F.col(f.name).isin(missing), F.col(f.name)).alias(f.name) for f in columns]
-    )
+    mark = "\ufeff"
+    there = {name.removeprefix(mark): name for name in raw.columns}
+    cells = {f.name: F.col(f"`{there[f.name]}`") for f in columns if f.name in there}
+    return raw.select(*[F.when(~cell.isin(missing), cell).alias(name) for name, cell in cells.items()])
+
+
+def absent(df: DataFrame, columns: T.StructType) -> list[str]:
+    """The expected columns that a table lacks."""
+    return [f.name for f in columns if f.name not in df.columns]
+
 
+def write_csv(df: DataFrame, path: str, byte_order_mark: bool = False) -> None:
+    """Overwrite a folder of headed CSV parts, leaving white space in cells as it is.
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Overwrite a folder of headed CSV parts, leaving white space in cells as it is."""
+    With ``byte_order_mark`` each part opens with one, as spreadsheets expect.
+    """
+    if byte_order_mark:
+        first = df.columns[0]
+        df = df.withColumnRenamed(first, "\ufeff" + first)
     (
         df.write.mode("overwrite")
         .option("header", True)
@@ -113,21 +129,51 @@ def read_processed(spark: SparkSession, folder: str) -> Star:
 
 
 def load(star: Star, folder: str) -> Star:
-    """Write the typed tables, then check what was written; a broken rule aborts the load."""
+    """Write the typed tables as a new version, check it, and publish it last.
+
+    A broken rule raises and leaves the version unpublished, so readers keep the one before.
+    """
     spark = star.sales.sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    place = f"{folder}/versions/{version}"
     write_processed(
         Star(
             sales=typed(star.sales, schema.SALES),
             stores=typed(star.stores, schema.STORES),
             products=typed(star.products, schema.PRODUCTS),
         ),
-        folder,
+        place,
     )
-    loaded = read_processed(spark, folder)
+    loaded = read_processed(spark, place)
     verify.require_valid(loaded)
+    # Publishing adds one row, which the commit of the append makes visible at once.
+    spark.createDataFrame([(version,)], _PUBLISHED).coalesce(1).write.mode("append").parquet(
+        f"{folder}/published"
+    )
     return loaded
 
 
+def read_published(spark: SparkSession, folder: str) -> Star:
+    """The newest version that a load below ``folder`` has published; none raises."""
+    versions = spark.read.schema(_PUBLISHED).parquet(f"{folder}/published")
+    return read_processed(spark, f"{folder}/versions/{versions.agg(F.max('version')).first()[0]}")
+
+
+def session_tables(spark: SparkSession) -> DataFrame:
+    """Tables and views that the session's current database lists, with their columns."""
+    rows = [
+        (table.name, table.tableType, position, column.name, column.dataType)
+        for table in spark.catalog.listTables()
+        for position, column in enumerate(spark.catalog.listColumns(table.name))
+    ]
+    return spark.createDataFrame(
+        rows, "table_name string, kind string, position bigint, column_name string, data_type string"
+    )
+
+
+_PUBLISHED = "version string"
+
+
 def catalog(tables: dict[str, DataFrame]) -> DataFrame:
     """Table and column listing with the number of filled cells per column.
 

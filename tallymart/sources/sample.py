@@ -166,16 +166,16 @@ def unchecked(spark: SparkSession, folder: str) -> Star:
     """Raw sales with ids normalised and cells typed, but nothing rejected: a star with
     unknown references, null dates and null amounts."""
     raw = raw_sales(spark, folder)
+    cells = {
+        "order_id": values.normalize_id(F.col("order_id")),
+        "date": values.parse_date(F.col("date")),
+        "store_id": values.normalize_id(F.col("store_id")),
+        "product_id": values.normalize_id(F.col("product_id")),
+        "qty": values.number(F.col("qty")).try_cast("bigint"),
+        "amount": values.money(F.col("amount")),
+    }
     return Star(
-        sales=raw.select(
-            values.normalize_id(F.col("order_id")).alias("order_id"),
-            values.parse_date(F.col("date")).alias("date"),
-            values.normalize_id(F.col("store_id")).alias("store_id"),
-            values.normalize_id(F.col("product_id")).alias("product_id"),
-            values.number(F.col("qty")).try_cast("bigint").alias("qty"),
-            values.money(F.col("amount")).alias("amount"),
-            "payment",
-        ),
+        sales=values.computed_once(raw, cells, [F.col("payment")]).select(*SALES_COLUMNS),
         stores=raw_stores(spark, folder),
         products=raw_products(spark, folder),
     )

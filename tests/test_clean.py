@@ -103,7 +103,7 @@ def test_csv_byte_order_mark_and_missing_markers(spark, tmp_path):
 def test_load_and_read_back(spark, raw, tmp_path):
     loaded = files.load(batch.clean_star(raw), str(tmp_path / "layer"))
     assert by_text(values_of(loaded.sales.drop("month"))) == by_text(CLEAN)
-    assert sorted(p.name for p in (tmp_path / "layer" / "sales").glob("month=*")) == [
+    assert sorted(p.name for p in (tmp_path / "layer" / "versions").glob("*/sales/month=*")) == [
         "month=2026-05", "month=2026-07",
     ]
     assert dict(values_of(verify.row_counts(loaded))) == {"sales": 4, "stores": 5, "products": 9}
@@ -114,9 +114,39 @@ def test_load_refuses_broken_references(spark, star, tmp_path):
 
     from tallymart.sources.star import Star
 
+    folder = str(tmp_path / "layer")
+    files.load(star, folder)
     orphaned = Star(star.sales, star.stores.where("store_id <> 'S05'"), star.products)
     with pytest.raises(ValueError, match="sales.store_id reference: 1"):
-        files.load(orphaned, str(tmp_path / "layer"))
+        files.load(orphaned, folder)
+    published = files.read_published(spark, folder)
+    assert published.stores.count() == 5 and published.sales.count() == 4
+    files.load(Star(star.sales.where("order_id = 'O1'"), star.stores, star.products), folder)
+    assert files.read_published(spark, folder).sales.count() == 1
+
+
+def test_csv_by_name(spark, tmp_path):
+    path = tmp_path / "stores.csv"
+    path.write_text("extra,district,store_id\n1,North,S1\n2,NA,S2\n")
+    read = files.read_raw_csv(spark, str(path), schema.RAW_STORES)
+    assert read.columns == ["store_id", "district"]
+    assert values_of(read) == [("S1", "North"), ("S2", None)]
+    assert files.absent(read, schema.RAW_STORES) == ["store_name", "category"]
+
+
+def test_csv_with_byte_order_mark(spark, tmp_path):
+    path = str(tmp_path / "out")
+    files.write_csv(spark.createDataFrame(STORES, schema.RAW_STORES), path, byte_order_mark=True)
+    parts = [p.read_bytes() for p in (tmp_path / "out").glob("part-*")]
+    assert parts and all(p.startswith(b"\xef\xbb\xbfstore_id,") for p in parts if p)
+    assert by_text(values_of(files.read_raw_csv(spark, path, schema.RAW_STORES))) == by_text(STORES)
+
+
+def test_session_tables(spark, star):
+    star.stores.createOrReplaceTempView("listed_stores")
+    rows = values_of(files.session_tables(spark).where("table_name = 'listed_stores'"))
+    assert [r[3] for r in sorted(rows, key=lambda r: r[2])] == schema.STORE_COLUMNS
+    spark.catalog.dropTempView("listed_stores")
 
 
 def test_constraints_and_orphans(spark, star):

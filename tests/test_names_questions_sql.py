@@ -101,13 +101,21 @@ def test_previous_question_across_stretches(talk, turns_per_task):
 
 def test_routes(spark):
     texts = ["什么饮品卖得最好", "哪个商品卖得最好?", "最近客单价趋势", "你好", None]
-    df = questions.route(log(spark, [(1, i, "user", t) for i, t in enumerate(texts)]), planned=F.lit("general_qa"))
-    rows = {r.turn: (r.tool, r.order, r.limit, r.category) for r in df.collect()}
+    df = questions.route(log(spark, [(1, i, "user", t) for i, t in enumerate(texts)]), planned={"tool": F.lit("general_qa"), "store_name": F.col("role"), "limit": F.col("turn") + 5})
+    rows = {r.turn: (r.tool, r.order, r.limit, r.category, r.store_name) for r in df.collect()}
     assert rows == {
-        0: ("product_rank", "desc", 1, "饮品"), 1: ("product_rank", "desc", 1, None),
-        2: ("aov_trend", None, None, None), 3: ("general_qa", None, None, None),
-        4: ("general_qa", None, None, None),
+        0: ("product_rank", "desc", 1, "饮品", None), 1: ("product_rank", "desc", 1, None, None),
+        2: ("aov_trend", None, None, None, None), 3: ("general_qa", None, 8, None, "user"),
+        4: ("general_qa", None, 9, None, "user"),
     }
+    with pytest.raises(ValueError, match="colour"):
+        questions.route(df, planned={"colour": F.lit(1)})
+
+
+def test_previous_question_of_a_null_conversation(spark):
+    rows = [(None, i, "user", f"q{i}") for i in range(4)]
+    got = questions.previous_question(log(spark, rows), 1).orderBy("turn").collect()
+    assert [r.previous for r in got] == [None, "q0", "q1", "q2"]
 
 
 def test_follow_ups(spark):
@@ -119,8 +127,7 @@ def test_follow_ups(spark):
     "sql",
     [
         "DROP TABLE sales", "select 1; select 2", "with x as (select 1) insert into t select * from x",
-        "explain select 1", "select reflect('java.lang.System', 'exit', 0)",
-        "select transform(order_id) using 'cat' from sales", "",
+        "explain select 1", "", "/* ' */ drop table x /* ' */", "-- select\ndelete from sales",
     ],
 )
 def test_refused_sql(sql):
@@ -128,6 +135,44 @@ def test_refused_sql(sql):
         adhoc.require_read_only(sql)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select reflect('java.lang.System', 'getProperty', 'user.dir')",
+        "select `reflect`('java.lang.System', 'getProperty', 'user.dir')",
+        "select reflect/**/('java.lang.System', 'getProperty', 'user.dir')",
+        "select /* ' */ reflect('java.lang.System', 'getProperty', 'user.dir') /* ' */",
+        "select (select max(java_method('java.lang.System', 'getProperty', store_id)) from stores)",
+        "select * from sales where exists (select try_reflect('java.lang.System', 'lineSeparator'))",
+        "select transform(order_id) using 'cat' from sales",
+        "select transform(order_id) USING/**/'cat' as (x) from sales",
+        "select * from foreign_view", "select * from default.sales", "with a as (select * from foreign_view) select * from a",
+        "select * from sales where order_id in (select x from foreign_view)",
+        "select spark_catalog.default.f(1)", "select no_such_function(1)", "select * from no_such_table_function(1)",
+        "select input_file_name() from sales",
+    ],
+)
+def test_refused_plans(spark, star, sql):
+    spark.range(3).selectExpr("id as x").createOrReplaceTempView("foreign_view")
+    with pytest.raises(ValueError):
+        adhoc.query(spark, star, sql)
+
+
+def test_sql_leaves_the_session_as_it_is(spark, star):
+    spark.range(3).createOrReplaceTempView("sales")
+    before = sorted(t.name for t in spark.catalog.listTables())
+    rows = adhoc.query(
+        spark,
+        star,
+        "with stores as (select 'mine' as store_name), b as (select count(*) as n from sales) "
+        "select n, store_name, 'drop it; reflect(' as note /* update x */ from b cross join stores cross join range(1)",
+    ).collect()
+    assert [tuple(r) for r in rows] == [(4, "mine", "drop it; reflect(")]
+    assert sorted(t.name for t in spark.catalog.listTables()) == before
+    assert spark.table("sales").count() == 3
+    spark.catalog.dropTempView("sales")
+
+
 @pytest.mark.parametrize(
     "sql",
     [
@@ -150,7 +195,7 @@ def test_sql_over_registered_tables(spark, star):
 
 
 def test_sql_cannot_read_files(spark, star):
-    with pytest.raises(Exception, match="(?i)not found|unsupported|cannot"):
+    with pytest.raises(ValueError, match="not a table"):
         adhoc.query(spark, star, "select * from parquet.`/root/testdata/sf0.001/region.parquet`").collect()
 
 

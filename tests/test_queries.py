@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 
+from tallymart.functions import bounds
 from tallymart.operators import dashboard, facts, trend
 from tallymart.sources.star import Star
 from tests.conftest import CLEAN, sales_of, values_of
@@ -107,7 +108,7 @@ def test_ranking_details(star):
         ("P20", "梅子酒", "饮料", 3, 66.0, 1), ("P01", "豚骨拉面", "主食", 2, 64.0, 1),
     ]
     assert values_of(facts.category_rank(star)) == [("主食", 1102.5, 3, 2)]
-    assert values_of(facts.store_rank(star, "asc", "2")) == [
+    assert values_of(facts.store_rank(star, "asc", bounds.tool_limit("2"))) == [
         ("S05", "Night Grill", 66.0, 3, 1), ("S01", "Corner Soup", 76.0, 4, 2),
     ]
     assert values_of(facts.store_revenue(star, "harbour")) == [("S02", "Harbour Poke", 1038.5, 1, 1)]
@@ -190,3 +191,46 @@ def test_ties_at_the_limit_go_by_key(spark, star):
     tied = with_sales(spark, star, rows)
     assert [r[0] for r in values_of(facts.product_rank(tied, limit=2))] == ["P04", "P15"]
     assert [r[0] for r in values_of(dashboard.top_products(tied, limit=2))] == ["P04", "P15"]
+
+
+def test_limits(star):
+    assert len(values_of(facts.category_rank(star, limit=None))) == 2
+    assert len(values_of(facts.product_rank(star, limit=1000))) == 4
+    assert len(values_of(dashboard.top_products(star, limit="3"))) == 3
+    assert len(values_of(dashboard.top_products(star, limit=None))) == 4
+    for wrong in (500, 0, "x", 101):
+        with pytest.raises(ValueError, match="Invalid limit"):
+            dashboard.top_products(star, limit=wrong)
+        with pytest.raises(ValueError, match="Invalid limit"):
+            dashboard.ranked_products(star, limit=wrong)
+    for wrong in (0, -1, "3", 1.5, True):
+        with pytest.raises(ValueError, match="Invalid limit"):
+            facts.store_rank(star, limit=wrong)
+
+
+def test_bounds_prune_month_folders(spark, star, tmp_path):
+    from tallymart.operators import trend
+    from tallymart.sources import files
+
+    layer = files.load(star, str(tmp_path / "layer"))
+    asked = {
+        "fact": facts.daily_sales(layer, "2026-07-01", "2026-07-31"),
+        "dashboard": dashboard.top_products(layer, "2026-07-01", "2026-07-31"),
+        "stores": dashboard.store_sales(layer, None, "2026-07-31"),
+        "month": facts.product_revenue_month(layer, "绿茶", "2026-07"),
+        "recent": trend.aov_recent(layer),
+    }
+    for name, df in asked.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(month" in plan, name
+    assert [r[0].isoformat() for r in values_of(asked["fact"])] == ["2026-07-24", "2026-07-31"]
+
+
+def test_text_dates_are_parsed_once(spark, star):
+    from pyspark.sql import functions as F
+
+    text = Star(star.sales.withColumn("date", F.col("date").cast("string")), star.stores, star.products)
+    for df in (dashboard.daily_sales(text, "2026-05-01", "2026-07-31"), dashboard.store_sales(text, "2026-05-01", None)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp") + plan.count("RLIKE") <= 2, plan
+    assert len(values_of(dashboard.daily_sales(text, "2026-05-01", "2026-07-31"))) == 3

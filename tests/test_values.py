@@ -68,8 +68,8 @@ def test_strict_bounds():
 @pytest.mark.parametrize(
     ("given", "limit"), [(0, 1), (101, 100), (None, 1), ("3", 3), ("x", 1), (50, 50), ([], 1)]
 )
-def test_row_limit(given, limit):
-    assert bounds.row_limit(given) == limit
+def test_tool_limit(given, limit):
+    assert bounds.tool_limit(given) == limit
 
 
 def test_average_is_exact_half_up(spark):
