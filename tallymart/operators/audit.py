@@ -232,17 +232,31 @@ def amounts(df: DataFrame, table_name: str) -> DataFrame:
     return m.rows(df)
 
 
-def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: how many rows lie in groups of two or more that agree on the keys."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows"))
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Each distinct row with its number of copies as ``_n``.
+
+    Every other grouping can start from here: planned together, they share this exchange, so the
+    table itself is read and shuffled once for all of them.
+    """
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _in_groups(sizes: DataFrame) -> DataFrame:
+    """One row: how many rows lie in groups of two or more."""
+    n = F.col("_n")
+    return sizes.agg(F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("rows"))
+
+
+def _per(distinct: DataFrame, key: Column) -> DataFrame:
+    """Rows per key, as ``n``."""
+    return distinct.groupBy(key).agg(F.sum("_n").alias("n"))
 
 
-def duplicate_rows(df: DataFrame, table_name: str) -> DataFrame:
+def duplicate_rows(df: DataFrame, table_name: str, distinct: DataFrame | None = None) -> DataFrame:
     """Rows that are identical to another row, all members of a group counted."""
     m = Metrics(table_name)
     m.add("duplicate_rows", None, "row_count", F.max("rows"))
-    return m.rows(_repeated(df, df.columns))
+    return m.rows(_in_groups(distinct_rows(df) if distinct is None else distinct))
 
 
 def duplicate_keys(df: DataFrame, table_name: str, key: str) -> DataFrame:
@@ -252,10 +266,10 @@ def duplicate_keys(df: DataFrame, table_name: str, key: str) -> DataFrame:
         m.state("primary_key", key, "duplicate_count", "0")
         return m.rows(df)
     m.add("primary_key", key, "duplicate_count", F.max("rows"))
-    return m.rows(_repeated(df, [key]))
+    return m.rows(_in_groups(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))))
 
 
-def order_ids(df: DataFrame, table_name: str) -> DataFrame:
+def order_ids(df: DataFrame, table_name: str, distinct: DataFrame | None = None) -> DataFrame:
     """Distinct ids, repeated ids and the rows they cover. One count per id answers all."""
     m = Metrics(table_name)
     if not _exists(m, "order_id", df, "order_id"):
@@ -271,11 +285,17 @@ def order_ids(df: DataFrame, table_name: str) -> DataFrame:
         "duplicate_order_id_row_count",
         F.coalesce(F.sum(F.when(n > 1, n)), zero),
     )
-    return m.rows(df.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")))
+    counted = df.select("order_id", F.lit(1).alias("_n")) if distinct is None else distinct
+    return m.rows(_per(counted, F.col("order_id")))
 
 
 def foreign_key(
-    facts: DataFrame, dimension: DataFrame, table_name: str, fk: str, pk: str
+    facts: DataFrame,
+    dimension: DataFrame,
+    table_name: str,
+    fk: str,
+    pk: str,
+    distinct: DataFrame | None = None,
 ) -> DataFrame:
     """Sales rows whose trimmed reference is unknown, in total and per value.
 
@@ -289,7 +309,8 @@ def foreign_key(
     m.state(section, fk, "reference_column_exists", str(pk in dimension.columns).lower())
     if pk not in dimension.columns:
         return m.rows(facts)
-    unknown = unknown_values(facts, dimension, fk, pk)
+    counted = facts.select(fk, F.lit(1).alias("_n")) if distinct is None else distinct
+    unknown = unknown_values(counted, dimension, fk, pk)
     m.add(section, fk, "invalid_count", F.coalesce(F.sum("n"), F.lit(0)))
     histogram = unknown.select(
         F.lit(table_name).alias("table_name"),
@@ -301,10 +322,10 @@ def foreign_key(
     return m.rows(unknown).unionByName(histogram)
 
 
-def unknown_values(facts: DataFrame, dimension: DataFrame, fk: str, pk: str) -> DataFrame:
-    """(value, n) of references that the dimension lacks."""
+def unknown_values(counted: DataFrame, dimension: DataFrame, fk: str, pk: str) -> DataFrame:
+    """(value, n) of references, weighted by ``_n``, that the dimension lacks."""
     value = values.strip(F.coalesce(F.col(fk).cast("string"), F.lit("")))
-    counted = facts.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counted = _per(counted, value.alias("value"))
     valid = dimension.where(F.col(pk).isNotNull()).select(
         values.strip(F.col(pk).cast("string")).alias("value")
     )
@@ -312,19 +333,20 @@ def unknown_values(facts: DataFrame, dimension: DataFrame, fk: str, pk: str) ->
 
 
 def audit_sales(sales: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
-    """All sales checks: one scan for the cell metrics, one for each grouping."""
+    """All sales checks: one scan for the cell metrics, one for all groupings."""
     m = Metrics("sales")
     add_basic_info(m, sales)
     add_missing(m, sales)
     add_dates(m, sales)
     add_qty(m, sales)
     add_amount(m, sales)
+    distinct = distinct_rows(sales)
     parts = [
         m.rows(sales),
-        duplicate_rows(sales, "sales"),
-        order_ids(sales, "sales"),
-        foreign_key(sales, stores, "sales", "store_id", "store_id"),
-        foreign_key(sales, products, "sales", "product_id", "product_id"),
+        duplicate_rows(sales, "sales", distinct),
+        order_ids(sales, "sales", distinct),
+        foreign_key(sales, stores, "sales", "store_id", "store_id", distinct),
+        foreign_key(sales, products, "sales", "product_id", "product_id", distinct),
     ]
     return reduce(DataFrame.unionByName, parts)
 

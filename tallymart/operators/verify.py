@@ -31,13 +31,15 @@ def row_counts(star: Star) -> DataFrame:
 def _orphans(star: Star, dimension: str, key: str, keep_null: bool = True) -> DataFrame:
     """Sales rows whose key is not in the dimension, as one count.
 
-    Sales are counted per key before the anti join, so the join sees one row per key and a key
-    that holds many rows costs nothing extra.
+    Sales are counted per pair of keys first. Both references start from that grouping, whose
+    exchange they share, and the join sees one row per key, however many rows a key holds.
     """
-    keys = star.sales if keep_null else star.sales.where(F.col(key).isNotNull())
-    per_key = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    pairs = star.sales.groupBy(*PRIMARY_KEYS.values()).agg(F.count(F.lit(1)).alias("n"))
+    per_key = pairs.groupBy(key).agg(F.sum("n").alias("n"))
     missing = per_key.join(star.tables()[dimension].select(key), key, "left_anti")
-    return missing.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+    # Null keys are left out here: a filter would sink below the grouping and part the exchanges.
+    counted = F.col("n") if keep_null else F.when(F.col(key).isNotNull(), F.col("n"))
+    return missing.agg(F.coalesce(F.sum(counted), F.lit(0)).cast("bigint").alias("n"))
 
 
 def orphans(star: Star) -> DataFrame:

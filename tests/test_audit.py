@@ -112,3 +112,25 @@ def test_empty_table(spark):
     assert m["missing_values", "qty", "missing_rate"] == "0.000000"
     assert found(audit.duplicate_rows(df, "sales"))["duplicate_rows", None, "row_count"] == "0"
     assert found(audit.dates(df, "sales"))["dates", "date", "min_date"] is None
+
+
+def _reads(df) -> int:
+    """Scans of the fact in the plan that ran; a reused exchange has no scan of its own."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    return sum("order_id" in line or ("store_id" in line and "product_id" in line) for line in scans)
+
+
+def test_the_fact_is_read_twice(spark, raw, star, tmp_path):
+    from tallymart.operators import verify
+    from tallymart.plans import batch
+    from tallymart.sources.star import Star
+
+    path = str(tmp_path / "raw_sales")
+    raw.sales.write.parquet(path)
+    stored = Star(spark.read.parquet(path), raw.stores, raw.products)
+    assert _reads(batch.audit_report(stored)) == 2
+    typed = str(tmp_path / "sales")
+    star.sales.write.parquet(typed)
+    assert _reads(verify.constraints(Star(spark.read.parquet(typed), star.stores, star.products))) == 2
