@@ -205,3 +205,18 @@ def test_numbers_are_dense_and_ordered(spark):
     rows = numbering.number_rows(mixed, ["k", "v"]).orderBy("id").collect()
     assert [r.id for r in rows] == list(range(1, 5001))
     assert [(r.k, r.v) for r in rows] == sorted((r.k, r.v) for r in rows)
+
+
+def test_pieces_of_a_long_text_are_spread_and_complete(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(20_000))
+    df = spark.createDataFrame([("long", text), ("short", "abc"), ("none", "")], "target string, bare string")
+    lengths = F.array(*[F.lit(n) for n in (0, 2, 5, 9, 3)])
+    pieces = resolve._pieces(df, "bare", lengths)
+    expected = {(t, v[i : i + n]) for t, v in (("long", text), ("short", "abc"), ("none", "")) for n in (0, 2, 5, 9, 3) if n <= len(v) for i in range(max(1, len(v) - n + 1))}
+    rows = [tuple(r) for r in pieces.collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    names = spark.createDataFrame([(text[4090:4110],), (text[19_990:],)], "name string")
+    found = resolve.resolve_names(df.select("bare"), names, "name").where(F.length("input") > 1000).collect()
+    assert [r.resolved for r in found] == [text[4090:4110]]
