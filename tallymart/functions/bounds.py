@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,27 +11,31 @@ from pyspark.sql import functions as F
 
 MONTH = "month"
 
-# The spellings of a day that loose bounds understand, tried in this order.
+# The spellings of a day that loose bounds understand, tried in this order, and the
+# times that may follow one.
 DAY_FORMATS = [
-    "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%Y-%m", "%Y/%m",
-    "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y/%m/%d %H:%M:%S",
-    "%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y",
+    "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%Y-%m", "%Y/%m", "%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y",
     "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y",
 ]
+TIME_FORMATS = ["", "%H:%M", "%H:%M:%S", "%H:%M:%S.%f", "%H:%M%z", "%H:%M:%S%z", "%H:%M:%S.%f%z"]
 
 
 def loose_day(value: object) -> date | None:
-    """A bound as a date, a time, or text in one of ``DAY_FORMATS``; anything else is no bound."""
+    """A bound as a date, a time, or text: a day in one of ``DAY_FORMATS``, then perhaps a time.
+
+    Anything else is no bound.
+    """
     if isinstance(value, datetime):
         return value.date()
     if isinstance(value, date):
         return value
     text = value.strip() if isinstance(value, str) else ""
-    for form in DAY_FORMATS:
-        try:
-            return datetime.strptime(text, form).date()
-        except ValueError:
-            continue
+    for day, time in product(DAY_FORMATS, TIME_FORMATS):
+        for between_them in (" ", "T") if time else ("",):
+            try:
+                return datetime.strptime(text, f"{day}{between_them}{time}").date()
+            except ValueError:
+                continue
     return None
 
 

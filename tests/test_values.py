@@ -53,6 +53,9 @@ def test_loose_bounds():
     assert bounds.loose_day("2026-05-01 10:00") == date(2026, 5, 1)
     assert bounds.loose_day("20260501") == date(2026, 5, 1)
     assert bounds.loose_day("01/02/2026") == date(2026, 1, 2)
+    assert bounds.loose_day("2026/05/01 08:30") == date(2026, 5, 1)
+    assert bounds.loose_day("2026-05-01T08:30:00.5+02:00") == date(2026, 5, 1)
+    assert bounds.loose_day(" May 1, 2026 ") == date(2026, 5, 1)
     assert bounds.loose_day("nonsense") is None
     assert bounds.loose_day("") is None
     assert bounds.loose_day(None) is None
