@@ -27,8 +27,8 @@ from tallymart.llm import frames, text
 
 BITS = 18
 DIMS = 1 << BITS
-FIT_ROWS = 3000
-CURVE_ROWS = 3000
+FIT_ROWS = 2000
+CURVE_ROWS = 2000
 GRAMS = (1, 2, 3)
 
 _U = np.uint64
@@ -113,8 +113,8 @@ def dual_coordinate_descent(
     y = np.where(labels > 0, 1.0, -1.0)
     share = {s: max(1, int((y == s).sum())) for s in (1.0, -1.0)}
     most = np.array([cost * len(y) / (2 * share[s]) for s in y])
-    values = [scale[c] / np.sqrt(max(1, len(c))) for c in rows]
-    square = np.array([float(v @ v) for v in values])
+    root = [np.sqrt(max(1, len(c))) for c in rows]
+    square = np.array([float((scale[c] ** 2).sum()) / r**2 for c, r in zip(rows, root, strict=True)])
     alpha, weights = np.zeros(len(y)), np.zeros(len(scale))
     order = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -122,7 +122,8 @@ def dual_coordinate_descent(
         for i in order.permutation(len(y)):
             if square[i] == 0:
                 continue
-            gradient = y[i] * float(weights[rows[i]] @ values[i]) - 1.0
+            values = scale[rows[i]] / root[i]
+            gradient = y[i] * float(weights[rows[i]] @ values) - 1.0
             projected = gradient
             if alpha[i] == 0:
                 projected = min(gradient, 0.0)
@@ -132,7 +133,7 @@ def dual_coordinate_descent(
             if projected:
                 before = alpha[i]
                 alpha[i] = min(max(before - gradient / square[i], 0.0), most[i])
-                weights[rows[i]] += (alpha[i] - before) * y[i] * values[i]
+                weights[rows[i]] += (alpha[i] - before) * y[i] * values
         if high - low < tolerance:
             break
     return weights
@@ -225,7 +226,7 @@ def train(
         .toArrow()
     )
     places, marks = bounded["place"].to_numpy(), bounded["label"].to_numpy()
-    rows = [np.asarray(c.values, dtype=np.int64) for chunk in bounded["cells"].chunks for c in chunk]
+    rows = [c.values.to_numpy() for chunk in bounded["cells"].chunks for c in chunk]  # views, no copies
     if not len(rows):
         return Model(np.zeros(DIMS), 0.0, 0.0)
     # Alternate rows fit the weights and the curve, so that both follow the same distribution.

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymart.functions.sizes import broadcast_if_small
 from tallymart.llm import frames, text
 
 SHINGLE = 4
@@ -250,7 +251,7 @@ def keep_first(
     key = frames.fresh(docs.columns, "own_id")
 
     def chosen(which: str) -> DataFrame:
-        named = ids.where(which).select(F.col("doc_id").alias(key))
+        named = broadcast_if_small(ids.where(which).select(F.col("doc_id").alias(key)))
         return docs.join(named, frames.col(docs, id_col).eqNullSafe(F.col(key)), "left_semi")
 
     # Ids that several rows share need the fingerprint again, to tell which row opens what.
