@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from tallymart.llm import frames
 
 K = 20
-SHARD_ROWS = 2048
+SHARD_ROWS = 4096
 QUERY_BLOCK = 4096
 DEGREE = 24
 BEAM = 48
+SEARCH_BEAM = 64
 RELAX = 1.2
 BATCH = 256
 EXPAND = 3
@@ -232,7 +233,7 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = K,
-    beam: int = BEAM,
+    beam: int = SEARCH_BEAM,
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found, without the query's own id.
@@ -264,7 +265,7 @@ def search(
         points = _lifted(vectors, nodes["largest"][0].as_py())
         asked_ids, asked_vectors = wanted["id"].to_numpy(), _matrix(wanted["vector"])
         lifted = np.concatenate((asked_vectors, np.zeros((len(wanted), 1))), axis=1)
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list] = ([], [], [])  # a query's list is one row
         for at in range(0, len(wanted), BATCH):
             part = slice(at, at + BATCH)
             found, far = beam_search(points, edges, nodes["entry"][0].as_py(), lifted[part], max(beam, k + 1))
@@ -279,21 +280,25 @@ def search(
                     if i != own
                 ]
                 best = sorted(best)[:k]
-                out[0].extend([own] * len(best))
-                out[1].extend(i for _, i in best)
-                out[2].extend(-s for s, _ in best)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], schema=_ANSWER)
+                out[0].append(own)
+                out[1].append([i for _, i in best])
+                out[2].append([-s for s, _ in best])
+        return pa.table([pa.array(c, t) for c, t in zip(out, _ANSWER.types, strict=True)], schema=_ANSWER)
 
     lists = (
         spread.groupBy("shard", "block")
         .cogroup(asked.groupBy("shard", "block"))
-        .applyInArrow(answer, "query_id long, vec_id long, score double")
+        .applyInArrow(answer, "query_id long, vec_ids array<bigint>, scores array<double>")
+    )
+    each = lists.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("f")).select(
+        "query_id", F.col("f.vec_ids").alias("vec_id"), F.col("f.scores").alias("score")
     )
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
 
-_ANSWER = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_ANSWER = pa.schema([("query_id", pa.int64()), ("vec_ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
 
 def nearest(
