@@ -134,9 +134,9 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: flo
     draw = np.random.default_rng(seed)
     entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
     if n <= degree + 1:
-        every = np.tile(np.arange(n), (n, 1))
+        others = np.arange(n - 1)
         edges = np.full((n, degree), -1, dtype=np.int64)
-        edges[:, :n] = every
+        edges[:, : n - 1] = others + (others >= np.arange(n)[:, None])
         return edges, entry
     edges = draw.integers(n, size=(n, degree))
     for factor in (1.0, relax):

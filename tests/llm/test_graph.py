@@ -55,6 +55,27 @@ def test_odd_vectors_and_a_third_of_copies(spark):
         assert [i for i, _ in got[q]] == [i for i, _ in best[q]]
 
 
+@pytest.mark.parametrize("n", [1, 24, 25, 26])
+def test_every_other_node_of_a_small_shard_is_linked(n):
+    points = np.random.default_rng(n).normal(size=(n, 4))
+    edges, _ = graph.build(points)
+    assert edges.shape == (n, graph.DEGREE)
+    linked = [set(row[row >= 0].tolist()) for row in edges]
+    if n <= graph.DEGREE + 1:
+        assert linked == [set(range(n)) - {i} for i in range(n)]
+    assert graph.beam_search(points, edges, 0, points, graph.SEARCH_BEAM)[0][:, 0].tolist() == list(range(n))
+
+
+def test_copies_of_25_distinct_vectors(spark):
+    draw = np.random.default_rng(25)
+    distinct = draw.normal(size=(graph.DEGREE + 1, 3)).tolist()
+    rows = [(i, distinct[i % len(distinct)]) for i in range(75)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = lists(graph.nearest(frame, frame.where("vec_id < 5")))
+    best = exact(rows, rows[:5], 20)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in best.items()}
+
+
 def test_few_and_no_rows(spark):
     few = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [2.0])], "vec_id long, embedding array<double>")
     assert lists(graph.nearest(few, few)) == {1: [(2, 2.0), (3, 2.0)], 2: [(3, 4.0), (1, 2.0)], 3: [(2, 4.0), (1, 2.0)]}
