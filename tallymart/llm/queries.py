@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import decontaminate, graph, licenses, maxent, mixing, quality, simhash, tokens, urls, warc
+from tallymart.llm import decontaminate, graph, licenses, maxent, mixing, personal, quality, simhash, tokens, urls, warc
 from tallymart.session import fresh_path, tune
 
 QUALITY_THRESHOLD = 0.3
@@ -80,6 +80,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.scan(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_nbsvm,
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_graph_search,
         op9_license_scan,
         op10_token_counts,
+        op13_personal_data,
     )}
 
 

@@ -1,0 +1,158 @@
+"""Personal data: base spans against Python's own expressions, and what bootstrapping adds."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from tallymart.llm import personal, queries
+from tests.llm.conftest import FOLDER
+
+
+def base(text):
+    """The base spans, by the expressions of the contract as they stand."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()][::-1]
+        if 12 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return ",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def check(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in personal.scan(rows).collect()}
+    assert sorted(found) == list(range(len(texts)))
+    for i, text in enumerate(texts):
+        want = base(text)
+        got = found[i]
+        assert got["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), text[:200]
+        for kind in personal.KINDS:
+            assert got[f"n_{kind}"] == want.count(kind)
+        assert not want or set(want.split(",")) <= set(got["spans"].split(","))
+        assert want.count(":") // 2 + got["n_added"] == got["spans"].count(":") // 2
+    return found
+
+
+PLAIN = [
+    "", None, " ", "x" * 10, "mail a.b+c@x.org now", "a@b.c_d@e.f", "a@b", "a@b.", "@x.y", "a@@b.c", "é@x.y", "a.@-.-",
+    "1.2.3.4", "1.2.3.4.5.6.7.8", "1.2.3.256", "1.2.3", "0000255.1.1.1", "99999999999999999999.1.1.1", "1.2.3.4é1.2.3.4",
+    "4111 1111 1111 1111", "4111-1111-1111-1111", "4111  1111", "411111111111111", "4111111111111111 4111111111111111", "0" * 12, "0" * 19, "0" * 20,
+    "+1 (017) 555-7713", "+12345678", "+123456789", "+1234567890123456", "+1 2 +3 4", "+1" + " " * 50 + "2345678 9", "+1()()",
+    "x 4111 1111 1111 1111@mail.com +1.2.3.4 1.1.1.1", "\U0001f600 1.2.3.4 \U0001f600\U0001f600 a@b.cd +44 20 7946 0958.",
+]
+
+
+def test_base_forms(spark):
+    check(spark, PLAIN)
+
+
+def test_base_forms_on_random_texts(spark):
+    rng = random.Random(5)
+    pieces = ["1", "22", "255", "256", ".", ".", "-", " ", "+", "+1", "@", "a", "Z9", "(", ")", "é", "\n", "4111111111111111", "000000000000"]
+    check(spark, ["".join(rng.choices(pieces, k=rng.randint(1, 60))) for _ in range(400)])
+
+
+def test_long_texts_neither_recurse_nor_stall(spark):
+    n = 20_000
+    check(spark, [
+        "1" * n, "1 " * n, "1." * n, "a" * n, "a." * n, "a@" + "b." * n + "c", "a@b.c " * 3000, "+1" + " " * n, "+1 " * n, "-" * n,
+        "x " * n + "mail me at z@y.org today " + "1.2.3.4 " * 500, "1.1.1.1 ." * 2000,
+    ])
+
+
+LEFT = ["call me at", "my number is", "ring us on"]
+
+
+def corpus():
+    """Phones of the known form after three phrases, two unknown numbers after them, and decoys."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(90):
+        phone = f"+1 {rng.randint(200, 999)} {rng.randint(200, 999)} {rng.randint(1000, 9999)}"
+        texts.append(f"hello {i} you can {LEFT[i % 3]} {phone} any time you like")
+    texts.append("please call me at 020-7946-0958 today")
+    # New number, met through the patterns that the one above and the seeds share.
+    texts += [f"write or call me at 030-{i}555-12345 tomorrow" for i in range(5)]
+    texts += [f"in the year{1900 + i} there was" for i in range(20)]
+    texts += [f"part number A-{i}-7788 is sold" for i in range(20)]
+    return texts
+
+
+def test_patterns_of_the_seeds_find_other_numbers(spark):
+    texts = corpus()
+    found = check(spark, texts)
+    for i, text in enumerate(texts):
+        new = set(found[i]["spans"].split(",")) - set(base(text).split(","))
+        if text.startswith(("please", "write")):
+            start = re.search(r"0[23]0-", text).start()
+            assert new == {f"phone:{start}:{text.index(' ', start)}"}
+        else:
+            assert new == set(), text
+
+
+def test_later_rounds_use_what_earlier_ones_found(spark):
+    """Numbers known only through another phrase that new numbers, not seeds, made a pattern."""
+    texts = corpus()[:90]
+    shared = [f"0{i}0-7946-0958" for i in range(1, 7)]
+    texts += [f"so call me at {s} today" for s in shared]
+    texts += [f"dial the line {s} gladly" for s in shared]
+    texts += ["dial the line 099-1234-0000 gladly"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = {r["doc_id"]: r["n_added"] for r in personal.scan(rows, rounds=1).collect()}
+    more = {r["doc_id"]: r["n_added"] for r in personal.scan(rows).collect()}
+    last = len(texts) - 1
+    assert one[last] == 0 and more[last] == 1
+    assert all(more[i] >= n for i, n in one.items())
+
+
+def test_a_doubtful_pattern_adds_nothing(spark):
+    texts = [f"the code is +1 555 010 {1000 + i} ok" for i in range(5)] + [f"the code is XX-{i}0000 ok" for i in range(20)]
+    found = check(spark, texts)
+    assert sum(r["n_added"] for r in found.values()) == 0
+
+
+def test_odd_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert personal.scan(empty).collect() == []
+    odd = spark.createDataFrame(
+        [("a", "1.2.3.4", 1, "x"), ("a", "1.2.3.4", 1, "x"), (None, None, None, None)],
+        "doc_id string, text string, row int, kind string",
+    )
+    rows = sorted(personal.scan(odd).collect(), key=str)
+    assert [(r["doc_id"], r["n_ip"], r["spans"]) for r in rows] == [("a", 1, "ip:0:7"), ("a", 1, "ip:0:7"), (None, 0, "")]
+
+
+def test_running_sums(spark):
+    lists = [[], [1], [3, 1, 2], list(range(50))]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, v array<bigint>")
+    got = {r["i"]: r["v"] for r in personal.running(rows, ["v"], [rows.i]).collect()}
+    for i, values in enumerate(lists):
+        assert got[i] == [sum(values[:k]) for k in range(len(values))]
+
+
+def test_query_is_native_and_whole(spark, documents):
+    plan = personal.extract(documents)._jdf.queryExecution().toString()
+    found = queries.op13_personal_data(spark, FOLDER)
+    plan += found._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|ExistingRDD", plan)
+    rows = found.collect()
+    docs = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        assert r["base_sha256"] == hashlib.sha256(base(docs[r["doc_id"]]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("number, passes", [("4111111111111111", True), ("4111111111111112", False), ("0", True)])
+def test_luhn(spark, number, passes):
+    row = spark.createDataFrame([(number,)], "n string")
+    assert row.select(personal.luhn(row.n)).first()[0] is passes
