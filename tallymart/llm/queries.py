@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import decontaminate, graph, licenses, maxent, mixing, personal, quality, simhash, tokens, urls, warc
+from tallymart.llm import decontaminate, graph, licenses, maxent, mixing, personal, quality, repeats, simhash, tokens, urls, warc
+from tallymart.functions.values import computed_once
 from tallymart.session import fresh_path, tune
 
 QUALITY_THRESHOLD = 0.3
@@ -80,6 +81,30 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text): every tenth document by its id's hash reads a stretch of its words as a loop.
+
+    With h = crc32(doc_id), g = h div 10, and n > 0 words: where h mod 10 = 0, word i from a = g mod n on
+    is the original word a + (i - a) mod p, p = 1 + (n - a) div (3 + g mod 8). Others stay as they are.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = computed_once(rows, {"words": chosen}, [F.col(c) for c in rows.columns])
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    start = F.when(n > 0, g % n).cast("int")
+    cut = computed_once(cut, {"a": start, "g": g}, [F.col(c) for c in ("doc_id", "text", "words")])
+    period = F.floor((F.size("words") - F.col("a")) / (F.lit(3) + F.col("g") % 8)).cast("int") + 1
+    cut = computed_once(cut, {"p": period}, [F.col(c) for c in ("doc_id", "text", "words", "a")])
+    a, p = F.col("a"), F.col("p")
+    loop = F.array_join(F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", a + (i - a) % p))), " ")
+    return cut.select("doc_id", F.when(a.isNull(), F.col("text")).otherwise(loop).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.periodic_runs(looped(_table(spark, folder, "documents")), collapsed=False)
+    return found.drop("collapsed", "n_words")
+
+
 def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal.scan(_table(spark, folder, "documents"))
 
@@ -96,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_graph_search,
         op9_license_scan,
         op10_token_counts,
+        op12_periodic_runs,
         op13_personal_data,
     )}
 

@@ -103,9 +103,10 @@ class Words:
         return mix(raw)
 
 
-def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE) -> Words:
+def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE, lower: bool = True) -> Words:
     """Words between the bytes that ``breaks`` marks; other tables give other notions of a word."""
-    data = LOWER[data]
+    if lower:
+        data = LOWER[data]
     rows = len(at) - 1
     inside = ~breaks[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
