@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import decontaminate, graph, licenses, maxent, mixing, personal, quality, repeats, simhash, tokens, urls, warc
+from tallymart.llm import decontaminate, graph, licenses, maxent, mixing, personal, quality, ranked, repeats, simhash, tokens, urls, warc
 from tallymart.functions.values import computed_once
 from tallymart.session import fresh_path, tune
 
@@ -81,6 +81,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def looped(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text): every tenth document by its id's hash reads a stretch of its words as a loop.
 
@@ -121,10 +125,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_graph_search,
         op9_license_scan,
         op10_token_counts,
+        op11_lexical_search,
         op12_periodic_runs,
         op13_personal_data,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.oracle(), "op9_license_scan": licenses.oracle()}
+    return {
+        "op2_source_mixing": mixing.oracle(),
+        "op9_license_scan": licenses.oracle(),
+        "op11_lexical_search": ranked.oracle(),
+    }

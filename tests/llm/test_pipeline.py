@@ -37,7 +37,7 @@ def test_stages_take_odd_and_empty_tables(spark, clashing, nothing, stage):
 
 def test_registered():
     names = contract.queries()
-    assert [n for n in names if n.startswith("op")] == list(queries.queries()) and len(queries.queries()) == 10
+    assert [n for n in names if n.startswith("op")] == list(queries.queries()) and len(queries.queries()) == 13
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
 
 
