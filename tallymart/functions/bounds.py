@@ -2,41 +2,35 @@
 
 from __future__ import annotations
 
+import warnings
 from datetime import date, datetime
-from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 MONTH = "month"
 
-# The spellings of a day that loose bounds understand, tried in this order, and the
-# times that may follow one.
-DAY_FORMATS = [
-    "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%Y-%m", "%Y/%m", "%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y",
-    "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y",
-]
-TIME_FORMATS = ["", "%H:%M", "%H:%M:%S", "%H:%M:%S.%f", "%H:%M%z", "%H:%M:%S%z", "%H:%M:%S.%f%z"]
-
 
 def loose_day(value: object) -> date | None:
-    """A bound as a date, a time, or text: a day in one of ``DAY_FORMATS``, then perhaps a time.
+    """A bound as a date, a time, or text that names a day; anything else is no bound.
 
-    Anything else is no bound.
+    Texts are read by pandas, in the ways that ``dates.loose_date`` reads a column of them.
     """
     if isinstance(value, datetime):
         return value.date()
     if isinstance(value, date):
         return value
-    text = value.strip() if isinstance(value, str) else ""
-    for day, time in product(DAY_FORMATS, TIME_FORMATS):
-        for between_them in (" ", "T") if time else ("",):
-            try:
-                return datetime.strptime(text, f"{day}{between_them}{time}").date()
-            except ValueError:
-                continue
-    return None
+    if not isinstance(value, str) or not value.strip():
+        return None
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            day = pd.to_datetime(value, errors="coerce")
+        except (ValueError, OverflowError):
+            return None
+    return None if pd.isna(day) else day.date()
 
 
 def strict_day(value: str | None, argument: str) -> date | None:

@@ -462,9 +462,133 @@ LONGEST_PLATE = """(SELECT product_name FROM products
 _AMOUNT_DOUBLE = "order_id, date, store_id, product_id, qty, CAST(amount AS DOUBLE) AS amount, payment"
 
 
+
+
+def _literal(value: str | None) -> str:
+    return "NULL" if value is None else f"'{value}'"
+
+
+def _drawn(values: list, step: int) -> str:
+    place = f"(conv_id * {step} + turn * {step + 2} + length(text)) % {len(values)} + 1"
+    return f"([{', '.join(map(_literal, values))}])[CAST({place} AS BIGINT)]"
+
+
+def _day(values: list, step: int) -> str:
+    return f"CAST({_drawn([registry.TYPED_DATES[v] for v in values], step)} AS DATE)"
+
+
+def _meant(field: str, table: str, column: str) -> str:
+    """Typed names and the name each means: equal, else containing or contained; the longest, then the first."""
+    return f"""{field}_meant AS (
+    SELECT typed AS {field}, lower(name) AS meant FROM (
+        SELECT typed, name, row_number() OVER (PARTITION BY typed ORDER BY
+            CASE WHEN lower(name) = lower(trim(typed)) THEN 1 ELSE 2 END, length(name) DESC, name) AS r
+        FROM (SELECT DISTINCT {field} AS typed FROM plan WHERE {field} <> '')
+        JOIN (SELECT DISTINCT {column} AS name FROM {table})
+            ON contains(lower(name), lower(trim(typed))) OR contains(lower(trim(typed)), lower(name)))
+    WHERE r = 1)"""
+
+
+def question_answers() -> str:
+    fired = f"(({_RANKING}) OR ({words('text', _Q['aov_words'])}))"
+
+    def unless(value: str) -> str:
+        return f"CASE WHEN NOT {fired} THEN {value} END"
+
+    dates = list(registry.TYPED_DATES)
+    plan = f"""plan AS (SELECT conv_id, turn,
+        CASE WHEN {_RANKING} THEN 'product_rank' WHEN {fired} THEN 'aov_trend' ELSE {_drawn(registry.TOOLS, 1)} END AS tool,
+        CASE WHEN {fired} THEN FALSE ELSE coalesce({_drawn(['asc', 'desc', None], 2)}, '') = 'asc' END AS up,
+        CASE WHEN {fired} THEN 1 ELSE greatest(1, length(text) % 9 - 1) END AS most,
+        CASE WHEN {_BEVERAGE} THEN '{_Q['beverage_category']}' ELSE {unless(_drawn(registry.TYPED_CATEGORIES, 3))} END AS category,
+        {unless(_drawn(registry.TYPED_PRODUCTS, 4))} AS product_name, {unless(_drawn(registry.TYPED_STORES, 5))} AS store_name,
+        {unless(_day(dates, 6))} AS d1, {unless(_day(dates[::-1], 7))} AS d2
+    FROM asked)"""
+    asks = """asks AS (SELECT conv_id, turn, tool, up, most, d1, d2, c.meant AS category, p.meant AS product, s.meant AS store
+    FROM plan LEFT JOIN category_meant c USING (category) LEFT JOIN product_name_meant p USING (product_name)
+    LEFT JOIN store_name_meant s USING (store_name))"""
+    sold = "asks a JOIN sales s ON (d1 IS NULL OR date >= d1) AND (d2 IS NULL OR date <= d2)"
+    who = "conv_id, turn, tool"
+
+    def placed(inner: str, order: str, limit: bool) -> str:
+        made = f"SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY {order}) AS position FROM ({inner})"
+        cut = " WHERE position <= CASE WHEN tool LIKE '%rank' OR tool = 'product_quantity' THEN most ELSE position END"
+        return f"SELECT * EXCLUDE (up, most) FROM ({made}){cut}" if limit else made
+
+    ranked = "CASE WHEN tool LIKE '%rank' THEN CASE WHEN up THEN revenue ELSE -revenue END END"
+    products = placed(
+        f"""SELECT {who}, up, most, product_id, CAST(product_id AS VARCHAR) AS entity_id, product_name AS entity_name,
+            CASE WHEN tool <> 'product_orders' THEN product_category END AS category, {MEASURES}
+        FROM {sold} JOIN products USING (product_id)
+        WHERE (tool = 'product_rank' AND (a.category IS NULL OR a.category = lower(product_category)))
+           OR (tool = 'product_quantity' AND (a.category IS NULL OR a.category = lower(product_category))
+               AND (a.product IS NULL OR a.product = lower(product_name)))
+           OR (tool IN ('product_revenue', 'product_orders') AND a.product = lower(product_name))
+        GROUP BY ALL""",
+        f"CASE WHEN tool = 'product_quantity' THEN CASE WHEN up THEN qty ELSE -qty END END, {ranked}, product_id", True,
+    )
+    categories = placed(
+        f"""SELECT {who}, up, most, product_category AS category, {MEASURES} FROM {sold} JOIN products USING (product_id)
+        WHERE tool = 'category_rank' OR (tool = 'category_revenue' AND a.category = lower(product_category)) GROUP BY ALL""",
+        f"{ranked}, category", True,
+    )
+    stores = placed(
+        f"""SELECT {who}, up, most, store_id, CAST(store_id AS VARCHAR) AS entity_id, store_name AS entity_name, {MEASURES}
+        FROM {sold} JOIN stores USING (store_id)
+        WHERE tool = 'store_rank' OR (tool = 'store_revenue' AND a.store = lower(store_name)) GROUP BY ALL""",
+        f"{ranked}, store_id", True,
+    )
+    daily = placed(
+        f"""SELECT {who}, CAST(date AS VARCHAR) AS period, {average()} AS average_order_value, {MEASURES}
+        FROM {sold} WHERE tool IN ('daily_sales', 'aov_trend') GROUP BY ALL""",
+        "period", False,
+    )
+    monthly = placed(
+        f"""SELECT {who}, strftime(date, '%Y-%m') AS period, {average()} AS average_order_value, {MEASURES}
+        FROM {sold} WHERE tool = 'monthly_sales' GROUP BY ALL""",
+        "period", False,
+    )
+    of_name = placed(
+        f"""SELECT {who}, CASE WHEN tool = 'product_daily_sales' THEN CAST(date AS VARCHAR) ELSE strftime(date, '%Y-%m') END AS period,
+            product_name AS entity_name, {MEASURES}
+        FROM {sold} JOIN products USING (product_id)
+        WHERE tool IN ('product_daily_sales', 'product_monthly_sales') AND a.product = lower(product_name) GROUP BY ALL""",
+        "period, entity_name", False,
+    )
+    summary = f"""SELECT {who}, 1 AS position, (SELECT count(*) FROM sales) AS sales_rows, (SELECT count(*) FROM stores) AS store_count,
+        (SELECT count(*) FROM products) AS product_count, (SELECT min(date) FROM sales) AS min_date, (SELECT max(date) FROM sales) AS max_date
+        FROM asks WHERE tool = 'dataset_summary'"""
+    parts = [
+        f"(SELECT * EXCLUDE (product_id) FROM ({products}))", f"({categories})", f"(SELECT * EXCLUDE (store_id) FROM ({stores}))",
+        f"(SELECT * EXCLUDE (qty) FROM ({daily}))", f"({monthly})", f"({of_name})", f"({summary})",
+    ]
+    meant = ", ".join([
+        _meant("category", "products", "product_category"), _meant("product_name", "products", "product_name"), _meant("store_name", "stores", "store_name")
+    ])
+    return with_(f"{STAR}, {ASKED}, {plan}, {meant}, {asks}", "\nUNION ALL BY NAME ".join(parts))
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
+    sql["question_answers"] = question_answers()
+    sql["orders_in_ranges"] = with_(
+        SALES,
+        f"""SELECT p_partkey, r.payment, first, last, count(s.payment) AS row_count,
+            CAST(SUM(qty) AS BIGINT) AS qty, CAST(SUM(amount) AS DOUBLE) AS revenue, COUNT(DISTINCT o_custkey) AS order_count
+        FROM (SELECT p_partkey, list[CAST(p_partkey % len(list) + 1 AS BIGINT)] AS payment,
+                CASE WHEN p_partkey % 29 <> 0 THEN day END AS first,
+                CASE WHEN p_partkey % 31 <> 0 THEN day + CAST(p_size * 9 - 20 AS INT) END AS last
+              FROM (SELECT *, DATE '1995-01-01' + CAST(p_partkey * 37 % 2400 AS INT) AS day FROM part),
+                   (SELECT list_sort(list(DISTINCT o_orderpriority)) AS list FROM orders)) r
+        LEFT JOIN (SELECT s.*, o_custkey FROM sales s JOIN orders ON o_orderkey = order_id) s
+            ON s.payment = r.payment AND (first IS NULL OR date >= first) AND (last IS NULL OR date <= last)
+        GROUP BY ALL""",
+    )
+    sql["date_loose"] = """SELECT CAST(o_orderkey % 8 AS BIGINT) AS way, CAST(o_orderdate AS DATE) AS order_date,
+        CASE WHEN o_orderkey % 8 = 7 THEN CAST(date_trunc('month', o_orderdate) AS DATE) ELSE CAST(o_orderdate AS DATE) END AS read,
+        COUNT(*) AS row_count FROM orders GROUP BY ALL"""
+
     sql["src_csv"] = with_(
         RAW_SALES,
         "SELECT order_id, NULLIF(date, 'n/a') AS date, store_id, product_id, qty, amount, payment FROM raw_sales",

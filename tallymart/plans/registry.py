@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart import schema
 from tallymart.functions import values
 from tallymart.functions.bounds import between_loose, between_strict
+from tallymart.functions.dates import loose_date
+from tallymart.functions.metrics import TOTAL, as_revenue
 from tallymart.operators import (
+    answers,
     audit,
     clean,
     dashboard,
     facts,
     numbering,
     questions,
+    ranges,
     resolve,
     trend,
     verify,
@@ -48,6 +52,19 @@ ADHOC_SQL = """
     GROUP BY st.district, p.product_category;
 """
 
+# Arguments that the stand-in plans of ``question_answers`` draw from; dates as typed, and what they mean.
+TOOLS = [
+    "product_rank", "category_rank", "store_rank", "product_revenue", "product_quantity", "product_orders", "product_monthly_sales",
+    "product_daily_sales", "category_revenue", "store_revenue", "daily_sales", "monthly_sales", "aov_trend", "dataset_summary", "other",
+]
+TYPED_PRODUCTS = ["Small Ring", "my red widget", "blue", "no such thing", None, "", "hot plate", "cold gizmo"]
+TYPED_CATEGORIES = ["economy", "Promo", None, "large", "what", "STANDARD parts"]
+TYPED_STORES = ["supplier#000000007", "at Supplier#000000012", None, "00003", "nowhere"]
+TYPED_DATES = {
+    "Mar 1996": "1996-03-01", "1 Jul 98": "1998-07-01", "1997": "1997-01-01", "some day": None, None: None, "1998-02-10 08:30 PM": "1998-02-10",
+    "Friday, October 31, 1999": "1999-10-31", "06/15/00": "2000-06-15", "199811": None, "1999Q3": "1999-07-01",
+}
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -621,6 +638,63 @@ def question_route(spark, folder):
     return questions.route(_read(spark, folder, "conversations"), planned=plan, **QUESTION_WORDS)
 
 
+def _drawn(values: list, step: int) -> Column:
+    """One of the values for each turn of the log."""
+    place = F.pmod(F.col("conv_id") * step + F.col("turn") * (step + 2) + F.length("text"), F.lit(len(values)))
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), place.cast("int"))
+
+
+@_query
+def question_answers(spark, folder):
+    """Every question of the log with the rows that answer its plan; where no rule fires the plan has drawn arguments."""
+    plan = {
+        "tool": _drawn(TOOLS, 1),
+        "order": _drawn(["asc", "desc", None], 2),
+        "limit": F.length("text") % 9 - 1,
+        "category": _drawn(TYPED_CATEGORIES, 3),
+        "product_name": _drawn(TYPED_PRODUCTS, 4),
+        "store_name": _drawn(TYPED_STORES, 5),
+        "start_date": _drawn(list(TYPED_DATES), 6),
+        "end_date": _drawn(list(TYPED_DATES)[::-1], 7),
+    }
+    routed = questions.route(_read(spark, folder, "conversations"), planned=plan, **QUESTION_WORDS)
+    return answers.question_answers(routed, sample.star(spark, folder))
+
+
+# --- ranges ------------------------------------------------------------------------------
+
+
+@_query
+def orders_in_ranges(spark, folder):
+    """Customers take the place of orders, so that one comes on several days; each part gives a range of a priority."""
+    orders = _read(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("order_id"))
+    sales = sample.sales(spark, folder).withColumnRenamed("order_id", "o_orderkey").join(orders, "o_orderkey")
+    k = F.col("p_partkey")
+    part = _read(spark, folder, "part")
+    priorities = _read(spark, folder, "orders").select(F.sort_array(F.collect_set("o_orderpriority")).alias("all"))
+    first = F.date_add(F.lit("1995-01-01").cast("date"), (k * 37 % 2400).cast("int"))
+    asked = part.join(priorities).select(
+        "p_partkey",
+        F.get("all", (k % F.size("all")).cast("int")).alias("payment"),
+        F.when(k % 29 != 0, first).alias("first"),
+        F.when(k % 31 != 0, F.date_add(first, (F.col("p_size") * 9 - 20).cast("int"))).alias("last"),
+    )
+    found = ranges.measures_in_ranges(sales, asked, "payment")
+    return found.withColumn("revenue", as_revenue()).drop(TOTAL)
+
+
+@_query
+def date_loose(spark, folder):
+    """Order dates typed in eight ways and read back."""
+    day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 8
+    spelled = F.when(k == 0, day.cast("string"))
+    for i, form in enumerate(["MMMM d, yyyy", "d MMM yy", "M/d/yyyy", "yyyyMMdd'T'HHmmss", "EEEE, MMM d, yyyy", "yyyy.MM.dd h:mm a", "MMMM yyyy"], 1):
+        spelled = spelled.when(k == i, F.date_format(day, form))
+    typed = _read(spark, folder, "orders").select(k.alias("way"), day.alias("order_date"), spelled.alias("typed"))
+    read = typed.select("way", "order_date", loose_date(F.col("typed")).alias("read"))
+    return read.groupBy("way", "order_date", "read").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 # --- ad-hoc SQL --------------------------------------------------------------------------
 
 
