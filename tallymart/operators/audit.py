@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart.functions import values
+from tallymart.sources import csv_rows
 from tallymart.functions.metrics import half_up
 
 # Type names the report uses.
@@ -332,6 +333,14 @@ def unknown_values(counted: DataFrame, dimension: DataFrame, fk: str, pk: str) -
     return counted.join(valid, "value", "left_anti")
 
 
+def malformed_rows(rows: DataFrame, table_name: str) -> DataFrame:
+    """Rows that do not fit the header, by reason, of a table read by ``csv_rows.read_rows``."""
+    m = Metrics(table_name)
+    for reason in (csv_rows.SURPLUS, csv_rows.SHORT, csv_rows.UNREADABLE):
+        m.add("malformed_rows", None, reason, F.count_if(F.col(csv_rows.MALFORMED) == reason))
+    return m.rows(rows)
+
+
 def audit_sales(sales: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
     """All sales checks: one scan for the cell metrics, one for all groupings."""
     m = Metrics("sales")

@@ -12,6 +12,7 @@ from tallymart.functions.sizes import broadcast_if_small
 from tallymart.schema import MONEY, SALES_COLUMNS
 
 COPIES = "copies"
+DISTINCT = "distinct_rows"
 REASON = "reject_reason"
 
 # Stages of the funnel in the order in which a row meets them.
@@ -136,6 +137,34 @@ def judge(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
     return rows.withColumn(REASON, reason)
 
 
+def folded(judged: DataFrame) -> DataFrame:
+    """Judged rows as they are stored: kept rows once by their cleaned cells, rejected ones by their raw cells.
+
+    Adds how many distinct raw rows and how many raw rows each stands for.
+    """
+    kept = F.col(REASON).isNull()
+    cells = [F.when(kept, F.col(c)).alias(c) for c in SALES_COLUMNS]
+    raw = [F.when(~kept, F.col(f"raw_{c}")).alias(f"raw_{c}") for c in SALES_COLUMNS]
+    return (
+        judged.select(REASON, *cells, *raw, COPIES)
+        .groupBy(REASON, *SALES_COLUMNS, *[f"raw_{c}" for c in SALES_COLUMNS])
+        .agg(F.count(F.lit(1)).alias(DISTINCT), F.sum(COPIES).alias(COPIES))
+    )
+
+
+def funnel_metrics() -> list[Column]:
+    """The funnel's stages as aggregates over folded rows."""
+    kept = F.col(REASON).isNull()
+    counted = {
+        "in": F.sum(COPIES),
+        "raw_duplicates": F.sum(F.col(COPIES) - F.col(DISTINCT)),
+        **{rule: F.sum(F.when(F.col(REASON) == rule, F.col(DISTINCT))) for rule in RULES},
+        "final_duplicates": F.sum(F.when(kept, F.col(DISTINCT) - 1)),
+        "out": F.count_if(kept),
+    }
+    return [F.coalesce(counted[s], F.lit(0)).cast("bigint").alias(s) for s in STAGES]
+
+
 def rejects(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
     """Rows that break a rule, as they came, with the reason and their number of copies."""
     return (

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymart import schema
 from tallymart.operators import audit, clean
+from tallymart.sources import csv_rows
 from tallymart.sources.files import read_raw_csv
 from tallymart.sources.star import Star
 
+OUTCOME = "outcome"
+
 
 def read_raw(spark: SparkSession, sales: str, stores: str, products: str) -> Star:
     """The three raw CSV tables as text."""
@@ -32,6 +39,72 @@ def clean_star(raw: Star) -> Star:
     )
 
 
+@dataclass(frozen=True)
+class Judged:
+    """What one pass over the raw sales leaves: the cleaned ones (with their month), the rejects and the funnel."""
+
+    sales: DataFrame
+    rejects: DataFrame
+    funnel: DataFrame
+
+
+def observed(raw: Star, watch: Observation) -> DataFrame:
+    """The rows of one judged write, with the funnel observed behind the last shuffle.
+
+    There a task's rows count once: only finished tasks of the writing stage report.
+    """
+    judged = clean.folded(clean.judge(raw.sales, raw.stores, raw.products))
+    kept = F.col(clean.REASON).isNull()
+    placed = judged.withColumns({
+        OUTCOME: F.when(kept, "sales").otherwise("rejects"),
+        "month": F.when(kept, F.date_format("date", "yyyy-MM")).otherwise("none"),
+    })
+    return placed.hint("rebalance", F.col(OUTCOME), F.col("month")).observe(watch, *clean.funnel_metrics())
+
+
+def judge_once(raw: Star, folder: str) -> Judged:
+    """Clean sales, rejects and funnel out of one read and one judgement of the raw sales.
+
+    All rows are written to a new ``folder`` by outcome and month; the funnel is what the write observed.
+    """
+    spark = raw.sales.sparkSession
+    watch = Observation()
+    rows = observed(raw, watch)
+    rows.write.partitionBy(OUTCOME, "month").parquet(folder)
+    # Folder names are texts, whatever they look like.
+    kinds = T.StructType([T.StructField(f.name, T.StringType() if f.name in (OUTCOME, "month") else f.dataType) for f in rows.schema])
+    stored = spark.read.schema(kinds).parquet(folder)
+    raw_cells = [F.col(f"raw_{c}").alias(c) for c in schema.SALES_COLUMNS]
+    counted = watch.get
+    return Judged(
+        sales=stored.where(F.col(OUTCOME) == "sales").select(*schema.SALES_COLUMNS, "month"),
+        rejects=stored.where(F.col(OUTCOME) == "rejects").select(*raw_cells, clean.COPIES, clean.REASON),
+        funnel=spark.createDataFrame([(s, counted[s]) for s in clean.STAGES], "stage string, row_count bigint"),
+    )
+
+
+def read_source(spark: SparkSession, sales: str, stores: str, products: str, strict: bool = False) -> tuple[Star, Star]:
+    """The three raw CSV tables: (rows that fit their header, with their places; malformed rows).
+
+    ``strict`` raises where a row does not fit.
+    """
+    found = [
+        csv_rows.read_rows(spark, path, kinds, strict=strict)
+        for path, kinds in ((sales, schema.RAW_SALES), (stores, schema.RAW_STORES), (products, schema.RAW_PRODUCTS))
+    ]
+    good = [csv_rows.well_formed(t) for t in found]
+    return Star(good[0].drop(csv_rows.SOURCE), good[1], good[2]), Star(*[csv_rows.malformed(t) for t in found])
+
+
+def clean_source(raw: Star) -> Star:
+    """As ``clean_star`` for tables of ``read_source``: of rows with one id the first in the file stays."""
+    return Star(
+        clean.clean_sales(raw.sales, raw.stores, raw.products),
+        clean.clean_stores(raw.stores, csv_rows.SOURCE),
+        clean.clean_products(raw.products, csv_rows.SOURCE),
+    )
+
+
 def audit_report(raw: Star) -> DataFrame:
     """The whole quality report of the three raw tables."""
     return (

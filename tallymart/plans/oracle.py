@@ -647,6 +647,41 @@ def oracle_sql() -> dict[str, str]:
         "FROM raw_products UNION ALL "
         "SELECT 'N' || product_id, product_name, product_category, NULL FROM raw_products",
     )
+    sql["source_first_stores"] = with_(
+        RAW_DIMS,
+        """SELECT store_id, store_name, category, district FROM (
+            SELECT upper(trim(store_id)) AS store_id, store_name, category, district,
+                row_number() OVER (PARTITION BY upper(trim(store_id)) ORDER BY md5(store_id || store_name)) AS r
+            FROM (SELECT * FROM raw_stores UNION ALL
+                  SELECT ' ' || lower(store_id), '~' || store_name, category, district FROM raw_stores)) WHERE r = 1""",
+    )
+    sql["source_first_products"] = with_(
+        RAW_DIMS,
+        """SELECT product_id, product_name, product_category, unit_price, source_row FROM (
+            SELECT upper(product_id) AS product_id, product_name, product_category, TRY_CAST(unit_price AS DOUBLE) AS unit_price, source_row,
+                row_number() OVER (PARTITION BY upper(product_id) ORDER BY source_row) AS r
+            FROM (SELECT *, row_number() OVER (ORDER BY md5(product_id || product_name)) AS source_row
+                  FROM (SELECT * FROM raw_products UNION ALL
+                        SELECT lower(product_id), product_name, product_category, 'n/a' FROM raw_products))) WHERE r = 1""",
+    )
+    quoted = [f"'\"' || coalesce({c}, '') || '\"'" for c in schema.SALES_COLUMNS]
+    dirty_lines = f"""{RAW_SALES}, lines AS (SELECT *, {" || ',' || ".join(quoted)} AS line, {" || ',' || ".join(quoted[:5])} AS short FROM raw_sales)"""
+    sql["source_malformed"] = with_(
+        dirty_lines,
+        """SELECT source_record, reject_reason, COUNT(*) AS copies FROM (
+            SELECT CASE WHEN length(line) % 50 = 7 THEN line || ',"x"' ELSE short END AS source_record,
+                CASE WHEN length(line) % 50 = 7 THEN 'surplus_cells' ELSE 'missing_cells' END AS reject_reason
+            FROM lines WHERE length(line) % 50 IN (7, 8)) GROUP BY ALL""",
+    )
+    fitting = "SELECT * REPLACE (NULLIF(date, 'n/a') AS date) FROM lines WHERE length(line) % 50 NOT IN (7, 8)"
+    sql["source_malformed_audit"] = with_(
+        f"{dirty_lines}, fitting AS ({fitting})",
+        union([
+            metric("lines", "sales", "malformed_rows", None, reason, f"COUNT(*) FILTER (WHERE length(line) % 50 = {k})")
+            for reason, k in (("surplus_cells", 7), ("missing_cells", 8), ("unreadable", 50))
+        ] + missing("fitting", "sales", schema.SALES_COLUMNS)),
+    )
+    sql["once_sales"] = with_(JUDGED, f"SELECT {_AMOUNT_DOUBLE}, strftime(date, '%Y-%m') AS month FROM cleaned")
     sql["sales_clean"] = with_(JUDGED, f"SELECT {_AMOUNT_DOUBLE} FROM cleaned")
     stages = ["invalid_date", "invalid_qty", "invalid_amount", "invalid_store", "invalid_product"]
     sql["clean_funnel"] = with_(
@@ -665,6 +700,7 @@ def oracle_sql() -> dict[str, str]:
         "FROM judged WHERE reject_reason IS NOT NULL",
     )
 
+    sql["once_funnel"], sql["once_rejects"] = sql["clean_funnel"], sql["clean_rejects"]
     sql["verify_constraints"] = with_(UNCHECKED, constraint_rows())
     sql["verify_counts"] = with_(
         JUDGED,

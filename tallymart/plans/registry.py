@@ -27,7 +27,7 @@ from tallymart.operators import (
 )
 from tallymart.plans import adhoc, batch
 from tallymart.session import fresh_path, tune
-from tallymart.sources import files, sample
+from tallymart.sources import csv_rows, files, sample
 from tallymart.sources.star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,83 @@ def load_tables(spark, folder):
     return files.catalog(Star(sales, loaded.stores, loaded.products).tables())
 
 
+def _in_files(df: DataFrame, key: Column) -> DataFrame:
+    """The rows in four files, in the order of the key across them."""
+    return df.withColumn("_key", key).repartitionByRange(4, "_key").sortWithinPartitions("_key").drop("_key")
+
+
+@_query
+def source_first_stores(spark, folder):
+    """Stores under two spellings of each id, written to several files in hash order; the first in the files stays."""
+    raw = sample.raw_stores(spark, folder)
+    again = raw.select(
+        F.concat(F.lit(" "), F.lower("store_id")).alias("store_id"), F.concat(F.lit("~"), "store_name").alias("store_name"), "category", "district"
+    )
+    path = fresh_path(spark, "stores")
+    files.write_csv(_in_files(raw.unionByName(again), F.md5(F.concat("store_id", "store_name"))), path)
+    return clean.clean_stores(csv_rows.well_formed(csv_rows.read_rows(spark, path, schema.RAW_STORES)), csv_rows.SOURCE)
+
+
+@_query
+def source_first_products(spark, folder):
+    """As the stores, with the row number of the kept row."""
+    raw = sample.raw_products(spark, folder)
+    again = raw.withColumns({"product_id": F.lower("product_id"), "unit_price": F.lit("n/a")})
+    path = fresh_path(spark, "products")
+    files.write_csv(_in_files(raw.unionByName(again), F.md5(F.concat("product_id", "product_name"))), path)
+    rows = csv_rows.numbered(csv_rows.well_formed(csv_rows.read_rows(spark, path, schema.RAW_PRODUCTS)))
+    return clean.clean_products(rows.withColumn("place", F.col("source_row")), "place")
+
+
+def _dirty_csv(spark, folder) -> str:
+    """Raw sales as CSV lines without a header, some with a cell too many or too few by rule."""
+    quoted = [F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"')) for c in schema.SALES_COLUMNS]
+    line = F.concat_ws(",", *quoted)
+    size = F.length(line)
+    lines = sample.raw_sales(spark, folder).select(
+        F.when(size % 50 == 7, F.concat(line, F.lit(',"x"'))).when(size % 50 == 8, F.concat_ws(",", *quoted[:5])).otherwise(line).alias("value")
+    )
+    path = fresh_path(spark, "dirty")
+    lines.write.text(path)
+    return path
+
+
+@_query
+def source_malformed(spark, folder):
+    """The malformed lines of a dirty CSV, with their reason and number."""
+    return csv_rows.malformed(csv_rows.read_rows(spark, _dirty_csv(spark, folder), schema.RAW_SALES, header=False))
+
+
+@_query
+def source_malformed_audit(spark, folder):
+    """Malformed lines counted for the audit, beside the basic facts of the lines that fit."""
+    rows = csv_rows.read_rows(spark, _dirty_csv(spark, folder), schema.RAW_SALES, header=False)
+    good = csv_rows.well_formed(rows).drop(csv_rows.SOURCE)
+    return audit.malformed_rows(rows, "sales").unionByName(audit.missing_values(good, "sales"))
+
+
+def _judged(spark, folder) -> batch.Judged:
+    return batch.judge_once(_raw(spark, folder), fresh_path(spark, "judged"))
+
+
+@_query
+def once_sales(spark, folder):
+    """Cleaned sales out of the one judged write."""
+    return _judged(spark, folder).sales.withColumn("amount", F.col("amount").cast("double"))
+
+
+@_query
+def once_rejects(spark, folder):
+    """Rejected rows out of the one judged write."""
+    return _judged(spark, folder).rejects
+
+
+@_query
+def once_funnel(spark, folder):
+    """The funnel that the judged write observed."""
+    return _judged(spark, folder).funnel
+
+
 def _processed(spark, folder) -> Star:
     """Raw tables cleaned, loaded and read back: what the queries of a user run on."""
     return files.load(batch.clean_star(_raw(spark, folder)), fresh_path(spark, "layer"))
