@@ -54,12 +54,7 @@ BREAKS[0x30:0x3A] = BREAKS[0x41:0x5B] = BREAKS[0x61:0x7B] = BREAKS[0x80:] = Fals
 def terms(data: np.ndarray, at: np.ndarray) -> tuple[text.Words, pa.Array]:
     """The places of a slice's terms and the terms themselves."""
     cut = text.words(data, at, BREAKS)
-    lengths = cut.end - cut.start
-    ends = np.concatenate(([0], np.cumsum(lengths)))
-    body = cut.data[np.repeat(cut.start - ends[:-1], lengths) + np.arange(ends[-1])]
-    return cut, pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body)]
-    )
+    return cut, cut.array()
 
 
 @dataclass

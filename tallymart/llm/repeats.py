@@ -291,14 +291,8 @@ def runs_of(w: np.ndarray, pair: np.ndarray, twice: np.ndarray) -> list[tuple[in
 
 def _numbered(cut: text.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's number (equal bytes, equal number), and the words' bytes without what parts them."""
-    lengths = cut.end - cut.start
-    at = np.concatenate(([0], np.cumsum(lengths)))
-    take = np.repeat(cut.start - at[:-1], lengths) + np.arange(at[-1])
-    body = cut.data[take]
-    array = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)]
-    )
-    return array.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), body, at
+    body, at = cut.packed()
+    return cut.array().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), body, at
 
 
 def _pairs(number: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

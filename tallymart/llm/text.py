@@ -20,9 +20,8 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-# Base of the rolling hash and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+# Parts the places of a word's blocks, and words of different lengths.
+_PLACE, _LENGTH = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -53,9 +52,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and len + 1 offsets into them; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
     if texts.null_count:
-        texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
+        texts = texts.fill_null(b"" if binary else "")
+    texts = texts.cast(pa.large_binary() if binary else pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if data is None or len(at) == 0:
@@ -93,14 +93,39 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same in every text and process."""
-        n = len(self.data)
-        if not len(self.start):
+        """A 64-bit hash of each word's bytes, the same in every text and process.
+
+        Each eight bytes are mixed with their place in the word before they are summed up: a
+        sum of bytes times powers would give equal hashes to words that are easy to write down.
+        Where equal words are promised, bytes decide (``numbers``).
+        """
+        lengths = self.end - self.start
+        blocks = (lengths + 7) >> 3
+        last = np.cumsum(blocks)
+        if not len(last):
             return np.zeros(0, dtype=_U)
-        sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * powers(_BASE, n), out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * powers(_INVERSE, n)[self.start]
-        return mix(raw)
+        place = np.arange(last[-1]) - np.repeat(last - blocks, blocks)
+        at = np.repeat(self.start, blocks) + 8 * place
+        padded = np.concatenate((self.data, np.zeros(8, dtype=np.uint8)))
+        value = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view("<u8")[:, 0]
+        # The last block of a word keeps the bytes that are the word's.
+        rest = _U(8) * (blocks * 8 - lengths).astype(_U)
+        value[last - 1] = value[last - 1] << rest >> rest
+        mixed = mix(value + (place.astype(_U) + _U(1)) * _PLACE)
+        return mix(np.add.reduceat(mixed, last - blocks) + lengths.astype(_U) * _LENGTH)
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words' bytes without what parts them, and their offsets."""
+        lengths = self.end - self.start
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        return self.data[np.repeat(self.start - at[:-1], lengths) + np.arange(at[-1])], at
+
+    def array(self) -> pa.Array:
+        """The words as Arrow binaries."""
+        body, at = self.packed()
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)]
+        )
 
 
 def words(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE, lower: bool = True) -> Words:

@@ -2,8 +2,8 @@
 
 Normalising (NFC, lower case by character), cutting into words and the word-end BPE follow the
 vocabulary file. Characters are cut into words with array operations over many texts; each distinct
-word then runs through the transducer of ``transducer.py`` once, and its count is kept for later texts
-of the task up to a bound. The file's content is read on the driver and broadcast: its size is fixed.
+word, told by its bytes, then runs through the transducer of ``transducer.py`` once, and its count is kept for
+later texts of the task up to a bound. The file's content is read on the driver and broadcast: its size is fixed.
 """
 
 from __future__ import annotations
@@ -51,8 +51,7 @@ class Counter:
         # Classes of characters are asked of the file's own pattern, character by character.
         self.cut = Split(Regex(cut["pattern"]["Regex"]), "removed", invert=True)
         self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
-        self.words = np.zeros(0, dtype=np.uint64)
-        self.counts = np.zeros(0, dtype=np.int64)
+        self.known: dict[bytes, int] = {}
 
     def _classify(self, codes: np.ndarray) -> None:
         for code in codes.tolist():
@@ -110,9 +109,9 @@ class Counter:
         body = joined.encode("utf-8")
         data = np.frombuffer(body, dtype=np.uint8)
         a, b = at[start], at[end]
-        hashes = text.Words(data, a, b, a, a, 0).hashes()
-        distinct, one, place = np.unique(hashes, return_index=True, return_inverse=True)
-        counted = self._known(distinct, [(body, a, b, one)])
+        encoded = text.Words(data, a, b, a, a, 0).array().dictionary_encode()
+        counted = self._counts(encoded.dictionary.to_pylist())
+        place = encoded.indices.to_numpy(zero_copy_only=False)
         rows = np.cumsum([0, *(len(p) + 1 for p in part)])
         row = np.searchsorted(rows, start, side="right") - 1
         return np.bincount(row, counted[place], minlength=len(part)).astype(np.int64)
@@ -131,25 +130,15 @@ class Counter:
             opens[after] |= kind[after] == LETTER
             quote = np.setdiff1d(quote, fits, assume_unique=True)
 
-    def _known(self, distinct: np.ndarray, source: list) -> np.ndarray:
-        """Counts of distinct words; new ones run through the transducer."""
-        counts = np.zeros(len(distinct), dtype=np.int64)
-        place = np.minimum(np.searchsorted(self.words, distinct), max(0, len(self.words) - 1))
-        known = self.words[place] == distinct if len(self.words) else np.zeros(len(distinct), dtype=bool)
-        counts[known] = self.counts[place[known]]
-        new = np.flatnonzero(~known)
-        body, a, b, one = source[0]
-        run = self.machine.count
-        counts[new] = [run(body[i:j]) for i, j in zip(a[one[new]].tolist(), b[one[new]].tolist(), strict=True)]
-        if len(new):
-            if len(self.words) + len(new) > KEPT_WORDS:
-                self.words, self.counts = distinct[new], counts[new]
-            else:
-                words = np.concatenate((self.words, distinct[new]))
-                order = np.argsort(words, kind="stable")
-                self.words = words[order]
-                self.counts = np.concatenate((self.counts, counts[new]))[order]
-        return counts
+    def _counts(self, distinct: list[bytes]) -> np.ndarray:
+        """Counts of distinct words; those not met yet run through the transducer."""
+        known, run = self.known, self.machine.count
+        if len(known) + len(distinct) > KEPT_WORDS:
+            known.clear()
+        for word in distinct:
+            if word not in known:
+                known[word] = run(word)
+        return np.fromiter((known[word] for word in distinct), dtype=np.int64, count=len(distinct))
 
 
 def counter(content: str) -> Counter:
