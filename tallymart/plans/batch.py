@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart import schema
-from tallymart.operators import audit, clean
+from tallymart.operators import audit, clean, document
+from tallymart.session import stored
 from tallymart.sources import csv_rows
 from tallymart.sources.files import read_raw_csv
 from tallymart.sources.star import Star
@@ -114,6 +115,12 @@ def audit_report(raw: Star) -> DataFrame:
     )
 
 
+def audit_document(raw: Star) -> DataFrame:
+    """The report as one nested row. The metric rows are stored first: the document and its ranks both read them."""
+    report = stored(audit_report(raw), "audit")
+    return document.document(report, {name: table.columns for name, table in raw.tables().items()})
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """JSON lines, text kept as it is. The histogram part can be long, so it stays in parts."""
     report.write.mode("overwrite").json(path)

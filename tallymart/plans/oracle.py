@@ -568,6 +568,19 @@ def question_answers() -> str:
     return with_(f"{STAR}, {ASKED}, {plan}, {meant}, {asks}", "\nUNION ALL BY NAME ".join(parts))
 
 
+def sql_catalog() -> str:
+    """Columns and filled cells of the loaded tables."""
+    return with_(
+        JUDGED,
+        "SELECT * FROM ("
+        + catalog(_LOADED_CATALOG)
+        .replace("FROM sales", "FROM cleaned")
+        .replace("FROM stores", "FROM raw_stores")
+        .replace("FROM products", "FROM raw_products")
+        + ")",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -593,18 +606,15 @@ def oracle_sql() -> dict[str, str]:
         RAW_SALES,
         "SELECT order_id, NULLIF(date, 'n/a') AS date, store_id, product_id, qty, amount, payment FROM raw_sales",
     )
+    required = ["sales.order_id", "sales.date", "sales.store_id", "sales.product_id", "sales.qty", "sales.amount",
+                "stores.store_id", "stores.store_name", "products.product_id", "products.product_name"]
+    names = ", ".join(f"'{r}'" for r in required)
+    sql["catalog_tables"] = "WITH listed AS (" + sql_catalog() + f""")
+        SELECT *, table_name || '.' || column_name IN ({names}) AS required FROM listed"""
     sql["clean_roundtrip"] = with_(
         JUDGED, f"SELECT {_AMOUNT_DOUBLE}, strftime(date, '%Y-%m') AS month FROM cleaned"
     )
-    sql["load_tables"] = with_(
-        JUDGED,
-        "SELECT * FROM ("
-        + catalog(_LOADED_CATALOG)
-        .replace("FROM sales", "FROM cleaned")
-        .replace("FROM stores", "FROM raw_stores")
-        .replace("FROM products", "FROM raw_products")
-        + ")",
-    )
+    sql["load_tables"] = sql_catalog()
     sql["catalog_columns"] = with_(STAR, catalog(_SAMPLE_CATALOG))
 
     sql["audit_basic"] = with_(RAW, union(basic("raw_sales", "sales", _SALES_COLUMNS)))
@@ -620,6 +630,26 @@ def oracle_sql() -> dict[str, str]:
     sql["audit_dims"] = with_(RAW, union(_DIMS))
     sql["audit_report"] = with_(RAW, union(_SALES_AUDIT + _DIMS))
 
+    unknown = " UNION ALL ".join(
+        f"""SELECT 'sales' AS table_name, '{k}' AS column_name, {strip(f"coalesce({k}, '')")} AS value, COUNT(*) AS row_count
+        FROM raw_sales WHERE {strip(f"coalesce({k}, '')")} NOT IN (SELECT {k} FROM {t}) GROUP BY ALL"""
+        for k, t in (("store_id", "raw_stores"), ("product_id", "raw_products"))
+    )
+    ranked = f"""SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY row_count DESC, value) AS rank FROM ({unknown})"""
+    sql["audit_ranked_values"] = with_(RAW, ranked)
+    sql["audit_document"] = with_(
+        f"{RAW}, ranked AS ({ranked})",
+        f"""SELECT COUNT(*) AS sales_rows, '{','.join(schema.SALES_COLUMNS)}' AS sales_columns, 'str' AS qty_dtype,
+            CAST(round(COUNT(*) FILTER (WHERE amount IS NULL) / COUNT(*), 6) AS DOUBLE) AS amount_missing_rate,
+            (SELECT CAST(SUM(n) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM raw_sales GROUP BY order_id, date, store_id, product_id, qty, amount, payment) WHERE n > 1) AS duplicate_rows,
+            (SELECT CAST(SUM(n) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM raw_sales GROUP BY order_id) WHERE n > 1) AS order_rows,
+            COUNT(*) FILTER (WHERE contains(date, '.')) AS dotted_dates, CAST(MAX({date_of('date')}) AS VARCHAR) AS max_date,
+            (SELECT CAST(SUM(row_count) AS BIGINT) FROM ranked WHERE column_name = 'store_id') AS unknown_stores,
+            (SELECT string_agg(value || ':' || row_count, ',' ORDER BY rank) FROM ranked WHERE column_name = 'store_id' AND rank <= 3)
+                AS first_unknown_stores,
+            COUNT(*) FILTER (WHERE {money('amount')} < 0) AS negative_amounts, 'store_id' AS stores_key, CAST(0 AS BIGINT) AS product_copies
+        FROM raw_sales""",
+    )
     sql["clean_dedup"] = with_(RAW_SALES, "SELECT DISTINCT * FROM raw_sales")
     for key, column, cleaned in [
         ("clean_ids", "order_id", ident("order_id")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from tallymart.operators import (
     audit,
     clean,
     dashboard,
+    document,
     facts,
     numbering,
     questions,
@@ -27,7 +29,7 @@ from tallymart.operators import (
 )
 from tallymart.plans import adhoc, batch
 from tallymart.session import fresh_path, tune
-from tallymart.sources import csv_rows, files, sample
+from tallymart.sources import csv_rows, files, sample, tables
 from tallymart.sources.star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +202,15 @@ def once_funnel(spark, folder):
     return _judged(spark, folder).funnel
 
 
+@_query
+def catalog_tables(spark, folder):
+    """The star loaded into tables of the catalog, and what the catalog lists of them."""
+    database = f"tallymart_{uuid.uuid4().hex}"
+    tables.create_database(spark, database, fresh_path(spark, "database"))
+    tables.load_tables(batch.clean_star(_raw(spark, folder)), database)
+    return tables.listing(spark, database).drop("comment")
+
+
 def _processed(spark, folder) -> Star:
     """Raw tables cleaned, loaded and read back: what the queries of a user run on."""
     return files.load(batch.clean_star(_raw(spark, folder)), fresh_path(spark, "layer"))
@@ -302,6 +313,38 @@ def audit_report(spark, folder):
     return spark.read.schema(schema.all_text(audit.REPORT)).json(path)
 
 
+@_query
+def audit_ranked_values(spark, folder):
+    """Unknown references of the fact, the most frequent first."""
+    return document.ranked_values(batch.audit_report(_raw(spark, folder)))
+
+
+@_query
+def audit_document(spark, folder):
+    """Parts of the report's one document, written as JSON and read back."""
+    raw = _raw(spark, folder)
+    path = fresh_path(spark, "document")
+    made = batch.audit_document(raw)
+    made.write.json(path)
+    read = spark.read.schema(made.schema).json(path)
+    invalid = F.transform("sales.foreign_keys.store_id.invalid_values", lambda x: F.concat_ws(":", x["value"], x["row_count"]))
+    return read.select(
+        F.col("sales.basic_info.row_count").alias("sales_rows"),
+        F.array_join("sales.basic_info.columns", ",").alias("sales_columns"),
+        F.col("sales.basic_info.dtypes.qty").alias("qty_dtype"),
+        F.col("sales.missing_values.amount.missing_rate").alias("amount_missing_rate"),
+        F.col("sales.duplicate_rows").alias("duplicate_rows"),
+        F.col("sales.order_id.duplicate_order_id_row_count").alias("order_rows"),
+        F.col("sales.dates.date_format_separator_stats.`.`").alias("dotted_dates"),
+        F.col("sales.dates.max_date").alias("max_date"),
+        F.col("sales.foreign_keys.store_id.invalid_count").alias("unknown_stores"),
+        F.array_join(F.slice(invalid, 1, 3), ",").alias("first_unknown_stores"),
+        F.col("sales.amount.negative_count").alias("negative_amounts"),
+        F.col("stores.primary_key.column").alias("stores_key"),
+        F.col("products.primary_key.duplicate_count").alias("product_copies"),
+    )
+
+
 # --- cleaning ----------------------------------------------------------------------------
 
 
