@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallymart.functions.sizes import broadcast_if_small
 from tallymart.llm import frames
 
 ENTROPY_SHARE = 0.95
@@ -134,18 +135,24 @@ def schedule(units: DataFrame, mix_of: Mix, block_docs: int = BLOCK_DOCS, seed:
     known = spark.createDataFrame(
         [(s, t, b) for s, t, _, b in mix_of.sources], "mix_source string, source_tokens long, source_budget long"
     )
+    # A source without a word has no weight and costs nothing: it gets one epoch, for which any budget will do.
     sizes = units.groupBy("source").agg(F.count("*").alias("units"))
-    known = known.join(sizes, F.col("mix_source").eqNullSafe(F.col("source"))).select(
-        "mix_source", "source_tokens", "source_budget", F.ceil(F.col("units") / block_docs).alias("blocks")
+    known = sizes.join(known, F.col("source").eqNullSafe(F.col("mix_source")), "left").select(
+        F.col("source").alias("mix_source"),
+        F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
+        F.coalesce("source_budget", F.lit(1)).alias("source_budget"),
+        F.ceil(F.col("units") / block_docs).alias("blocks"),
     )
-    rows = units.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("mix_source")))
+    rows = units.join(broadcast_if_small(known), F.col("source").eqNullSafe(F.col("mix_source")))
     rows = rows.withColumn("block", F.pmod(_place(seed, "block", F.col("doc_id"), F.col("n_tokens")), F.col("blocks")))
     rows = rows.withColumn("weight", F.col("n_tokens") * F.col("copies"))
 
     # Whole epochs take every block; of the last one, blocks that end within the budget are whole.
     blocks = rows.groupBy("source", "block", "source_tokens", "source_budget").agg(F.sum("weight").alias("size"))
-    whole = F.floor(F.col("source_budget") / F.col("source_tokens"))
-    blocks = blocks.withColumn("last", whole + F.when(F.col("source_budget") % F.col("source_tokens") > 0, 1).otherwise(0))
+    tokens = F.nullif("source_tokens", F.lit(0))
+    whole = F.floor(F.col("source_budget") / tokens)
+    epochs = whole + F.when(F.col("source_budget") % tokens > 0, 1).otherwise(0)
+    blocks = blocks.withColumn("last", F.coalesce(epochs, F.lit(1)))
     turns = blocks.where("last > 0").select(
         "source", "block", "size", "source_tokens", "source_budget", F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).alias("epoch")
     )
@@ -212,11 +219,11 @@ def mix(
 ) -> DataFrame:
     """The mix as rows ``(doc_id, source, n_tokens, epoch, block, block_place, tokens_before)``.
 
-    One row for each epoch a document is in; without a budget every document with a word is in the
+    One row for each epoch a document is in; without a budget every document is in the
     first. Rows with equal (source, id, token count) stand or fall together and give one row each.
     A null source is a source of its own; null ids are allowed. Texts without words carry no
     weight: they are returned for each epoch of their block like any other, and a source of such
-    texts alone has no budget and gives no rows. An empty table gives no rows.
+    texts alone is returned once, whatever the budget. An empty table gives no rows.
     """
     rows = docs.select(
         frames.col(docs, source_col).cast("string").alias("source"),
@@ -226,8 +233,6 @@ def mix(
     units = frames.store(rows.groupBy("source", "doc_id", "n_tokens").agg(F.count("*").alias("copies")), "units")
     totals = units.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
     made = plan_mix(totals, entropy_share, max_epochs, budget)
-    if not made.sources:
-        made = Mix(1.0, 0.0, [("", 1, 1.0, 0)])
     found = schedule(units, made, block_docs, seed)
     return found.select(
         "source", "doc_id", "n_tokens", "epoch", "block", "block_place", "tokens_before",
@@ -298,14 +303,15 @@ exponent AS (SELECT good AS x FROM fit ORDER BY i DESC LIMIT 1),
 weighted AS (
   SELECT source, t, pow(t / whole, x) / sum(pow(t / whole, x)) OVER () AS w FROM totals, lists, exponent),
 budgets AS (
-  SELECT source, t, CAST(floor(w * max(t / w) OVER () + 0.5) AS BIGINT) AS budget FROM weighted),
+  SELECT source, t, CAST(floor(w * max(t / w) OVER () + 0.5) AS BIGINT) AS budget FROM weighted
+  UNION ALL SELECT source, 0, 1 FROM units GROUP BY 1 HAVING sum(n_tokens * copies) = 0),
 sizes AS (SELECT source, CAST(ceil(count(*) / {BLOCK_DOCS}) AS BIGINT) AS blocks FROM units GROUP BY 1),
 rows_ AS (
   SELECT u.*, n_tokens * copies AS weight, t, budget, {row} % blocks AS block
   FROM units u JOIN budgets b ON u.source IS NOT DISTINCT FROM b.source JOIN sizes s ON u.source IS NOT DISTINCT FROM s.source),
 turns AS (
   SELECT *, budget - (epoch - 1) * t AS rest, {turn} AS place
-  FROM (SELECT *, unnest(range(1, budget // t + CASE WHEN budget % t > 0 THEN 1 ELSE 0 END + 1)) AS epoch
+  FROM (SELECT *, unnest(range(1, CASE WHEN t = 0 THEN 1 ELSE budget // t + CASE WHEN budget % t > 0 THEN 1 ELSE 0 END END + 1)) AS epoch
         FROM (SELECT source, block, t, budget, sum(weight) AS size FROM rows_ GROUP BY ALL))),
 ordered AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source, epoch ORDER BY place, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,

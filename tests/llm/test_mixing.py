@@ -52,7 +52,23 @@ def test_odd_rows(odd, clashing, nothing):
     assert {(r["doc_id"], r["source"]) for r in rows} >= {(1, "a"), (2, "a"), (7, "a"), (9, "c"), (3, None), (None, "c")}
     assert sum(r["doc_id"] == 2 and r["epoch"] == 1 for r in rows) == 2
     assert mixing.mix(nothing).collect() == []
-    assert mixing.mix(odd.where("text is null")).collect() == []
+    assert sorted(r["epoch"] for r in mixing.mix(odd.where("text is null")).collect()) == [1, 1]
     mixed = mixing.mixed_documents(clashing)
     assert mixed.columns == [*clashing.columns, "_epoch", "_block", "block_place", "tokens_before"]
     assert mixed.count() == len(rows)
+
+
+def test_sources_without_a_word_are_kept(spark, documents):
+    extra = [(-1, "", "y"), (-2, None, "y"), (-2, None, "y"), (-3, " \t", ""), (-4, "", None), (-5, "", "x"), (-6, "one two", "x")]
+    more = spark.createDataFrame(extra, "doc_id long, text string, source string")
+    docs = documents.select("doc_id", "text", "source").union(more)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    rows = mixing.mix(docs)
+    assert difference(rows, con, mixing.oracle()) is None
+    first = sorted(r["doc_id"] for r in rows.where("epoch = 1").collect())
+    assert first == sorted(r["doc_id"] for r in docs.collect())
+    assert rows.where("source = 'y'").count() == 3
+    assert mixing.mixed_documents(more).where("epoch = 1").count() == 7
+    given = mixing.mix(docs, budget=500.0).where("source = 'y' or source = ''")
+    assert sorted(r["doc_id"] for r in given.collect()) == [-3, -2, -2, -1]
