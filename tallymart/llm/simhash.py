@@ -14,6 +14,7 @@ returns a spanning forest and never the pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -117,6 +118,17 @@ def masks(blocks: int = BLOCKS, max_bits: int = MAX_BITS) -> list[int]:
     return found
 
 
+def blocks_for(fingerprints: int, max_bits: int = MAX_BITS) -> int:
+    """The number of blocks, ``BLOCKS`` at least, whose keys have as many bits as it takes to tell so many apart.
+
+    Chance candidates then grow with the number of fingerprints and not with its square.
+    """
+    blocks = max(BLOCKS, max_bits + 1)
+    while blocks < 16 and 64 * (blocks - max_bits) // blocks < math.log2(max(2, fingerprints)):
+        blocks += 1
+    return blocks
+
+
 def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (member, smallest member) of the components of one bucket."""
     left = np.unique(fps)
@@ -197,17 +209,22 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, chunk:
     return pairs.union(spread.mapInArrow(forests, "a long, b long"))
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, blocks: int) -> DataFrame:
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, blocks: int | None) -> DataFrame:
     """Rows ``(doc_id, fp, component_id)``, one a document."""
     rows = docs.select(frames.col(docs, id_col).alias("doc_id"), frames.col(docs, text_col).alias("text"))
     rows = frames.store(with_fingerprint(rows, "text", shingle, "fp").select("doc_id", "fp"), "simhash")
     classes = frames.store(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    if blocks is None:
+        blocks = blocks_for(classes.count(), max_bits)
     found = frames.components(links(classes.select("fp"), max_bits, blocks))
     member = classes.join(found, classes.fp == found.node, "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
-    lows = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(lows, "root").select(F.col("fp").alias("own"), "component_id")
+    # Only components of several fingerprints are looked up: a giant one is a hot key of that join.
+    member = frames.store(member, "members")
+    lows = member.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    lows = broadcast_if_small(frames.store(lows.where("n > 1").select("root", "component_id"), "lows"))
+    named = member.join(lows, "root", "left").select(F.col("fp").alias("own"), F.coalesce("component_id", "low").alias("component_id"))
     return rows.join(named, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
 
 
@@ -217,7 +234,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = SHINGLE,
     max_bits: int = MAX_BITS,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
 
@@ -237,7 +254,7 @@ def keep_first(
     text_col: str = "text",
     shingle: int = SHINGLE,
     max_bits: int = MAX_BITS,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` that open their component: the one with its smallest id stays.
 
