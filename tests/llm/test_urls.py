@@ -55,22 +55,68 @@ def test_the_ratio_tells_unseen_urls_apart(spark):
     assert scores[0] >= model.threshold > scores[1]
 
 
+def plain_probability(counts, url, k):
+    """Of byte k of a URL, from a plain table of n-gram counts, order by order."""
+    p = 1 / 256
+    for order in range(urls.ORDER + 1):
+        context = url[max(0, k - order) : k].rjust(order, b"\0") if order else b""
+        # A context that the start cuts short is one of its own at that order.
+        key = (order, context if k >= order else (url[:k], "cut"))
+        seen = counts.get((key, url[k]), 0)
+        whole = sum(n for (c, _), n in counts.items() if c == key)
+        p = (seen + urls.PRIOR * p) / (whole + urls.PRIOR)
+    return p
+
+
+def test_scores_equal_a_plain_table(spark):
+    """Counts of all n-grams but those of the calibration fold, and the ratio byte by byte."""
+    rows = [(f"http://{w}{i}.net/{w}?q={i}#{w}", w == "good") for i in range(12) for w in ("good", "spam")] + [("", True)]
+    known = spark.createDataFrame(rows, "url string, allowed boolean")
+    model = urls.train(known)
+    learned = known.where(F.pmod(F.xxhash64("url"), F.lit(urls.CALIBRATION_FOLDS)) != 0).collect()
+    tables = [{}, {}]
+    for r in learned:
+        url = r["url"].encode()
+        for k in range(len(url)):
+            for order in range(urls.ORDER + 1):
+                key = (order, (url[k - order : k] if order else b"") if k >= order else (url[:k], "cut"))
+                entry = (key, url[k])
+                tables[r["allowed"]][entry] = tables[r["allowed"]].get(entry, 0) + 1
+    for value in ("http://good3.net/good?q=3", "spam", "x\u00e9", ""):
+        url = value.encode()
+        ratio = sum(
+            np.log(plain_probability(tables[1], url, k)) - np.log(plain_probability(tables[0], url, k)) for k in range(len(url))
+        ) / max(1, len(url))
+        assert model.scores(pa.array([value]))[0] == pytest.approx(ratio, abs=1e-12)
+
+
 def test_probabilities_sum_to_one():
     """Over all 256 next bytes, for a model of a few counts."""
     draw = np.random.default_rng(0)
-    model = urls.Model(np.zeros((2, urls.CELLS)))
-    for _ in range(2):
-        data = draw.integers(97, 100, 30).astype(np.uint8)
-        for context, both in urls._contexts(data, np.array([0, 30])):
-            np.add.at(model.counts[0], np.concatenate((context, both)), 1)
+    grams = np.concatenate([np.concatenate(list(urls._grams(draw.integers(97, 100, 30).astype(np.uint8), np.array([0, 30])))) for _ in range(2)])
+    different, n = np.unique(grams, return_counts=True)
+    model = urls.Model.of(different, np.stack([n, n]))
     prefix = np.array([97, 98, 99, 97], dtype=np.uint8)
-    total = 0.0
-    for byte in range(256):
-        p = 1 / 256
-        for context, both in urls._contexts(np.append(prefix, np.uint8(byte)), np.array([0, 5])):
-            p = (model.counts[0, both[-1]] + urls.PRIOR * p) / (model.counts[0, context[-1]] + urls.PRIOR)
-        total += p
-    assert total == pytest.approx(1.0, abs=0.02)  # hashed cells may be shared
+    last = [model.probabilities(np.append(prefix, np.uint8(byte)), np.array([0, 5]))[0, -1] for byte in range(256)]
+    assert sum(last) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_the_rarest_grams_make_way(spark):
+    rows = [(f"http://good{i}.net/", True) for i in range(200)] + [(f"http://spam{i}.net/", False) for i in range(200)]
+    known = spark.createDataFrame(rows, "url string, allowed boolean")
+    whole, small = urls.train(known), urls.train(known, most_grams=300)
+    assert len(small.grams) <= 300 < len(whole.grams)
+    for model in (whole, small):
+        scores = model.scores(pa.array(["http://good999.net/", "http://spam999.net/"]))
+        assert scores[0] > scores[1]
+
+
+def test_query_and_fragment_are_read(spark):
+    rows = [(i, f"http://www.x.org/p?kind=good{i}") for i in range(100)] + [(100 + i, f"http://y.com/de/p?kind=casino{i}") for i in range(100)]
+    rows += [(900, "http://other.net/p?kind=good7777"), (901, "http://other.net/p?kind=casino7777"), (902, "http://other.net/p#casino"), (903, "http://other.net/p#good")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in urls.judge(pages, RULES).where("page_id >= 900").collect()}
+    assert got[900] > got[901] and got[903] > got[902]
 
 
 def test_no_rules_no_rows(spark):
