@@ -7,12 +7,17 @@ pruning keeps the diverse ones, and reverse edges are added and pruned likewise.
 the shard's centre answers a query; the lists of all shards are merged by exact score.
 
 Inner product becomes a distance by one more coordinate, sqrt(M ** 2 - |x| ** 2), where M is the
-largest norm: then the nearest vector of a query has the largest product. Scores are computed from
-the original components in double precision.
+largest norm: then the nearest vector of a query has the largest product. Where norms differ, small
+vectors would all crowd at the pole, so a shard is layered by norm, each layer within the factor ``RATIO``
+and with a graph of its own; a query visits layers from the largest norm down and skips those whose
+norm times its own cannot reach its list. Scores are computed from the original components in double precision.
+
+How wide a beam must be depends on the data. Each layer tries the shard's own vectors as queries and doubles
+its beam until the share ``RECALL`` of their true neighbours is found; the width is stored with the graph.
 
 A search costs about the logarithm of the shard's size, and each query visits each shard, so choose
 ``shard_rows`` as large as the memory of a task allows: a row takes about 12 bytes a component and 4 an
-edge. Graphs are stored; queries come in blocks, each of which meets each shard in a task of its own.
+edge. Graphs are stored; queries come in blocks of ``BLOCK_BYTES``, each of which meets each shard in a task of its own.
 """
 
 from __future__ import annotations
@@ -29,13 +34,17 @@ from tallymart.llm import frames
 
 K = 20
 SHARD_ROWS = 4096
-QUERY_BLOCK = 4096
+BLOCK_BYTES = 32 << 20
 DEGREE = 24
 BEAM = 48
 SEARCH_BEAM = 64
 RELAX = 1.2
 BATCH = 256
 EXPAND = 3
+RATIO = 1.25
+LEAST_LAYER = 64
+RECALL = 0.95
+TRIED = 64
 
 
 def usable(vector: Column) -> Column:
@@ -150,6 +159,41 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: flo
     return edges, entry
 
 
+def layers(norms: np.ndarray, ratio: float = RATIO, least: int = LEAST_LAYER) -> list[np.ndarray]:
+    """Node numbers by layer, from the largest norm down: norms within ``ratio``, or the next ``least`` nodes."""
+    order = np.argsort(-norms, kind="stable")
+    falling, found, at = norms[order], [], 0
+    while at < len(order):
+        end = int(np.searchsorted(-falling, -falling[at] / ratio, side="right"))
+        end = max(end, at + least)
+        if len(order) - end < least:
+            end = len(order)
+        found.append(order[at:end])
+        at = end
+    return found
+
+
+def wide_enough(
+    vectors: np.ndarray, points: np.ndarray, edges: np.ndarray, entry: int, tried: np.ndarray, k: int, beam: int, recall: float = RECALL
+) -> int:
+    """The beam, doubled as needed, that finds the share ``recall`` of the true ``k`` neighbours of ``tried``."""
+    n = len(points)
+    if beam >= n:
+        return beam
+    exact = tried @ vectors.T
+    bar = np.partition(exact, n - k, axis=1)[:, n - k] if n > k else exact.min(axis=1)
+    lifted = np.concatenate((tried, np.zeros((len(tried), 1))), axis=1)
+    while beam < n:
+        found, far = beam_search(points, edges, entry, lifted, beam)
+        product = np.where(np.isfinite(far), np.take_along_axis(exact, found, axis=1), -np.inf)
+        # Scores decide, so of equal vectors any will do.
+        hit = np.minimum((product >= bar[:, None]).sum(axis=1), k)
+        if hit.mean() >= recall * min(k, n):
+            break
+        beam *= 2
+    return beam
+
+
 def _link_back(points: np.ndarray, edges: np.ndarray, own: np.ndarray, degree: int, relax: float) -> None:
     """Add the reverse of the edges of ``own``; full nodes are pruned again."""
     source = np.repeat(own, degree)
@@ -190,7 +234,7 @@ def index(
     beam: int = BEAM,
     relax: float = RELAX,
 ) -> DataFrame:
-    """The stored graph: rows (shard, place, ids, vector, edges, entry, largest), one a distinct vector.
+    """The stored graph: rows (shard, layer, place, entry, beam, ids, vector, edges, largest), one a distinct vector.
 
     Every usable vector with an id is in it. All vectors must have one length; others raise.
     """
@@ -203,26 +247,34 @@ def index(
     ranked = rows.distinct().withColumn("n", F.row_number().over(W.partitionBy("vector").orderBy("id")))
     nodes = ranked.where(F.col("n") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     nodes = frames.store(nodes, "nodes")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    facts = nodes.agg(
-        F.count("*").alias("n"), F.max(norm).alias("norm"), F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b")
-    ).first()
+    facts = nodes.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b")).first()
     if facts["a"] != facts["b"]:
         raise ValueError(f"vectors of {facts['a']} to {facts['b']} components")
-    shards, largest = max(1, -(-facts["n"] // shard_rows)), float(facts["norm"] or 0.0)
+    shards = max(1, -(-facts["n"] // shard_rows))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
 
     def make(table: pa.Table) -> pa.Table:
-        points = _lifted(_matrix(table["vector"]), largest)
-        edges, entry = build(points, degree, beam, relax)
-        n = len(points)
+        vectors = _matrix(table["vector"])
+        n = len(vectors)
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        tried = vectors[np.random.default_rng(7).permutation(n)[:TRIED]]
+        own = {c: np.zeros(n, dtype=np.int32) for c in ("layer", "place", "entry", "beam")}
+        largest, links = np.zeros(n), np.full((n, degree), -1, dtype=np.int32)
+        for number, members in enumerate(layers(norms)):
+            top = float(norms[members[0]])
+            points = _lifted(vectors[members], top)
+            edges, entry = build(points, degree, beam, relax)
+            width = wide_enough(vectors[members], points, edges, entry, tried, k + 1, max(SEARCH_BEAM, k + 1))
+            links[members], largest[members] = edges, top
+            for column, value in (("layer", number), ("place", np.arange(len(members))), ("entry", entry), ("beam", width)):
+                own[column][members] = value
         return pa.table({
-            "shard": table["shard"], "place": pa.array(np.arange(n, dtype=np.int32)), "ids": table["ids"], "vector": table["vector"],
-            "edges": pa.FixedSizeListArray.from_arrays(pa.array(edges.astype(np.int32).ravel()), degree).cast(pa.list_(pa.int32())),
-            "entry": pa.array(np.full(n, entry, dtype=np.int32)), "largest": pa.array(np.full(n, largest)),
+            "shard": table["shard"], **{c: pa.array(v) for c, v in own.items()}, "ids": table["ids"], "vector": table["vector"],
+            "edges": pa.FixedSizeListArray.from_arrays(pa.array(links.ravel()), degree).cast(pa.list_(pa.int32())),
+            "largest": pa.array(largest),
         })
 
-    schema = "shard int, place int, ids array<bigint>, vector array<double>, edges array<int>, entry int, largest double"
+    schema = "shard int, layer int, place int, entry int, beam int, ids array<bigint>, vector array<double>, edges array<int>, largest double"
     dealt = dealt.select("shard", "ids", "vector")
     return frames.store(dealt.groupBy("shard").applyInArrow(make, schema), "graph")
 
@@ -233,8 +285,7 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = K,
-    beam: int = SEARCH_BEAM,
-    query_block: int = QUERY_BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found, without the query's own id.
 
@@ -247,7 +298,8 @@ def search(
         frames.col(queries, vector_col).cast("array<double>").alias("vector"),
     ).where(F.col("id").isNotNull() & usable(F.col("vector")))
     asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = max(1, -(-asked.count() // query_block))
+    size = asked.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0)).alias("size")).first()["size"]
+    blocks = max(1, -(-size // block_bytes))
     shards = graph.agg(F.max("shard")).first()[0]
     if shards is None:
         shards = 0
@@ -258,31 +310,48 @@ def search(
     def answer(key, nodes: pa.Table, wanted: pa.Table) -> pa.Table:
         if not len(nodes) or not len(wanted):
             return _ANSWER.empty_table()
-        order = np.argsort(nodes["place"].to_numpy())
-        vectors = _matrix(nodes["vector"])[order]
-        edges = _matrix(nodes["edges"])[order].astype(np.int64)
-        ids = [nodes["ids"][int(i)].as_py() for i in order]
-        points = _lifted(vectors, nodes["largest"][0].as_py())
+        vectors, edges = _matrix(nodes["vector"]), _matrix(nodes["edges"]).astype(np.int64)
+        ids = nodes["ids"].to_pylist()
+        layer, place = nodes["layer"].to_numpy(), nodes["place"].to_numpy()
+        parts = []
+        for number in range(int(layer.max()) + 1):
+            members = np.flatnonzero(layer == number)
+            members = members[np.argsort(place[members])]
+            facts = {c: nodes[c][int(members[0])].as_py() for c in ("entry", "beam", "largest")}
+            parts.append((members, _lifted(vectors[members], facts["largest"]), edges[members], facts))
         asked_ids, asked_vectors = wanted["id"].to_numpy(), _matrix(wanted["vector"])
-        lifted = np.concatenate((asked_vectors, np.zeros((len(wanted), 1))), axis=1)
+        norms = np.sqrt((asked_vectors**2).sum(axis=1))
         out: tuple[list, list, list] = ([], [], [])  # a query's list is one row
         for at in range(0, len(wanted), BATCH):
-            part = slice(at, at + BATCH)
-            found, far = beam_search(points, edges, nodes["entry"][0].as_py(), lifted[part], max(beam, k + 1))
-            product = np.einsum("bkd,bd->bk", vectors[found], asked_vectors[part])
-            product[~np.isfinite(far)] = -np.inf
-            for own, near, scores in zip(asked_ids[part].tolist(), found, product, strict=True):
-                best = [
-                    (-score, i)
-                    for node, score in zip(near.tolist(), scores.tolist(), strict=True)
-                    if score > -np.inf
-                    for i in ids[node]
-                    if i != own
-                ]
-                best = sorted(best)[:k]
-                out[0].append(own)
-                out[1].append([i for _, i in best])
-                out[2].append([-s for s, _ in best])
+            some = np.arange(at, min(at + BATCH, len(wanted)))
+            best: list[list] = [[] for _ in some]
+            bar = np.full(len(some), -np.inf)
+            for members, points, links, facts in parts:
+                # No product in this layer is larger than the norms'.
+                go = np.flatnonzero(norms[some] * facts["largest"] * (1 + 1e-9) >= bar)
+                if not len(go):
+                    break
+                asked_here = asked_vectors[some[go]]
+                lifted = np.concatenate((asked_here, np.zeros((len(go), 1))), axis=1)
+                found, far = beam_search(points, links, facts["entry"], lifted, max(facts["beam"], k + 1))
+                nodes_found = members[found]
+                product = np.full(far.shape, -np.inf)
+                reached = np.isfinite(far)
+                row = np.nonzero(reached)[0]
+                product[reached] = np.einsum("nd,nd->n", vectors[nodes_found[reached]], asked_here[row])
+                for i, near, scores in zip(go.tolist(), nodes_found, product, strict=True):
+                    own = asked_ids[some[i]]
+                    first = np.argsort(-scores, kind="stable")[: k + 1]
+                    # Equal scores at the cut stay, so that the smaller ids among them can win.
+                    kept = np.flatnonzero((scores >= scores[first[-1]]) & (scores > -np.inf))
+                    more = [(-score, j) for node, score in zip(near[kept].tolist(), scores[kept].tolist(), strict=True) for j in ids[node] if j != own]
+                    best[i] = sorted(best[i] + more)[:k]
+                    if len(best[i]) == k:
+                        bar[i] = -best[i][-1][0]
+            for i, mine in zip(some.tolist(), best, strict=True):
+                out[0].append(asked_ids[i])
+                out[1].append([j for _, j in mine])
+                out[2].append([-score for score, _ in mine])
         return pa.table([pa.array(c, t) for c, t in zip(out, _ANSWER.types, strict=True)], schema=_ANSWER)
 
     lists = (

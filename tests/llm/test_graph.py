@@ -41,6 +41,44 @@ def test_recall(spark, shard_rows):
         assert all(s == pytest.approx(truth[q, i], abs=1e-12) for i, s in got[q])
 
 
+def hit_share(spark, x, shard_rows, asked=150):
+    """Recall of 20 by score against all rows, for the first queries."""
+    import pyarrow as pa
+
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": flat}))
+    got = lists(graph.nearest(frame, frame.where(F.col("vec_id") < asked), shard_rows=shard_rows))
+    hits = 0
+    for q in range(asked):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len({i for i, _ in got[q]} & set(np.argsort(-scores)[:20].tolist()))
+    return hits / (20 * asked)
+
+
+@pytest.mark.parametrize("shard_rows", [1024, 4096])
+@pytest.mark.parametrize("norms", ["unit", "gaussian", "log-normal", "two sizes"])
+def test_recall_whatever_the_norms(spark, norms, shard_rows):
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(4096, 64))
+    if norms != "gaussian":
+        x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    if norms == "log-normal":
+        x *= draw.lognormal(0, 1, size=(4096, 1))
+    if norms == "two sizes":
+        x[::2] *= 100.0
+    assert hit_share(spark, x, shard_rows) >= 0.9
+
+
+def test_layers_hold_all_nodes_once():
+    draw = np.random.default_rng(3)
+    for norms in (np.ones(500), draw.lognormal(0, 1, 500), np.array([5.0]), np.arange(1, 66) * 1.0):
+        found = graph.layers(norms)
+        assert sorted(np.concatenate(found).tolist()) == list(range(len(norms)))
+        assert all(norms[a].min() >= norms[b].max() for a, b in zip(found, found[1:]))
+        assert all(norms[m].max() <= graph.RATIO * norms[m].min() or len(m) < 2 * graph.LEAST_LAYER for m in found)
+
+
 def test_odd_vectors_and_a_third_of_copies(spark):
     draw = np.random.default_rng(2)
     rows = [(i, draw.normal(size=3).tolist()) for i in range(100)] + [(i, [3.0, 1.0, 0.5]) for i in range(200, 250)]
