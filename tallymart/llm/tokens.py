@@ -4,6 +4,12 @@ Normalising (NFC, lower case by character), cutting into words and the word-end
 vocabulary file. Characters are cut into words with array operations over many texts; each distinct
 word, told by its bytes, then runs through the transducer of ``transducer.py`` once, and its count is kept for
 later texts of the task up to a bound. The file's content is read on the driver and broadcast: its size is fixed.
+
+A long text is cut into chunk rows behind white space, which are dealt over tasks. White space leads every state of
+the transducer to its start, so the map of such a chunk has one entry and one exit, and the maps of a
+document's chunks compose to the sum of their counts, which Spark adds up by document. A run without
+white space that is longer than a chunk stays whole; its words are scanned by prefix composition of the maps of
+their pieces.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +30,7 @@ from tallymart.llm.transducer import Transducer
 
 LIMIT = 2048
 KEPT_WORDS = 1 << 20
+CHUNK_CHARS = 1 << 15
 SLICE_CHARS = 1 << 20
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
@@ -169,19 +176,30 @@ def with_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", name:
     return docs.withColumn(name, tokens(frames.col(docs, text_col)))
 
 
+def chunks(value: Column, size: int = CHUNK_CHARS) -> Column:
+    """A text's pieces: up to ``size`` characters that end behind plain white space, or a longer run without any."""
+    blank, dark = r"[ \t\r\n]", r"[^ \t\r\n]"
+    return F.regexp_extract_all(value, F.lit(rf"(?s).{{1,{size}}}(?:(?<={blank})|$)|{dark}++{blank}?"), F.lit(0))
+
+
 def token_counts(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, chunk_chars: int = CHUNK_CHARS
 ) -> DataFrame:
     """One row a document: doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
     Begin and end tokens are not added; special strings inside a text are one token each. Null and
-    empty texts have no bytes and no tokens. Repeated rows stay; other columns are left out.
+    empty texts have no bytes and no tokens. Repeated rows stay; other columns are left out. No task
+    counts more of a text than ``chunk_chars`` characters, or the longest run without white space.
     """
-    rows = docs.select(frames.col(docs, id_col).alias("doc_id"), frames.col(docs, text_col).alias("text"))
-    counted = with_tokens(rows, vocabulary, "text", "n_tokens")
-    return counted.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        "n_tokens",
-        (F.col("n_tokens") > limit).alias("over_limit"),
-    )
+    rows = docs.select(frames.col(docs, id_col).alias("doc_id"), frames.col(docs, text_col).cast("string").alias("text"))
+    long = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    whole = with_tokens(rows.where(~long), vocabulary, "text", "n_tokens").select("doc_id", size, "n_tokens")
+
+    cut = rows.where(long).withColumn("row", F.monotonically_increasing_id())
+    cut = cut.select("row", "doc_id", size, F.posexplode(chunks(F.col("text"), chunk_chars)).alias("place", "text"))
+    dealt = cut.repartition(frames.partitions(docs.sparkSession), "row", "place")
+    parts = with_tokens(dealt, vocabulary, "text", "n_tokens").drop("text")
+    composed = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
+    counted = whole.unionByName(composed.drop("row"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

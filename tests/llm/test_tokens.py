@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -73,3 +74,26 @@ def test_maps_of_chunks_compose():
         for size in (1, 3, 8):
             assert machine.count(word, size) == plain
         assert machine.scan([word[:5], word[5:]])[1] == machine.run(START, word)[1] if len(word) > 5 else True
+
+
+def test_long_texts_are_counted_in_chunks(spark, library):
+    draw = random.Random(12)
+    parts = ["word", "it's", "12", "é", "e\u0301", "\u0301", "<|endoftext|>", "don't!", "日本", "Σ", "x" * 90]
+    blanks = [" ", "\n", "\t", "\r\n", "\x0b", "\u3000", "\u2009", "", "", "  "]
+    values = ["".join(draw.choice(parts) + draw.choice(blanks) for _ in range(draw.randint(0, 400))) for _ in range(60)]
+    values += ["a" * 3000 + " " + "b" * 3000, " " * 2000, "'" * 500 + " s", "\u3000" * 700, None, ""]
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    for size in (1, 7, 64):
+        cut = rows.select("doc_id", tokens.chunks(F.col("text"), size).alias("c")).collect()
+        assert all("".join(r["c"] or []) == (values[r["doc_id"]] or "") for r in cut)
+        found = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in tokens.token_counts(rows, PATH, chunk_chars=size).collect()}
+        want = exact(library, values)
+        assert found == {i: (len((v or "").encode()), n) for i, (v, n) in enumerate(zip(values, want, strict=True))}
+
+
+def test_chunks_of_one_text_are_dealt_over_tasks(spark):
+    text = "some words " * 20_000
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert len(rows.select(tokens.chunks(F.col("text"))).first()[0]) == -(-len(text) // tokens.CHUNK_CHARS)
+    plan = tokens.token_counts(rows, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
