@@ -35,7 +35,7 @@ def test_round_trip(spark, pages, size, compression):
     part = pages if size > 100 else pages.where("page_id is null or page_id < 9")
     given = [p for p in PAGES if size > 100 or p[0] is None or p[0] < 9]
     path = warc.write(part, fresh_path(spark, "warc"), chunk_bytes=size, compression=compression)
-    got = sorted((tuple(r) for r in warc.payloads(warc.read(spark, path)).collect()), key=str)
+    got = sorted((tuple(r)[:5] for r in warc.payloads(warc.read(spark, path)).collect()), key=str)
     expected = []
     for page, _, html in given:
         data = (html or "").encode()
@@ -56,7 +56,9 @@ def test_chunks_join_to_the_payload_and_hide_the_mark():
 def test_files_follow_the_format(spark, pages):
     path = warc.write(pages.where("page_id = 7"), fresh_path(spark, "warc"), compression="none")
     body = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    assert body.startswith("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7:")
+    assert body.startswith("WARC/1.1\r\nWARC-Type: warcinfo\r\n") and body.count("WARC/1.1\r\n") == 2
+    assert "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7:" in body
+    assert "Content-Type: text/html; charset=utf-8\r\n" in body
     assert body.endswith("Content-Length: 5\r\n\r\nshort\r\n\r\n")
 
 
@@ -76,3 +78,53 @@ def test_empty_and_clashing_columns(spark, pages):
     more = pages.withColumns({c: F.lit("own") for c in ("digest", "size", "same", "top", "record", "value")})
     path = warc.write(more, fresh_path(spark, "warc"))
     assert warc.payloads(warc.read(spark, path)).count() == len(PAGES)
+
+
+def foreign(kind, name, block, fields=(), version="1.0"):
+    """A record as another writer makes it, in another order of fields."""
+    head = [f"WARC/{version}", *fields, f"Content-Length: {len(block)}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Type: {kind}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+PAGE = "<p>é\r\n\r\nsecond</p>".encode()
+RECORDS = [
+    foreign("warcinfo", "a0", b"software: other\r\n", ["Content-Type: application/warc-fields"]),
+    foreign("request", "a1", b"GET / HTTP/1.1\r\n\r\n", ["WARC-Target-URI: http://x.org/", "Content-Type: application/http; msgtype=request"]),
+    foreign("response", "a2", HTTP + PAGE, ["WARC-Target-URI: http://x.org/", "Content-Type: application/http; msgtype=response"]),
+    foreign("resource", "a3", b"\xff\xfe\x00bytes", ["WARC-Target-URI: <http://x.org/b>", "content-type: image/png"], "1.1"),
+    foreign("response", "a4", HTTP, ["WARC-Target-URI: http://x.org/empty", "Content-Type: application/http; msgtype=response"]),
+    foreign("revisit", "a5", b"", ["WARC-Refers-To: <urn:uuid:a2>", "WARC-Payload-Digest: sha1:ABCDEFGH234567"], "1.1"),
+    foreign("resource", "a6", b"", []),
+]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_of_other_writers(spark, tmp_path, packed):
+    import gzip
+
+    name = "a.warc.gz" if packed else "a.warc"
+    (tmp_path / name).write_bytes(b"".join(gzip.compress(r) if packed else r for r in RECORDS))
+    table = warc.read(spark, str(tmp_path))
+    assert table.count() == len(RECORDS)
+    got = {r["record"]: r for r in warc.payloads(table).collect()}
+    assert set(got) == {f"urn:uuid:a{i}" for i in (2, 3, 4, 5, 6)}
+    for key, payload in (("a2", PAGE), ("a3", b"\xff\xfe\x00bytes"), ("a4", b""), ("a6", b"")):
+        r = got[f"urn:uuid:{key}"]
+        assert (r["payload_bytes"], r["payload_digest"], r["page_id"]) == (len(payload), hashlib.sha1(payload).hexdigest(), None)
+    assert got["urn:uuid:a2"]["url"] == "http://x.org/" and got["urn:uuid:a3"]["url"] == "http://x.org/b"
+    assert (got["urn:uuid:a5"]["record_type"], got["urn:uuid:a5"]["payload_digest"]) == ("revisit", "ABCDEFGH234567")
+
+
+def test_a_damaged_archive_raises(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"".join(RECORDS)[:-1] + RECORDS[2][:-20])
+    with pytest.raises(Exception, match="lacks [0-9]+ bytes"):
+        warc.payloads(warc.read(spark, str(tmp_path))).collect()
+
+
+def test_segments_of_other_writers(spark, tmp_path):
+    first = foreign("response", "s1", b"one ", ["WARC-Segment-Number: 1"])
+    second = foreign("continuation", "s2", b"two", ["WARC-Segment-Number: 2", "WARC-Segment-Origin-ID: <urn:uuid:s1>", "WARC-Segment-Total-Length: 7"])
+    (tmp_path / "a.warc").write_bytes(second + first)
+    (r,) = warc.payloads(warc.read(spark, str(tmp_path))).collect()
+    assert (r["payload_bytes"], r["payload_digest"]) == (7, hashlib.sha1(b"one two").hexdigest())
