@@ -2,10 +2,11 @@
 
 Texts and templates are sets of hashed five-word shingles. A template with t distinct shingles belongs
 to the class whose stride s is the smallest power of two not below t; windows of the class hold 2 s
-shingles and start every s, so some window holds any copy of the template whole. If that window
-holds the share ``CONTAINMENT`` of the template, its Jaccard similarity to it is above 0.8 / 4.2, and
-one of ``BANDS`` minimum hashes, each a band of its own, agrees with probability above
-1 - 0.81 ** 64, about 1 - 1e-6. Windows that agree in a band are checked exactly.
+shingles and start every s, so some window holds any unbroken copy of the template whole. If a window
+holds the share x of the template, its Jaccard similarity to it is above x / (4 - x), and one of ``BANDS``
+minimum hashes, each a band of its own, agrees with probability above 1 - (1 - x / (4 - x)) ** 64: about
+1 - 1e-6 for 0.8, and 0.999 for the 0.4 of a copy that foreign words break in the middle. Windows that
+agree in a band retrieve the template, and containment is then counted over the whole document.
 
 A band can agree only where a window holds the very shingle that is the template's minimum. Windows
 without such a shingle are not sketched; that changes no result. Everything is Spark SQL.
@@ -43,6 +44,19 @@ TEMPLATES = [
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
@@ -87,12 +101,14 @@ def scan(
     text_col: str = "text",
     containment: float = CONTAINMENT,
 ) -> DataFrame:
-    """Rows (doc_id, template_id, license, containment, first_word, window_words).
-
-    One row for each document and template that it holds: the window with the highest containment,
-    the first of equals, as a span of words. ``known`` has template_id, license and text. Null,
-    empty and short texts hold nothing; templates of fewer than five words find nothing. Repeated
-    rows each give their own result; other columns are left out.
+    """Rows (doc_id, template_id, license, containment, first_word, span_words).
+
+    One row for each document and template of which it holds the share ``containment`` or more, wherever
+    its shingles stand; first_word and span_words span them all. ``known`` has template_id, license and
+    text, any table of notices. Null, empty and short texts hold nothing; templates of fewer than five words
+    find nothing; equal shares each give their row. Long texts are scanned whole, repeated rows each
+    give their own result, and other columns are left out. A copy scattered over so many windows
+    that none holds two fifths of it may be missed.
     """
     if not 0.8 <= containment <= 1:
         raise ValueError("containment must be between 0.8 and 1: bands are set for 0.8")
@@ -125,8 +141,8 @@ def scan(
             F.flatten(F.transform(hit, lambda w: F.array(w, F.struct(w["stride"].alias("stride"), (w["at"] - 1).alias("at")))))
         )
         # The row's number comes first: behind the explode each window would have its own.
-        held = rows.withColumn("row", F.monotonically_increasing_id())
-        held = held.select("row", "doc_id", "all", F.explode(near).alias("w"))
+        rows = frames.store(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "all"), "shingles")
+        held = rows.select("row", "doc_id", "all", F.explode(near).alias("w"))
         held = held.select("row", "doc_id", "all", "w.stride", "w.at")
     else:
         # Very many templates: the same windows by a join on the shingles.
@@ -138,28 +154,29 @@ def scan(
     part = F.slice("all", F.col("at") * F.col("stride") + 1, 2 * F.col("stride"))
     spot = [F.col(c) for c in ("row", "doc_id", "stride", "at")]
     held = computed_once(held.where("at >= 0"), {"held": part}, spot)
-    windows = frames.store(held.select(*spot, "held", F.transform(bands(F.col("held")), lambda b: b["key"]).alias("keys")), "windows")
+    sketch = F.transform(bands(F.col("held")), lambda b: b["key"]).alias("keys")
+    windows = frames.store(held.select("row", "stride", sketch), "windows")
 
     keys = models.select("template_id", "stride", F.explode(F.array_distinct(F.col("bands.key"))).alias("key"))
     found = (
-        windows.select("row", "stride", "at", F.explode("keys").alias("key"))
+        windows.select("row", "stride", F.explode("keys").alias("key"))
         .join(broadcast_if_small(keys), ["stride", "key"])
-        .select("row", "stride", "at", "template_id")
+        .select("row", "template_id")
         .distinct()
     )
     named = broadcast_if_small(models.select("template_id", "license", "own"))
-    exact = (
-        found.join(windows.select("row", "stride", "at", "doc_id", "held"), ["row", "stride", "at"])
-        .join(named, "template_id")
-        .withColumn("share", F.size(F.array_intersect("own", "held")) / F.size("own"))
-        .where(F.col("share") >= containment)
-    )
-    best = F.max(F.struct("share", (-F.col("at")).alias("back"), "stride", F.size("held").alias("n"))).alias("b")
-    return exact.groupBy("row", "doc_id", "template_id", "license").agg(best).select(
+    met = found.join(rows, "row").join(named, "template_id")
+    share = F.size(F.array_intersect("own", "all")) / F.size("own")
+    exact = met.withColumn("share", share).where(F.col("share") >= containment)
+    held_at = F.filter(F.transform("all", lambda h, i: F.when(F.array_contains("own", h), i)), lambda i: i.isNotNull())
+    keep = [F.col(c) for c in ("doc_id", "template_id", "license", "share")]
+    placed = computed_once(exact, {"at": held_at}, keep)
+    first, last = F.array_min("at"), F.array_max("at")
+    return placed.select(
         "doc_id", "template_id", "license",
-        F.col("b.share").alias("containment"),
-        (-F.col("b.back") * F.col("b.stride")).cast("long").alias("first_word"),
-        (F.col("b.n") + SHINGLE - 1).cast("long").alias("window_words"),
+        F.col("share").alias("containment"),
+        first.cast("long").alias("first_word"),
+        (last - first + SHINGLE).cast("long").alias("span_words"),
     )
 
 
@@ -177,7 +194,7 @@ def _starts(places: Column, stride: int) -> Column:
 
 
 def oracle() -> str:
-    """The same result in DuckDB SQL, over every window and without sketches."""
+    """The same result in DuckDB SQL, over whole documents: no windows and no sketches."""
     values = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
     cut = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"
     return f"""
@@ -186,21 +203,15 @@ model_words AS (SELECT template_id, license, {cut} AS w FROM model),
 own AS (
   SELECT DISTINCT template_id, license, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g
   FROM (SELECT *, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM model_words)),
-sizes AS (
-  SELECT template_id, count(*) AS t, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS stride FROM own GROUP BY 1),
-doc_words AS (SELECT doc_id, {cut} AS w FROM documents),
+sizes AS (SELECT template_id, count(*) AS t FROM own GROUP BY 1),
+doc_words AS (SELECT row_number() OVER () AS r, doc_id, {cut} AS w FROM documents),
 grams AS (
-  SELECT doc_id, len(w) AS n, i - 1 AS pos, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM doc_words)),
-hits AS (
-  SELECT doc_id, n, template_id, license, g, t, stride, pos // stride - back AS spot
-  FROM grams JOIN own USING (g) JOIN sizes USING (template_id) CROSS JOIN (VALUES (0), (1)) b(back)),
-windows AS (
-  SELECT doc_id, n, template_id, license, stride, spot, count(DISTINCT g) / t AS share
-  FROM hits WHERE spot >= 0 GROUP BY doc_id, n, template_id, license, stride, spot, t)
-SELECT doc_id, CAST(template_id AS BIGINT) AS template_id, license, CAST(share AS DOUBLE) AS containment,
-  CAST(spot * stride AS BIGINT) AS first_word,
-  CAST(least(2 * stride, n - {SHINGLE - 1} - spot * stride) + {SHINGLE - 1} AS BIGINT) AS window_words
-FROM windows WHERE share >= {CONTAINMENT}
-QUALIFY row_number() OVER (PARTITION BY doc_id, template_id ORDER BY share DESC, spot) = 1
+  SELECT r, doc_id, i - 1 AS pos, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM doc_words)),
+held AS (
+  SELECT r, doc_id, template_id, license, count(DISTINCT g) AS n, min(pos) AS first, max(pos) AS last
+  FROM grams JOIN own USING (g) GROUP BY ALL)
+SELECT doc_id, CAST(template_id AS BIGINT) AS template_id, license, CAST(n / t AS DOUBLE) AS containment,
+  CAST(first AS BIGINT) AS first_word, CAST(last - first + {SHINGLE} AS BIGINT) AS span_words
+FROM held JOIN sizes USING (template_id) WHERE n / t >= {CONTAINMENT}
 """
