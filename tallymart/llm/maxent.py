@@ -1,19 +1,27 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class times that of the token in its class. The ``WORDS`` most
-frequent words, the end of text among them, form classes of ``PER_CLASS``; all others are in the last class,
-where a word has its add-one share of the class's training tokens. The class is predicted from three
-features: the word before, the word before that (a skip) and both together. A word in its class is
-predicted from the word before. Features are hashed to rows of weights; to them come the logs of the
-class's and the word's own counts, so the untrained model is the plain unigram model.
-
-Training is stochastic gradient descent with row-wise adaptive steps: every task passes once over its
-own part of the corpus and sends the rows it changed; rows are averaged, weighted by the tokens each
-task saw with them. Word counts, tokens and distinct words are exact sums over all training texts.
-Words are known by 64-bit hashes; among a billion distinct words two share one with odds of 1 in 37.
-
-Counts of the ``HEAD`` most frequent words are broadcast, a fixed size. Rarer words meet their counts in a
-join on the hash, so the vocabulary is nowhere held as a whole.
+A token's probability is that of its class times that of the token in its class, given the two words before.
+The ``HEAD`` most frequent words, the end of text among them, form classes of equal weight; all others
+are in the last class, where a word has its add-one share of the class's training tokens.
+
+- The class comes from a softmax over three features: the word before, the word before that (a skip) and both
+  together, hashed to rows of weights. It is trained by gradient steps with row-wise adaptive rates.
+- The word in its class has a weight for each word it was seen after, and one for each pair, with a
+  Gaussian prior. All other weights are zero, so the normaliser is one plus a sum over the words
+  seen in that context: exact over the whole class, whatever its size. Both are trained by curvature-scaled gradients.
+
+The logs of the class's and the word's own shares are added, so the untrained model is the plain unigram model.
+
+The model is nowhere whole. Tokens are shuffled to shards by the word before them; a shard trains the weights of
+its contexts on its training tokens and scores all its tokens. The number of shards follows the bytes of text, and
+the rows of a shard its distinct pairs, so the weights grow with the corpus. Neither the number of
+tasks nor the order of the rows has a part in the result beyond the rounding of sums: a shard counts equal events
+first and takes them in the order of their hashes. A frequent word is spread over shards by the word before it,
+and a pair of two very frequent words by document as well.
+
+Word counts, tokens and distinct words are exact sums over all training texts. Words are known by 64-bit
+hashes; among a billion distinct words two share one with odds of 1 in 37. Counts of the ``HEAD``
+words are broadcast, a fixed size. Rarer words meet their counts in a join on the hash.
 """
 
 from __future__ import annotations
@@ -30,13 +38,16 @@ from pyspark.sql import functions as F
 from tallymart.llm import frames, text
 
 HEAD = 1 << 17
-CONTEXT = 1 << 12
-PER_CLASS = 32
-CLASSES = 32  # the last one holds all words outside WORDS
-WORDS = (CLASSES - 1) * PER_CLASS
-BITS = 15
+CLASSES = 32  # the last one holds all words outside the head
+START = HEAD  # the context before a text; rarer words are hashed to contexts above it
+SHARD_BYTES = 16 << 20  # text for each shard
+SHARD_TOKENS = SHARD_BYTES // 8
+MOST_TASKS = 1 << 15  # shards beyond this share tasks
+SLICE_BYTES = 4 << 20
 RATE = 0.2
-STEP_TOKENS = 8192
+STEP = 8192
+PRIOR = 0.3  # inverse variance of the weights of words
+ROUNDS = 10
 
 _U = np.uint64
 END = _U(0x2545F4914F6CDD1D)  # stands for the end of a text among word hashes
@@ -58,144 +69,212 @@ def tokens(data: np.ndarray, at: np.ndarray) -> Tokens:
     return Tokens(hashes, first)
 
 
-@dataclass
 class Vocabulary:
-    """The most frequent words by hash: counts and ranks; sums over all words."""
-
-    hashes: np.ndarray  # sorted
-    counts: np.ndarray
-    ranks: np.ndarray
-    train_tokens: int
-    distinct: int
-    words: np.ndarray  # counts of the modelled words by rank, zero where there are fewer
-
-    @property
-    def total(self) -> int:
-        """Denominator of the add-one shares: one place is kept for unknown words."""
-        return self.train_tokens + self.distinct + 1
-
-    @property
-    def rest(self) -> int:
-        """The same for the last class alone."""
-        return self.total - int((self.words + (self.words > 0)).sum())
+    """The most frequent words, by hash and by rank; sums over all words."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, train_tokens: int, distinct: int):
+        """``hashes`` and ``counts`` go by rank."""
+        order = np.argsort(hashes)
+        self.hashes, self.ranks = hashes[order], order
+        self.by_rank = counts
+        self.train_tokens, self.distinct = train_tokens, distinct
+        # Denominator of the add-one shares: one place is kept for unknown words.
+        self.total = train_tokens + distinct + 1
+        mass = counts + 1.0
+        middle = np.cumsum(mass) - mass / 2
+        self.klass = np.full(len(mass) + 1, CLASSES - 1)
+        self.klass[:-1] = np.minimum(middle * (CLASSES - 1) // max(mass.sum(), 1.0), CLASSES - 2)
+        sums = np.bincount(self.klass[:-1], mass, minlength=CLASSES)
+        self.rest = self.total - int(mass.sum())
+        sums[-1] = self.rest
+        self.share = np.log(mass / sums[self.klass[:-1]])  # of a word in its class
+        with np.errstate(divide="ignore"):
+            self.class_share = np.maximum(np.log(sums / self.total), -60).astype(np.float32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions in the head, or -1."""
+        """Ranks, or ``HEAD`` outside the head."""
         if not len(self.hashes):
-            return np.full(len(hashes), -1)
+            return np.full(len(hashes), HEAD)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        return np.where(self.hashes[at] == hashes, self.ranks[at], HEAD)
 
+    def classes(self, word: np.ndarray) -> np.ndarray:
+        return self.klass[np.minimum(word, len(self.by_rank))]
 
-@dataclass
-class Model:
-    vocabulary: Vocabulary
-    classes: np.ndarray  # (2**BITS, CLASSES): weights of the class
-    inner: np.ndarray  # (2**BITS, PER_CLASS): weights of the word in its class
-
-
-def _biases(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Logs of the add-one shares of classes and, in each class, of its words."""
-    grid = np.where(v.words > 0, v.words + 1.0, 0.0).reshape(CLASSES - 1, PER_CLASS)
-    sums = np.concatenate((grid.sum(axis=1), [v.rest]))
-    with np.errstate(divide="ignore"):
-        outer, inner = np.log(sums / v.total), np.log(grid / np.maximum(grid.sum(axis=1, keepdims=True), 1.0))
-    return np.maximum(outer, -60).astype(np.float32), np.maximum(inner, -60).astype(np.float32)
-
-
-class Runner:
-    """Scores, and for training changes, weights batch by batch."""
-
-    def __init__(self, model: Model):
-        self.v = model.vocabulary
-        self.outer, self.inner = model.classes, model.inner
-        self.outer_bias, self.inner_bias = _biases(self.v)
-
-    def prepare(self, t: Tokens) -> tuple:
-        """(class, place in it, feature rows, row of the word, position in the head) of each token."""
-        place = self.v.find(t.hashes)
-        rank = np.where(place >= 0, self.v.ranks[place] if len(self.v.ranks) else 0, HEAD)
-        modelled = rank < WORDS
-        klass = np.where(modelled, rank // PER_CLASS, CLASSES - 1)
-        inside = np.where(modelled, rank % PER_CLASS, 0)
-        context = np.where(rank < CONTEXT, rank + 2, 1)  # 0 stands before a text, 1 for any rarer word
-        one = np.concatenate(([0], context[:-1]))
-        two = np.concatenate(([0, 0], context[:-2]))[: len(context)]
-        starts = t.first[:-1]
-        one[starts] = 0
-        two[starts] = 0
-        after = starts + 1
-        two[after[after < len(two)]] = 0
-        rows = [_row(one, 1), _row(two, 2), _row(one * (CONTEXT + 2) + two, 3)]
-        return klass, inside, rows, _row(one * CLASSES + klass, 4), place
-
-    def log_probabilities(self, prepared: tuple) -> np.ndarray:
-        """Natural logs; words of the last class lack their share in it."""
-        klass, inside, rows, word_row, _ = prepared
-        out = np.empty(len(klass))
-        for a in range(0, len(klass), STEP_TOKENS):
-            b = slice(a, a + STEP_TOKENS)
-            z = self._outer(rows, b)
-            out[b] = _log_softmax(z)[np.arange(len(z)), klass[b]]
-            known = a + np.flatnonzero(klass[b] < CLASSES - 1)
-            y = self.inner[word_row[known]] + self.inner_bias[klass[known]]
-            out[known] += _log_softmax(y)[np.arange(len(y)), inside[known]]
-        return out
 
-    def _outer(self, rows: list[np.ndarray], b: slice) -> np.ndarray:
-        z = self.outer[rows[0][b]]
-        z += self.outer[rows[1][b]]
-        z += self.outer[rows[2][b]]
-        z += self.outer_bias
-        return z
+def contexts(t: Tokens, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the one before that, as numbers below 2**31."""
+    own = np.where(rank < HEAD, rank, START + 1 + (t.hashes >> _U(34)).astype(np.int64))
+    one = np.concatenate(([START], own[:-1]))
+    two = np.concatenate(([START, START], own[:-2]))[: len(own)]
+    starts = t.first[:-1]
+    one[starts] = START
+    two[starts] = START
+    after = starts + 1
+    two[after[after < len(two)]] = START
+    return one, two
 
-    def learn(self, prepared: tuple, squares: tuple[np.ndarray, np.ndarray], seen: tuple[np.ndarray, np.ndarray]) -> None:
-        """One pass of gradient steps; counts the tokens of each row in ``seen``."""
-        klass, inside, rows, word_row, _ = prepared
-        for a in range(0, len(klass), STEP_TOKENS):
-            b = slice(a, a + STEP_TOKENS)
-            g = _error(self._outer(rows, b), klass[b])
-            for r in rows:
-                _step(self.outer, squares[0], seen[0], r[b], g)
-            known = a + np.flatnonzero(klass[b] < CLASSES - 1)
-            if len(known):
-                g = _error(self.inner[word_row[known]] + self.inner_bias[klass[known]], inside[known])
-                _step(self.inner, squares[1], seen[1], word_row[known], g)
 
+@dataclass
+class Spread:
+    """Shards of the contexts: frequent words take several, by how often they stand in the scored texts."""
 
-def _row(key: np.ndarray, kind: int) -> np.ndarray:
-    salt = _U(kind * 0x9E3779B97F4A7C15 % (1 << 64))
-    return (text.mix(key.astype(_U) + salt) >> _U(64 - BITS)).astype(np.int64)
+    shards: int
+    counts: np.ndarray  # of contexts up to START
 
+    @classmethod
+    def of(cls, v: Vocabulary, shards: int, scale: float) -> Spread:
+        counts = np.zeros(START + 2)
+        counts[: len(v.by_rank)] = v.by_rank * scale
+        ends = v.find(np.array([END]))[0]
+        counts[START] = counts[ends] if ends < HEAD else 0
+        return cls(shards, counts)
+
+    def shard(self, one: np.ndarray, two: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        a, b = self.counts[np.minimum(one, START + 1)], self.counts[np.minimum(two, START + 1)]
+        pieces = 1 + (a // (SHARD_TOKENS // 4)).astype(_U)
+        parts = 1 + (np.minimum(a, b) // (4 * SHARD_TOKENS)).astype(_U)
+        piece = text.mix(two.astype(_U) * _U(1 << 20) + salt % parts) % pieces
+        return (text.mix(one.astype(_U) + (piece << _U(32))) % _U(self.shards)).astype(np.int64)
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return text.mix(one.astype(_U) << _U(32) | two.astype(_U))
 
-def _error(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Predicted minus observed."""
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), target] -= 1
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def _step(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+class Boosts:
+    """Weights of entries in groups: an entry's prior probability in its group times exp(weight), normalised.
+
+    Entries without a weight count by their priors, which with those of the weighted sum up to one.
+    """
+
+    def __init__(self, group: np.ndarray, entry: np.ndarray, prior: np.ndarray, n: np.ndarray):
+        """Entries sorted by group; ``entry`` keys are unique."""
+        at = text.runs(group)
+        size = np.diff(at)
+        self.groups = group[at[:-1]]
+        weight, norm = np.zeros(len(n)), np.ones(len(self.groups))
+        if len(n):
+            total = np.repeat(np.add.reduceat(n, at[:-1]), size)
+            for _ in range(ROUNDS):
+                expected = total * prior * np.exp(weight) / np.repeat(norm, size)
+                weight += np.clip((n - expected - PRIOR * weight) / (expected + PRIOR), -1.0, 1.0)
+                # Never below the priors of the words without a weight.
+                norm = 1.0 + np.add.reduceat(prior * np.expm1(weight), at[:-1])
+        self.norm = np.log(norm)
+        order = np.argsort(entry)
+        self.entries, self.weight = entry[order], weight[order]
+
+    def logs(self, group: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """What the weights add to the log of an entry's prior."""
+        return _find(self.entries, self.weight, entry) - _find(self.groups, self.norm, group)
+
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
+
+
+class Shard:
+    """The weights of a shard's contexts, trained on distinct events with their counts."""
+
+    def __init__(self, v: Vocabulary, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray):
+        self.v = v
+        klass = v.classes(word)
+        pair = _pair(one, two)
+        distinct = len(np.unique(pair))
+        self.bits = max(int(distinct).bit_length() - 2, 10)  # four pairs a row
+        self.outer = np.zeros((1 << self.bits, CLASSES), dtype=np.float32)
+        squares = np.zeros(1 << self.bits, dtype=np.float32)
+        rows = self._rows(one, two, pair)
+        weights = n.astype(np.float32)
+        for a in range(0, len(klass), STEP):
+            b = slice(a, a + STEP)
+            error = np.exp(_log_softmax(self._outer(rows, b)))
+            error[np.arange(len(error)), klass[b]] -= 1
+            error *= weights[b, None]
+            for r in rows:
+                _step(self.outer, squares, r[b], error)
+
+        known = word < HEAD
+        one, pair, word, klass, n = one[known], pair[known], word[known], klass[known], n[known].astype(float)
+        entry = self._entry(one, klass, word)
+        seen, at, back = np.unique(entry, return_index=True, return_inverse=True)
+        self.after = Boosts(seen >> 18, seen, np.exp(v.share[word[at]]), np.bincount(back, n, minlength=len(seen)))
+        # The pair's weights come on top: what the word before gives is their prior.
+        given = np.exp(v.share[word] + self.after.logs(entry >> 18, entry))
+        group = text.mix(pair + klass.astype(_U))
+        order = np.argsort(group, kind="stable")
+        event = text.mix(pair + word.astype(_U) * END)
+        self.pairs = Boosts(group[order], event[order], given[order], n[order])
+
+    @staticmethod
+    def _entry(one: np.ndarray, klass: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (one.astype(np.int64) << 23) | (klass << 18) | np.minimum(word, HEAD)
+
+    def _rows(self, one: np.ndarray, two: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+        """Rows of the three features."""
+        down = _U(64 - self.bits)
+        keys = one.astype(_U) + _U(1 << 40), two.astype(_U) + _U(2 << 40), pair
+        return [(text.mix(k) >> down).astype(np.int64) for k in keys]
+
+    def _outer(self, rows: list[np.ndarray], b: slice) -> np.ndarray:
+        z = self.outer[rows[0][b]]
+        z += self.outer[rows[1][b]]
+        z += self.outer[rows[2][b]]
+        z += self.v.class_share
+        return z
+
+    def logs(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural logs of the words' probabilities; for words outside the head, of their class."""
+        klass, pair = self.v.classes(word), _pair(one, two)
+        rows = self._rows(one, two, pair)
+        out = np.empty(len(word))
+        for a in range(0, len(word), STEP):
+            b = slice(a, a + STEP)
+            z = _log_softmax(self._outer(rows, b))
+            out[b] = z[np.arange(len(z)), klass[b]]
+        known = np.flatnonzero(word < HEAD)
+        one, pair, word, klass = one[known], pair[known], word[known], klass[known]
+        entry = self._entry(one, klass, word)
+        out[known] += self.v.share[word] + self.after.logs(entry >> 18, entry)
+        out[known] += self.pairs.logs(text.mix(pair + klass.astype(_U)), text.mix(pair + word.astype(_U) * END))
+        return out
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
     """Row sums of the gradient, scaled by what the row's gradients have been so far."""
     order = np.argsort(rows, kind="stable")
     ordered = rows[order]
     at = text.runs(ordered)
-    own, count = ordered[at[:-1]], np.diff(at)
+    own = ordered[at[:-1]]
     sums = np.add.reduceat(g[order], at[:-1], axis=0)
-    squares[own] += (sums**2).mean(axis=1)
+    squares[own] += np.einsum("ij,ij->i", sums, sums) / CLASSES
     weights[own] -= (RATE / np.sqrt(squares[own] + 1e-6))[:, None] * sums
-    seen[own] += count
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(frames.col(docs, text_col), F.lit("")).alias("text"))
+def shard_scores(v: Vocabulary, events: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of documents in the shard and the sums of their tokens' logs.
+
+    ``events`` are rows (word before, word before that, word, 2 * row + 1 for training), ``base`` is added to the rows.
+    """
+    one, two, word, flagged = (c.astype(np.int64) for c in events)
+    key = text.mix(_pair(one, two) + word.astype(_U) * END)
+    _, at, back = np.unique(key, return_index=True, return_inverse=True)
+    n = np.bincount(back, flagged & 1, minlength=len(at))
+    one, two, word = one[at], two[at], word[at]
+    seen = n > 0
+    logs = Shard(v, one[seen], two[seen], word[seen], n[seen]).logs(one, two, word)
+    rows, own = np.unique(base + (flagged >> 1), return_inverse=True)
+    return rows, np.bincount(own, logs[back], minlength=len(rows))
 
 
 def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
@@ -209,155 +288,166 @@ def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
 
     frames.ready(training)
-    counted = _texts(training, text_col).mapInArrow(count, "hash long, n long")
+    texts = training.select(F.coalesce(frames.col(training, text_col), F.lit("")).alias("text"))
+    counted = texts.mapInArrow(count, "hash long, n long")
     return frames.store(counted.groupBy("hash").agg(F.sum("n").alias("n")), "words")
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.desc("n"), "hash").limit(HEAD).toArrow()
-    hashes, n = head["hash"].to_numpy().view(_U), head["n"].to_numpy()
-    end = np.flatnonzero(hashes == END)
-    if len(end) and end[0] >= WORDS:  # the end of a text is always modelled
-        order = np.concatenate(([end[0]], np.delete(np.arange(len(n)), end[0])))
-        hashes, n = hashes[order], n[order]
-    words = np.zeros(WORDS, dtype=np.int64)
-    words[: min(WORDS, len(n))] = n[:WORDS]
-    order = np.argsort(hashes)
-    return Vocabulary(hashes[order], n[order], order, int(sums["n"]), int(sums["v"]), words)
-
-
-def train(training: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> Model:
-    """A model of all texts of ``training``; without texts it is uniform over unknown words."""
-    spark = frames.ready(training)
-    counts = word_counts(training, text_col) if counts is None else counts
-    known = vocabulary(counts)
-    zero = [np.zeros((1 << BITS, n), dtype=np.float32) for n in (CLASSES, PER_CLASS)]
-    sent = spark.sparkContext.broadcast(known)
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(sent.value, *(np.zeros((1 << BITS, n), dtype=np.float32) for n in (CLASSES, PER_CLASS)))
-        runner = Runner(model)
-        squares = tuple(np.zeros(1 << BITS) for _ in range(2))
-        seen = tuple(np.zeros(1 << BITS, dtype=np.int64) for _ in range(2))
-        for batch in batches:
-            for _, _, data, at in text.slices(batch.column(0)):
-                runner.learn(runner.prepare(tokens(data, at)), squares, seen)
-        for table, (weights, count) in enumerate(zip((runner.outer, runner.inner), seen, strict=True)):
-            own = np.flatnonzero(count)
-            if len(own):
-                yield _weights(own + (table << BITS), count[own], weights[own] * count[own, None])
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of neighbouring equal rows; the last row of a batch may go on in the next."""
-        held: tuple | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, n, w = _read(batch)
-            if held is not None:
-                rows, n, w = (np.concatenate(x) for x in zip(held, (rows, n, w), strict=True))
-            at = text.runs(rows)
-            rows, n, w = rows[at[:-1]], np.add.reduceat(n, at[:-1]), np.add.reduceat(w, at[:-1], axis=0)
-            if len(rows) > 1:
-                yield _weights(rows[:-1], n[:-1], w[:-1])
-            held = rows[-1:], n[-1:], w[-1:]
-        if held is not None:
-            yield _weights(*held)
-
-    kind = "row int, n long, weights binary"
-    sums = _texts(training, text_col).mapInArrow(descend, kind)
-    met = sums.repartition(frames.partitions(spark), "row").sortWithinPartitions("row").mapInArrow(average, kind)
-    for batch in met.toArrow().to_batches():
-        rows, n, w = _read(batch)
-        for table, weights in enumerate(zero):
-            own = rows >> BITS == table
-            weights[rows[own] & ((1 << BITS) - 1)] = w[own] / n[own, None]
-    return Model(known, *zero)
-
-
-def _weights(rows: np.ndarray, n: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-    """Rows with their vector of ``PER_CLASS`` floats as bytes."""
-    body = np.ascontiguousarray(w, dtype=np.float32)
-    size = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 4 * PER_CLASS).buffers()[1]
-    vectors = pa.Array.from_buffers(pa.binary(), len(rows), [None, size, pa.py_buffer(body.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(n), vectors], ["row", "n", "weights"])
-
-
-def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, n = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
-    body = b"".join(batch.column(2).to_pylist())
-    return rows, n, np.frombuffer(body, dtype=np.float32).reshape(len(rows), -1).astype(np.float64)
+    first = counts.orderBy(F.desc("n"), "hash").limit(head).toArrow()
+    return Vocabulary(first["hash"].to_numpy().view(_U), first["n"].to_numpy(), int(sums["n"]), int(sums["v"]))
 
 
 def scores(
-    docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    training: Column,
+    counts: DataFrame,
+    v: Vocabulary,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score), one a document.
 
+    ``counts`` and ``v`` are of the rows for which ``training`` holds; these also train the weights.
     ``score`` is the model's log10 probability of the text and its end, ``base_score`` that of the
     add-one unigram model. Null and empty texts are one token, the end. Repeated rows and null ids
     stay; other columns are left out.
     """
     spark = frames.ready(docs)
-    sent = spark.sparkContext.broadcast(model)
-    v = model.vocabulary
-    base, rest, limit = float(np.log10(v.total)), float(np.log10(max(v.rest, 1))), float(np.log(10))
+    rows = docs.select(
+        frames.col(docs, id_col).alias("doc_id"),
+        F.coalesce(frames.col(docs, text_col), F.lit("")).alias("text"),
+        F.coalesce(training, F.lit(False)).alias("train"),
+        F.xxhash64(frames.col(docs, id_col)).alias("salt"),
+    )
+    length = F.octet_length("text") + 1
+    sizes = rows.agg(
+        F.coalesce(F.sum(length), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("train"), length)), F.lit(0)).alias("train")
+    ).first()
+    shards = max(1, -(-sizes["all"] // SHARD_BYTES))
+    spread = Spread.of(v, shards, sizes["all"] / max(sizes["train"], 1))
+    sent = spark.sparkContext.broadcast((v, spread))
+    base, rest = float(np.log10(v.total)), float(np.log10(max(v.rest, 1)))
+    id_kind = rows.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runner = Runner(sent.value)
-        shares = np.log10(runner.v.counts + 1.0)
+        """A row for each document, and its tokens as events for each shard."""
+        v, spread = sent.value
+        shares = np.append(np.log10(v.by_rank + 1.0), 0.0)
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, last, data, at in text.slices(batch.column(1)):
+            for first, last, data, at in text.slices(batch.column(1), SLICE_BYTES):
                 t = tokens(data, at)
-                prepared = runner.prepare(t)
-                klass, place = prepared[0], prepared[4]
-                starts = t.first[:-1]
-                own = np.where(place >= 0, shares[place] if len(shares) else 0.0, 0.0)
-                value = runner.log_probabilities(prepared) / limit
-                last_class = klass == CLASSES - 1
-                value[last_class] += own[last_class] - rest
-                n = np.diff(t.first)
-                rare = place < 0
+                n, starts = np.diff(t.first), t.first[:-1]
+                rank = v.find(t.hashes)
+                rare = rank == HEAD
+                own = shares[np.minimum(rank, len(v.by_rank))]
                 offsets = np.concatenate(([0], np.cumsum(rare)))[t.first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(number, number + last - first)),
-                        batch.column(0).slice(first, last - first),
-                        pa.array(n),
-                        pa.array(np.add.reduceat((place >= 0).astype(np.int64), starts)),
-                        pa.array(np.add.reduceat(own, starts) - n * base),
-                        pa.array(np.add.reduceat(value, starts)),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(t.hashes[rare].view(np.int64))),
-                    ],
-                    ["row", "doc_id", "n_tokens", "known", "base", "value", "rare"],
+                rows = len(n)
+                yield _batch(
+                    shard=pa.array(np.arange(rows) % spread.shards, pa.int32()),
+                    row=pa.array(np.arange(number, number + rows)),
+                    events=pa.nulls(rows, pa.binary()),
+                    doc_id=batch.column(0).slice(first, rows),
+                    n_tokens=pa.array(n),
+                    known=pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
+                    base=pa.array(np.add.reduceat(own, starts) - n * base),
+                    rare=pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(t.hashes[rare].view(np.int64))),
+                )
+                one, two = contexts(t, rank)
+                train, salt = (batch.column(c).slice(first, rows).to_numpy(zero_copy_only=False) for c in (2, 3))
+                shard = spread.shard(one, two, np.repeat(salt.astype(np.int64).view(_U), n))
+                flagged = np.repeat(2 * np.arange(rows) + train.astype(np.int64), n)
+                order = np.argsort(shard, kind="stable")
+                columns = [c[order].astype(np.uint32) for c in (one, two, rank, flagged)]
+                ordered = shard[order]
+                runs = text.runs(ordered)
+                bodies = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(runs[:-1], runs[1:], strict=True)]
+                none = len(bodies)
+                yield _batch(
+                    shard=pa.array(ordered[runs[:-1]], pa.int32()),
+                    row=pa.array(np.full(none, number)),
+                    events=pa.array(bodies, pa.binary()),
+                    doc_id=pa.nulls(none, batch.column(0).type),
+                    n_tokens=pa.nulls(none, pa.int64()),
+                    known=pa.nulls(none, pa.int64()),
+                    base=pa.nulls(none, pa.float64()),
+                    rare=pa.nulls(none, pa.list_(pa.int64())),
+                )
+                number += rows
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents as they come; each shard's events are trained on and scored once all are there."""
+        v = sent.value[0]
+        held: list[tuple[int, bytes]] = []
+        now, id_type = -1, pa.null()
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if held:
+                events = [np.frombuffer(body, dtype=np.uint32).reshape(4, -1) for _, body in held]
+                starts = np.repeat([row for row, _ in held], [e.shape[1] for e in events])
+                rows, logs = shard_scores(v, np.concatenate(events, axis=1), starts)
+                held.clear()
+                none = len(rows)
+                yield _batch(
+                    row=pa.array(rows),
+                    value=pa.array(logs / np.log(10)),
+                    doc_id=pa.nulls(none, id_type),
+                    n_tokens=pa.nulls(none, pa.int64()),
+                    known=pa.nulls(none, pa.int64()),
+                    base=pa.nulls(none, pa.float64()),
+                    rare=pa.nulls(none, pa.list_(pa.int64())),
                 )
-                number += last - first
 
-    rows = docs.select(
-        frames.col(docs, id_col).alias("doc_id"), F.coalesce(frames.col(docs, text_col), F.lit("")).alias("text")
-    )
-    kind = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, value double, rare array<bigint>"
-    partial = frames.store(rows.mapInArrow(read, kind), "scored")
+        for batch in batches:
+            id_type = batch.column(3).type
+            own = batch.filter(batch.column(2).is_null())
+            if own.num_rows:
+                c = dict(zip(own.schema.names, own.columns, strict=True))
+                rare = c["n_tokens"].to_numpy() - c["known"].to_numpy()
+                yield _batch(
+                    row=c["row"], value=pa.array(-rare * rest), doc_id=c["doc_id"], n_tokens=c["n_tokens"],
+                    known=c["known"], base=c["base"], rare=c["rare"],
+                )
+            events = batch.select([0, 1, 2]).filter(batch.column(2).is_valid())
+            for shard, row, body in zip(*(events.column(i) for i in range(3)), strict=True):
+                if shard.as_py() != now:
+                    yield from finished()
+                    now = shard.as_py()
+                held.append((row.as_py(), body.as_buffer().to_pybytes()))
+        yield from finished()
+
+    doc_kind = f"doc_id {id_kind}, n_tokens long, known long, base double, rare array<bigint>"
+    events = rows.mapInArrow(read, f"shard int, row long, events binary, {doc_kind}")
+    sharded = events.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard")
+    scored = frames.store(sharded.mapInArrow(score, f"row long, value double, {doc_kind}"), "scored")
+
+    own = scored.where(F.col("n_tokens").isNotNull())
     # Words outside the head: their counts come by a join, both scores add the log of the count.
-    met = partial.select("row", F.explode("rare").alias("hash")).join(counts, "hash")
-    extra = met.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("shares"))
-    extra = extra.withColumnRenamed("row", "own")
-    joined = partial.drop("rare").join(extra, F.col("row") == F.col("own"), "left")
-    added = F.coalesce("shares", F.lit(0.0))
+    met = own.select("row", F.explode("rare").alias("hash")).join(counts, "hash")
+    nothing = F.lit(0.0)
+    parts = met.select("row", F.lit(1).alias("more"), F.log10(F.col("n") + 1).alias("share"), nothing.alias("part")).union(
+        scored.where(F.col("n_tokens").isNull()).select("row", F.lit(0), nothing, "value")
+    )
+    sums = parts.groupBy("row").agg(F.sum("more").alias("more"), F.sum("share").alias("share"), F.sum("part").alias("part"))
+    joined = own.drop("rare").join(sums.withColumnRenamed("row", "own"), F.col("row") == F.col("own"), "left")
+    share = F.coalesce("share", nothing)
     return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(v.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + added).alias("base_score"),
-        (F.col("value") + added).alias("score"),
+        (F.col("base") + share).alias("base_score"),
+        (F.col("value") + F.coalesce("part", nothing) + share).alias("score"),
     )
 
 
+def _batch(**columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 def score_corpus(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all ``docs`` under a model of those rows for which ``training`` holds."""
-    part = docs.where(training)
-    counts = word_counts(part, text_col)
-    return scores(docs, train(part, text_col, counts), counts, id_col, text_col)
+    counts = word_counts(docs.where(training), text_col)
+    return scores(docs, training, counts, vocabulary(counts), id_col, text_col)

@@ -42,32 +42,124 @@ def test_words_outside_the_head_meet_their_counts(documents, monkeypatch):
     """With a tiny head nearly all counts come by the join."""
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     counts = maxent.word_counts(documents)
-    small = maxent.vocabulary(counts)
-    keep = np.sort(np.argsort(small.ranks)[: maxent.WORDS])
-    cut = maxent.Vocabulary(small.hashes[keep], small.counts[keep], small.ranks[keep], small.train_tokens, small.distinct, small.words)
-    zero = [np.zeros((1 << maxent.BITS, n), dtype=np.float32) for n in (maxent.CLASSES, maxent.PER_CLASS)]
-    check_base(rows, rows, maxent.scores(documents, maxent.Model(cut, *zero), counts).collect())
-    whole = {r["doc_id"]: r["score"] for r in maxent.scores(documents, maxent.Model(small, *zero), counts).collect()}
-    part = {r["doc_id"]: r["score"] for r in maxent.scores(documents, maxent.Model(cut, *zero), counts).collect()}
-    assert whole == pytest.approx(part)
-
-
-def test_probabilities_sum_to_one(documents):
-    """Over the modelled words, all others that occur and one unknown, in a given context."""
-    model = maxent.train(documents)
-    runner = maxent.Runner(model)
-    v = model.vocabulary
-    context = v.hashes[np.argsort(v.ranks)[:2]]
-    # Each text: two words, then one more. Its probability in that context is read off the third.
-    hashes = np.concatenate([np.concatenate((context, [h])) for h in v.hashes])
-    t = maxent.Tokens(hashes, np.arange(0, 3 * len(v.hashes) + 1, 3))
-    prepared = runner.prepare(t)
-    logs = runner.log_probabilities(prepared)[2::3]
-    last = prepared[0][2::3] == maxent.CLASSES - 1
-    known = np.exp(logs[~last]).sum()
-    outside = np.exp(logs[last]) / v.rest  # the class's probability by one place
-    total = known + ((v.counts[last] + 1) * outside).sum() + outside.mean()
-    assert total == pytest.approx(1.0, abs=1e-4)
+    small = maxent.vocabulary(counts, head=100)
+    assert len(small.by_rank) == 100
+    check_base(rows, rows, maxent.scores(documents, F.lit(True), counts, small).collect())
+
+
+def vocabulary(counts: dict[int, int], distinct: int, total: int) -> maxent.Vocabulary:
+    """A head of numbered words, END as one of them, and a rest that is only counted."""
+    ranked = sorted(counts.items(), key=lambda c: (-c[1], c[0]))
+    return maxent.Vocabulary(
+        np.array([h for h, _ in ranked], dtype=np.uint64), np.array([n for _, n in ranked], dtype=np.int64), total, distinct
+    )
+
+
+def events(seed: int = 3):
+    """Distinct events over a head of 200 words, two ranks of rarer contexts and words outside the head."""
+    draw = np.random.default_rng(seed)
+    word = np.minimum(draw.geometric(0.03, 6000) - 1, 200)
+    word[word == 200] = maxent.HEAD
+    context = np.where(word == maxent.HEAD, maxent.START + 1 + draw.integers(0, 50, len(word)), word)
+    one, two = np.roll(context, 1), np.roll(context, 2)
+    found, n = np.unique(np.stack((one, two, word)), axis=1, return_counts=True)
+    v = vocabulary({i + 10: int((word == i).sum()) for i in range(200)}, 260, len(word))
+    # Ranks go by count, so the numbers of the words are mapped to them.
+    rank = {int(h) - 10: r for h, r in zip(v.hashes, v.ranks)}
+    mapped = [np.array([rank.get(int(x), int(x)) for x in row]) for row in found]
+    return v, *mapped, n
+
+
+def test_probabilities_sum_to_one():
+    """Over the head and the last class, in contexts seen and unseen."""
+    v, one, two, word, n = events()
+    shard = maxent.Shard(v, one, two, word, n)
+    every = np.append(np.arange(len(v.by_rank)), maxent.HEAD)
+    for a, b in [*zip(one[:40], two[:40]), (maxent.START, maxent.START), (7, 1 << 30), (1 << 30, 3)]:
+        logs = shard.logs(np.full(len(every), a), np.full(len(every), b), every)
+        assert np.exp(logs).sum() == pytest.approx(1.0, abs=1e-5)
+
+
+def dense(shard: maxent.Shard, seen: list[tuple], one: int, two: int, word: int) -> float:
+    """The probability by dense softmaxes over all classes and all words of the class, one weight at a time."""
+    v = shard.v
+    pair = maxent._pair(np.array([one]), np.array([two]))
+    rows = shard._rows(np.array([one]), np.array([two]), pair)
+    z = [float(v.class_share[k]) + sum(float(shard.outer[r[0], k]) for r in rows) for k in range(maxent.CLASSES)]
+    klass = int(v.classes(np.array([word]))[0])
+    out = z[klass] - math.log(sum(map(math.exp, z)))
+    if word == maxent.HEAD:
+        return out
+
+    def weight(boosts, key):
+        found = np.flatnonzero(boosts.entries == key)
+        return float(boosts.weight[found[0]]) if len(found) else 0.0
+
+    def logit(w):
+        entry = shard._entry(np.array([one]), np.array([klass]), np.array([w]))[0]
+        event = maxent.text.mix(pair + np.array([w]).astype(np.uint64) * maxent.END)[0]
+        assert ((one, two, w) in seen) == bool((shard.pairs.entries == event).any())
+        return math.log(v.by_rank[w] + 1) + weight(shard.after, entry) + weight(shard.pairs, event)
+
+    members = [w for w in range(len(v.by_rank)) if v.klass[w] == klass]
+    return out + logit(word) - math.log(sum(math.exp(logit(w)) for w in members))
+
+
+def test_scores_equal_dense_softmaxes():
+    v, one, two, word, n = events()
+    shard = maxent.Shard(v, one, two, word, n)
+    seen = set(zip(one.tolist(), two.tolist(), word.tolist()))
+    draw = np.random.default_rng(5)
+    chosen = draw.integers(0, len(one), 30)
+    some = [*((one[i], two[i], word[i]) for i in chosen), *((one[i], two[i], w) for i, w in zip(chosen, draw.integers(0, 200, 30)))]
+    some = [tuple(map(int, s)) for s in some]
+    got = shard.logs(*np.array(some).T)
+    assert got == pytest.approx([dense(shard, seen, *s) for s in some], abs=1e-4)
+
+
+def test_weights_of_words_are_at_the_optimum():
+    """Observed less expected counts equal the pull of the prior."""
+    v, one, two, word, n = events()
+    known = word < maxent.HEAD
+    entry = maxent.Shard._entry(one[known], v.classes(word[known]), word[known])
+    seen, at, back = np.unique(entry, return_index=True, return_inverse=True)
+    count = np.bincount(back, n[known])
+    prior = np.exp(v.share[word[known][at]])
+    found = maxent.Boosts(seen >> 18, seen, prior, count)
+    group, total = np.unique(seen >> 18, return_inverse=True)[1], np.bincount(back, n[known])
+    total = np.bincount(group, total)[group]
+    expected = total * prior * np.exp(found.weight - found.norm[group])
+    assert np.abs(count - expected - maxent.PRIOR * found.weight).max() < 0.05 * count.max()
+    assert np.median(np.abs(count - expected - maxent.PRIOR * found.weight)) < 0.02
+
+
+def held_out_gain(documents, parts: int) -> list:
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    found = maxent.score_corpus(documents.repartition(parts), ~held)
+    return sorted((r["doc_id"], r["score"]) for r in found.collect())
+
+
+def test_the_number_of_tasks_does_not_matter(documents, monkeypatch):
+    """Several shards, so that frequent words are spread, in one task and in many."""
+    monkeypatch.setattr(maxent, "SHARD_BYTES", 1 << 16)
+    few, many = held_out_gain(documents, 1), held_out_gain(documents, 13)
+    assert [d for d, _ in few] == [d for d, _ in many]
+    assert [s for _, s in few] == pytest.approx([s for _, s in many], rel=1e-3)
+
+
+def test_frequent_words_and_pairs_are_spread():
+    v = vocabulary({1: 3_000_000_000, 2: 2_000_000_000, 3: 5}, 3, 5_000_000_005)
+    spread = maxent.Spread.of(v, 10_000, 1.0)
+    draw = np.random.default_rng(1)
+    size = 100_000
+    salt = draw.integers(0, 1 << 62, size).astype(np.uint64)
+    hot = spread.shard(np.zeros(size, np.int64), np.ones(size, np.int64), salt)
+    # No shard gets more of the pair than a few times its tokens.
+    assert np.bincount(hot).max() / size * 2_000_000_000 < 40 * maxent.SHARD_TOKENS
+    rare = spread.shard(np.full(size, 2), draw.integers(0, 1 << 30, size), salt)
+    assert len(np.unique(rare)) == 1
+    wide = spread.shard(np.zeros(size, np.int64), draw.integers(0, 1 << 30, size), salt)
+    assert len(np.unique(wide)) > 2_000
 
 
 def test_odd_rows(odd, clashing, nothing):
