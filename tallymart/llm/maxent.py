@@ -14,9 +14,9 @@ The logs of the class's and the word's own shares are added, so the untrained mo
 
 The model is nowhere whole. Tokens are shuffled to shards by the word before them; a shard trains the weights of
 its contexts on its training tokens and scores all its tokens. The number of shards follows the bytes of text, and
-the rows of a shard its distinct pairs, so the weights grow with the corpus. Neither the number of
+the rows of a shard its distinct events, so the weights grow with the corpus. Neither the number of
 tasks nor the order of the rows has a part in the result beyond the rounding of sums: a shard counts equal events
-first and takes them in the order of their hashes. A frequent word is spread over shards by the word before it,
+first and takes them in the order of their hashes. Events that are only scored stand there with a count of zero. A frequent word is spread over shards by the word before it,
 and a pair of two very frequent words by document as well.
 
 Word counts, tokens and distinct words are exact sums over all training texts. Words are known by 64-bit
@@ -40,10 +40,11 @@ from tallymart.llm import frames, text
 HEAD = 1 << 17
 CLASSES = 32  # the last one holds all words outside the head
 START = HEAD  # the context before a text; rarer words are hashed to contexts above it
-SHARD_BYTES = 16 << 20  # text for each shard
+SHARD_BYTES = 8 << 20  # text for each shard
 SHARD_TOKENS = SHARD_BYTES // 8
 MOST_TASKS = 1 << 15  # shards beyond this share tasks
 SLICE_BYTES = 4 << 20
+NEAR = 20
 RATE = 0.2
 STEP = 8192
 PRIOR = 0.3  # inverse variance of the weights of words
@@ -75,7 +76,9 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, train_tokens: int, distinct: int):
         """``hashes`` and ``counts`` go by rank."""
         order = np.argsort(hashes)
-        self.hashes, self.ranks = hashes[order], order
+        self.hashes, self.ranks = np.append(hashes[order], ~_U(0)), np.append(order, HEAD)
+        # Hashes are spread evenly, so their first bits lead to where they are.
+        self.near = np.searchsorted(hashes[order], np.arange(1 << NEAR, dtype=_U) << _U(64 - NEAR)).astype(np.int32)
         self.by_rank = counts
         self.train_tokens, self.distinct = train_tokens, distinct
         # Denominator of the add-one shares: one place is kept for unknown words.
@@ -93,9 +96,11 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks, or ``HEAD`` outside the head."""
-        if not len(self.hashes):
-            return np.full(len(hashes), HEAD)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = self.near[hashes >> _U(64 - NEAR)]
+        left = np.flatnonzero(self.hashes[at] < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.hashes[at[left]] < hashes[left]]
         return np.where(self.hashes[at] == hashes, self.ranks[at], HEAD)
 
     def classes(self, word: np.ndarray) -> np.ndarray:
@@ -115,140 +120,131 @@ def contexts(t: Tokens, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-@dataclass
 class Spread:
     """Shards of the contexts: frequent words take several, by how often they stand in the scored texts."""
 
-    shards: int
-    counts: np.ndarray  # of contexts up to START
-
-    @classmethod
-    def of(cls, v: Vocabulary, shards: int, scale: float) -> Spread:
+    def __init__(self, v: Vocabulary, shards: int, scale: float):
         counts = np.zeros(START + 2)
         counts[: len(v.by_rank)] = v.by_rank * scale
         ends = v.find(np.array([END]))[0]
         counts[START] = counts[ends] if ends < HEAD else 0
-        return cls(shards, counts)
+        self.shards = shards
+        self.pieces = (1 + counts // (SHARD_TOKENS // 4)).astype(_U)
+        self.parts = (1 + counts // (4 * SHARD_TOKENS)).astype(_U)
 
     def shard(self, one: np.ndarray, two: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        a, b = self.counts[np.minimum(one, START + 1)], self.counts[np.minimum(two, START + 1)]
-        pieces = 1 + (a // (SHARD_TOKENS // 4)).astype(_U)
-        parts = 1 + (np.minimum(a, b) // (4 * SHARD_TOKENS)).astype(_U)
-        piece = text.mix(two.astype(_U) * _U(1 << 20) + salt % parts) % pieces
-        return (text.mix(one.astype(_U) + (piece << _U(32))) % _U(self.shards)).astype(np.int64)
+        a = np.minimum(one, START + 1)
+        key = one.astype(_U)
+        hot = np.flatnonzero(self.pieces[a] > 1)
+        if len(hot):
+            a, b = a[hot], two[hot]
+            parts = np.minimum(self.parts[a], self.parts[np.minimum(b, START + 1)])
+            piece = text.mix(b.astype(_U) * _U(1 << 20) + salt[hot] % parts) % self.pieces[a]
+            key[hot] += piece << _U(32)
+        return (text.mix(key) % _U(self.shards)).astype(np.uint16 if self.shards < 1 << 16 else np.int64)
 
 
 def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return text.mix(one.astype(_U) << _U(32) | two.astype(_U))
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
-class Boosts:
-    """Weights of entries in groups: an entry's prior probability in its group times exp(weight), normalised.
+def boosts(group: np.ndarray, prior: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of entries sorted by group, and the log of each entry's normaliser.
 
-    Entries without a weight count by their priors, which with those of the weighted sum up to one.
+    An entry's probability in its group is its prior times exp(weight), normalised. Entries that were
+    not seen weigh nothing and count by their priors, like all that are not listed.
     """
-
-    def __init__(self, group: np.ndarray, entry: np.ndarray, prior: np.ndarray, n: np.ndarray):
-        """Entries sorted by group; ``entry`` keys are unique."""
-        at = text.runs(group)
-        size = np.diff(at)
-        self.groups = group[at[:-1]]
-        weight, norm = np.zeros(len(n)), np.ones(len(self.groups))
-        if len(n):
-            total = np.repeat(np.add.reduceat(n, at[:-1]), size)
-            for _ in range(ROUNDS):
-                expected = total * prior * np.exp(weight) / np.repeat(norm, size)
-                weight += np.clip((n - expected - PRIOR * weight) / (expected + PRIOR), -1.0, 1.0)
-                # Never below the priors of the words without a weight.
-                norm = 1.0 + np.add.reduceat(prior * np.expm1(weight), at[:-1])
-        self.norm = np.log(norm)
-        order = np.argsort(entry)
-        self.entries, self.weight = entry[order], weight[order]
-
-    def logs(self, group: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        """What the weights add to the log of an entry's prior."""
-        return _find(self.entries, self.weight, entry) - _find(self.groups, self.norm, group)
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
+    at = text.runs(group)
+    size = np.diff(at)
+    weight, norm = np.zeros(len(n)), np.ones(len(size))
+    seen = np.flatnonzero(n)
+    if len(seen):
+        group = np.repeat(np.arange(len(size)), size)[seen]
+        prior, n = prior[seen], n[seen]
+        total = np.bincount(group, n, minlength=len(size))[group]
+        own = np.zeros(len(seen))
+        for _ in range(ROUNDS):
+            expected = total * prior * np.exp(own) / norm[group]
+            own += np.clip((n - expected - PRIOR * own) / (expected + PRIOR), -1.0, 1.0)
+            norm = 1.0 + np.bincount(group, prior * np.expm1(own), minlength=len(size))
+        weight[seen] = own
+    return weight, np.repeat(np.log(norm), size)
 
 
 class Shard:
-    """The weights of a shard's contexts, trained on distinct events with their counts."""
+    """A shard's weights, trained on distinct events with their counts, and the logs of all its events."""
 
     def __init__(self, v: Vocabulary, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray):
+        """``logs`` are natural logs of the words' probabilities; for words outside the head, of their class."""
         self.v = v
         klass = v.classes(word)
         pair = _pair(one, two)
-        distinct = len(np.unique(pair))
-        self.bits = max(int(distinct).bit_length() - 2, 10)  # four pairs a row
+        self.bits = max(len(word).bit_length() - 2, 10)  # two to four events a row
         self.outer = np.zeros((1 << self.bits, CLASSES), dtype=np.float32)
-        squares = np.zeros(1 << self.bits, dtype=np.float32)
-        rows = self._rows(one, two, pair)
-        weights = n.astype(np.float32)
-        for a in range(0, len(klass), STEP):
+        rows = self.rows(one, two, pair)
+        self._train(rows, klass, n)
+        self.logs = np.empty(len(word))
+        for a in range(0, len(word), STEP):
             b = slice(a, a + STEP)
-            error = np.exp(_log_softmax(self._outer(rows, b)))
-            error[np.arange(len(error)), klass[b]] -= 1
-            error *= weights[b, None]
-            for r in rows:
-                _step(self.outer, squares, r[b], error)
+            z = self._outer(rows, b)
+            self.logs[b] = np.log(np.maximum(_softmax(z)[np.arange(len(z)), klass[b]], 1e-30))
+        del rows
 
-        known = word < HEAD
+        known = np.flatnonzero(word < HEAD)
         one, pair, word, klass, n = one[known], pair[known], word[known], klass[known], n[known].astype(float)
-        entry = self._entry(one, klass, word)
-        seen, at, back = np.unique(entry, return_index=True, return_inverse=True)
-        self.after = Boosts(seen >> 18, seen, np.exp(v.share[word[at]]), np.bincount(back, n, minlength=len(seen)))
+        entry = self.entry(one, klass, word)
+        order = np.argsort(entry)
+        at = text.runs(entry[order])
+        self.entries = entry[order[at[:-1]]]
+        entry_of = np.empty(len(order), dtype=np.int64)
+        entry_of[order] = np.repeat(np.arange(len(self.entries)), np.diff(at))
+        share = v.share[self.entries & (1 << 18) - 1]
+        self.after, norm = boosts(self.entries >> 18, np.exp(share), np.bincount(entry_of, n, minlength=len(share)))
         # The pair's weights come on top: what the word before gives is their prior.
-        given = np.exp(v.share[word] + self.after.logs(entry >> 18, entry))
+        given = (share + self.after - norm)[entry_of]
         group = text.mix(pair + klass.astype(_U))
-        order = np.argsort(group, kind="stable")
-        event = text.mix(pair + word.astype(_U) * END)
-        self.pairs = Boosts(group[order], event[order], given[order], n[order])
+        order = np.argsort(group)
+        weight, norm = boosts(group[order], np.exp(given[order]), n[order])
+        self.logs[known] += given
+        self.logs[known[order]] += weight - norm
+        self.pairs = np.zeros(len(self.logs))
+        self.pairs[known[order]] = weight
+
+    def _train(self, rows: list[np.ndarray], klass: np.ndarray, n: np.ndarray) -> None:
+        squares = np.zeros(len(self.outer), dtype=np.float32)
+        seen = np.flatnonzero(n)
+        for a in range(0, len(seen), STEP):
+            b = seen[a : a + STEP]
+            error = _softmax(self._outer(rows, b))
+            error[np.arange(len(b)), klass[b]] -= 1
+            error *= n[b, None].astype(np.float32)
+            for r in rows:
+                _step(self.outer, squares, r[b], error)
 
     @staticmethod
-    def _entry(one: np.ndarray, klass: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return (one.astype(np.int64) << 23) | (klass << 18) | np.minimum(word, HEAD)
+    def entry(one: np.ndarray, klass: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return (one << 23) | (klass << 18) | word
 
-    def _rows(self, one: np.ndarray, two: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
+    def rows(self, one: np.ndarray, two: np.ndarray, pair: np.ndarray) -> list[np.ndarray]:
         """Rows of the three features."""
         down = _U(64 - self.bits)
         keys = one.astype(_U) + _U(1 << 40), two.astype(_U) + _U(2 << 40), pair
-        return [(text.mix(k) >> down).astype(np.int64) for k in keys]
+        return [(text.mix(k) >> down).astype(np.int32) for k in keys]
 
-    def _outer(self, rows: list[np.ndarray], b: slice) -> np.ndarray:
+    def _outer(self, rows: list[np.ndarray], b: slice | np.ndarray) -> np.ndarray:
         z = self.outer[rows[0][b]]
         z += self.outer[rows[1][b]]
         z += self.outer[rows[2][b]]
         z += self.v.class_share
         return z
 
-    def logs(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Natural logs of the words' probabilities; for words outside the head, of their class."""
-        klass, pair = self.v.classes(word), _pair(one, two)
-        rows = self._rows(one, two, pair)
-        out = np.empty(len(word))
-        for a in range(0, len(word), STEP):
-            b = slice(a, a + STEP)
-            z = _log_softmax(self._outer(rows, b))
-            out[b] = z[np.arange(len(z)), klass[b]]
-        known = np.flatnonzero(word < HEAD)
-        one, pair, word, klass = one[known], pair[known], word[known], klass[known]
-        entry = self._entry(one, klass, word)
-        out[known] += self.v.share[word] + self.after.logs(entry >> 18, entry)
-        out[known] += self.pairs.logs(text.mix(pair + klass.astype(_U)), text.mix(pair + word.astype(_U) * END))
-        return out
-
 
 def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
     """Row sums of the gradient, scaled by what the row's gradients have been so far."""
@@ -266,15 +262,19 @@ def shard_scores(v: Vocabulary, events: np.ndarray, base: np.ndarray) -> tuple[n
 
     ``events`` are rows (word before, word before that, word, 2 * row + 1 for training), ``base`` is added to the rows.
     """
-    one, two, word, flagged = (c.astype(np.int64) for c in events)
+    one, two, word = (c.astype(np.int64) for c in events[:3])
     key = text.mix(_pair(one, two) + word.astype(_U) * END)
-    _, at, back = np.unique(key, return_index=True, return_inverse=True)
-    n = np.bincount(back, flagged & 1, minlength=len(at))
-    one, two, word = one[at], two[at], word[at]
-    seen = n > 0
-    logs = Shard(v, one[seen], two[seen], word[seen], n[seen]).logs(one, two, word)
-    rows, own = np.unique(base + (flagged >> 1), return_inverse=True)
-    return rows, np.bincount(own, logs[back], minlength=len(rows))
+    order = np.argsort(key)
+    runs = text.runs(key[order])
+    del key
+    at = order[runs[:-1]]
+    n = np.add.reduceat((events[3] & 1).astype(np.int64)[order], runs[:-1])
+    logs = np.empty(len(order))
+    logs[order] = np.repeat(Shard(v, one[at], two[at], word[at], n).logs, np.diff(runs))
+    # A document's events come from one slice, so they stand together.
+    row = base + (events[3] >> 1)
+    runs = text.runs(row)[:-1]
+    return row[runs], np.add.reduceat(logs, runs)
 
 
 def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
@@ -326,7 +326,7 @@ def scores(
         F.coalesce(F.sum(length), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("train"), length)), F.lit(0)).alias("train")
     ).first()
     shards = max(1, -(-sizes["all"] // SHARD_BYTES))
-    spread = Spread.of(v, shards, sizes["all"] / max(sizes["train"], 1))
+    spread = Spread(v, shards, sizes["all"] / max(sizes["train"], 1))
     sent = spark.sparkContext.broadcast((v, spread))
     base, rest = float(np.log10(v.total)), float(np.log10(max(v.rest, 1)))
     id_kind = rows.schema["doc_id"].dataType.simpleString()

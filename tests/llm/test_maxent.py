@@ -71,66 +71,68 @@ def events(seed: int = 3):
 
 
 def test_probabilities_sum_to_one():
-    """Over the head and the last class, in contexts seen and unseen."""
+    """Over the head and the last class, in contexts seen and unseen; what is only scored has a count of zero."""
     v, one, two, word, n = events()
-    shard = maxent.Shard(v, one, two, word, n)
     every = np.append(np.arange(len(v.by_rank)), maxent.HEAD)
-    for a, b in [*zip(one[:40], two[:40]), (maxent.START, maxent.START), (7, 1 << 30), (1 << 30, 3)]:
-        logs = shard.logs(np.full(len(every), a), np.full(len(every), b), every)
-        assert np.exp(logs).sum() == pytest.approx(1.0, abs=1e-5)
-
-
-def dense(shard: maxent.Shard, seen: list[tuple], one: int, two: int, word: int) -> float:
-    """The probability by dense softmaxes over all classes and all words of the class, one weight at a time."""
-    v = shard.v
-    pair = maxent._pair(np.array([one]), np.array([two]))
-    rows = shard._rows(np.array([one]), np.array([two]), pair)
-    z = [float(v.class_share[k]) + sum(float(shard.outer[r[0], k]) for r in rows) for k in range(maxent.CLASSES)]
-    klass = int(v.classes(np.array([word]))[0])
-    out = z[klass] - math.log(sum(map(math.exp, z)))
-    if word == maxent.HEAD:
-        return out
-
-    def weight(boosts, key):
-        found = np.flatnonzero(boosts.entries == key)
-        return float(boosts.weight[found[0]]) if len(found) else 0.0
-
-    def logit(w):
-        entry = shard._entry(np.array([one]), np.array([klass]), np.array([w]))[0]
-        event = maxent.text.mix(pair + np.array([w]).astype(np.uint64) * maxent.END)[0]
-        assert ((one, two, w) in seen) == bool((shard.pairs.entries == event).any())
-        return math.log(v.by_rank[w] + 1) + weight(shard.after, entry) + weight(shard.pairs, event)
-
-    members = [w for w in range(len(v.by_rank)) if v.klass[w] == klass]
-    return out + logit(word) - math.log(sum(math.exp(logit(w)) for w in members))
+    chosen = [*zip(one[:40], two[:40]), (maxent.START, maxent.START), (7, 1 << 30), (1 << 30, 3)]
+    chosen = sorted(set(chosen))
+    grid = np.array([(a, b, w) for a, b in chosen for w in every]).T
+    known = dict(zip(zip(one.tolist(), two.tolist(), word.tolist()), n.tolist()))
+    counts = np.array([known.pop(e, 0) for e in map(tuple, grid.T.tolist())])
+    more = np.array(list(known)).T  # the rest of the training events
+    both = np.concatenate((grid, more), axis=1)
+    logs = maxent.Shard(v, *both, np.concatenate((counts, list(known.values())))).logs[: len(counts)]
+    assert np.exp(logs).reshape(len(chosen), -1).sum(axis=1) == pytest.approx(np.ones(len(chosen)), abs=1e-5)
 
 
 def test_scores_equal_dense_softmaxes():
+    """Softmaxes over all classes and all words of the class, one weight at a time."""
     v, one, two, word, n = events()
     shard = maxent.Shard(v, one, two, word, n)
-    seen = set(zip(one.tolist(), two.tolist(), word.tolist()))
-    draw = np.random.default_rng(5)
-    chosen = draw.integers(0, len(one), 30)
-    some = [*((one[i], two[i], word[i]) for i in chosen), *((one[i], two[i], w) for i, w in zip(chosen, draw.integers(0, 200, 30)))]
-    some = [tuple(map(int, s)) for s in some]
-    got = shard.logs(*np.array(some).T)
-    assert got == pytest.approx([dense(shard, seen, *s) for s in some], abs=1e-4)
+    rows = np.stack(shard.rows(one, two, maxent._pair(one, two)), axis=1)
+    after = dict(zip(shard.entries.tolist(), shard.after.tolist()))
+    pairs = dict(zip(zip(one.tolist(), two.tolist(), word.tolist()), shard.pairs.tolist()))
+    for i in np.random.default_rng(5).integers(0, len(one), 60):
+        z = [float(v.class_share[k]) + sum(float(shard.outer[r, k]) for r in rows[i]) for k in range(maxent.CLASSES)]
+        klass = maxent.CLASSES - 1 if word[i] == maxent.HEAD else int(v.klass[word[i]])
+        expected = z[klass] - math.log(sum(map(math.exp, z)))
+
+        def logit(w):
+            entry = maxent.Shard.entry(int(one[i]), klass, w)
+            return math.log(v.by_rank[w] + 1) + after.get(entry, 0.0) + pairs.get((int(one[i]), int(two[i]), w), 0.0)
+
+        if word[i] < maxent.HEAD:
+            members = [w for w in range(len(v.by_rank)) if v.klass[w] == klass]
+            expected += logit(int(word[i])) - math.log(sum(math.exp(logit(w)) for w in members))
+        assert shard.logs[i] == pytest.approx(expected, abs=1e-4)
 
 
 def test_weights_of_words_are_at_the_optimum():
-    """Observed less expected counts equal the pull of the prior."""
-    v, one, two, word, n = events()
-    known = word < maxent.HEAD
-    entry = maxent.Shard._entry(one[known], v.classes(word[known]), word[known])
-    seen, at, back = np.unique(entry, return_index=True, return_inverse=True)
-    count = np.bincount(back, n[known])
-    prior = np.exp(v.share[word[known][at]])
-    found = maxent.Boosts(seen >> 18, seen, prior, count)
-    group, total = np.unique(seen >> 18, return_inverse=True)[1], np.bincount(back, n[known])
-    total = np.bincount(group, total)[group]
-    expected = total * prior * np.exp(found.weight - found.norm[group])
-    assert np.abs(count - expected - maxent.PRIOR * found.weight).max() < 0.05 * count.max()
-    assert np.median(np.abs(count - expected - maxent.PRIOR * found.weight)) < 0.02
+    """Observed less expected counts equal the pull of the prior; entries not seen weigh nothing."""
+    draw = np.random.default_rng(2)
+    group = np.sort(draw.integers(0, 50, 1000))
+    prior = draw.random(1000) / 60
+    n = draw.integers(0, 5, 1000).astype(float)
+    weight, norm = maxent.boosts(group, prior, n)
+    assert not weight[n == 0].any()
+    total = np.bincount(group, n)[group]
+    expected = total * prior * np.exp(weight - norm)
+    seen = n > 0
+    left = np.abs(n - expected - maxent.PRIOR * weight)[seen]
+    assert np.median(left) < 0.02 and left.max() < 0.2
+    for g in range(50):
+        own = group == g
+        assert norm[own][0] == pytest.approx(math.log(1 + (prior[own] * np.expm1(weight[own])).sum()))
+
+
+def test_words_are_found_by_their_hashes():
+    draw = np.random.default_rng(4)
+    hashes = draw.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    v = maxent.Vocabulary(hashes, np.arange(5000, 0, -1), 20_000_000, 6000)
+    ends = np.array([0, (1 << 64) - 1], dtype=np.uint64)
+    others = np.concatenate((draw.integers(0, 1 << 64, 5000, dtype=np.uint64), ends))
+    assert v.find(hashes).tolist() == list(range(5000))
+    assert set(v.find(others)) == {maxent.HEAD}
 
 
 def held_out_gain(documents, parts: int) -> list:
@@ -149,7 +151,7 @@ def test_the_number_of_tasks_does_not_matter(documents, monkeypatch):
 
 def test_frequent_words_and_pairs_are_spread():
     v = vocabulary({1: 3_000_000_000, 2: 2_000_000_000, 3: 5}, 3, 5_000_000_005)
-    spread = maxent.Spread.of(v, 10_000, 1.0)
+    spread = maxent.Spread(v, 10_000, 1.0)
     draw = np.random.default_rng(1)
     size = 100_000
     salt = draw.integers(0, 1 << 62, size).astype(np.uint64)
