@@ -257,24 +257,54 @@ def _step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndar
     weights[own] -= (RATE / np.sqrt(squares[own] + 1e-6))[:, None] * sums
 
 
-def shard_scores(v: Vocabulary, events: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of documents in the shard and the sums of their tokens' logs.
+def packed(shard: np.ndarray, columns: list[np.ndarray], flagged: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Shards of a slice and their events in the order of documents.
 
-    ``events`` are rows (word before, word before that, word, 2 * row + 1 for training), ``base`` is added to the rows.
+    Each is a number of events, their columns, then the documents (2 * row + 1 for training) and their numbers of events.
     """
-    one, two, word = (c.astype(np.int64) for c in events[:3])
+    order = np.argsort(shard, kind="stable")
+    shard, flagged = shard[order].astype(np.int64), flagged[order]
+    columns = [c[order].astype(np.uint32) for c in columns]
+    at = text.runs(shard)
+    docs = text.runs((shard << 33) + flagged)
+    ids, sizes = flagged[docs[:-1]].astype(np.uint32), np.diff(docs).astype(np.uint32)
+    first = np.searchsorted(docs, at)
+    bodies = []
+    for a, b, c, d in zip(at[:-1], at[1:], first[:-1], first[1:], strict=True):
+        parts = [np.array([b - a], dtype=np.uint32), *(x[a:b] for x in columns), ids[c:d], sizes[c:d]]
+        bodies.append(b"".join(x.tobytes() for x in parts))
+    return shard[at[:-1]], bodies
+
+
+def shard_scores(v: Vocabulary, bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of documents and the sums of their tokens' natural logs, for each slice of a shard."""
+    read = [np.frombuffer(body, dtype=np.uint32) for body in bodies]
+    ends = [1 + 3 * int(r[0]) for r in read]
+    one, two, word = (
+        np.concatenate([r[1 + c * int(r[0]) : 1 + (c + 1) * int(r[0])] for r in read]).astype(np.int64) for c in range(3)
+    )
+    docs = [r[e:].reshape(2, -1) for r, e in zip(read, ends, strict=True)]
+    ids, sizes = np.concatenate(docs, axis=1).astype(np.int64)
     key = text.mix(_pair(one, two) + word.astype(_U) * END)
     order = np.argsort(key)
     runs = text.runs(key[order])
     del key
     at = order[runs[:-1]]
-    n = np.add.reduceat((events[3] & 1).astype(np.int64)[order], runs[:-1])
+    n = np.add.reduceat(np.repeat(ids & 1, sizes)[order], runs[:-1])
     logs = np.empty(len(order))
     logs[order] = np.repeat(Shard(v, one[at], two[at], word[at], n).logs, np.diff(runs))
-    # A document's events come from one slice, so they stand together.
-    row = base + (events[3] >> 1)
-    runs = text.runs(row)[:-1]
-    return row[runs], np.add.reduceat(logs, runs)
+    sums = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+    cuts = np.cumsum([d.shape[1] for d in docs])[:-1]
+    return list(zip(np.split(ids >> 1, cuts), np.split(sums, cuts), strict=True))
+
+
+def _slice_sums(packs: pa.Table) -> pa.Table:
+    """Sums by document over all shards of a slice."""
+    rows = np.frombuffer(b"".join(packs["rows"].to_pylist()), dtype=np.uint32)
+    sums = np.frombuffer(b"".join(packs["sums"].to_pylist()), dtype=np.float32)
+    total = np.bincount(rows, sums)
+    first = packs["slice"][0].as_py()
+    return pa.table({"row": np.arange(first, first + len(total)), "part": total})
 
 
 def word_counts(training: DataFrame, text_col: str = "text") -> DataFrame:
@@ -359,14 +389,10 @@ def scores(
                 train, salt = (batch.column(c).slice(first, rows).to_numpy(zero_copy_only=False) for c in (2, 3))
                 shard = spread.shard(one, two, np.repeat(salt.astype(np.int64).view(_U), n))
                 flagged = np.repeat(2 * np.arange(rows) + train.astype(np.int64), n)
-                order = np.argsort(shard, kind="stable")
-                columns = [c[order].astype(np.uint32) for c in (one, two, rank, flagged)]
-                ordered = shard[order]
-                runs = text.runs(ordered)
-                bodies = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(runs[:-1], runs[1:], strict=True)]
+                shards, bodies = packed(shard, [one, two, rank], flagged)
                 none = len(bodies)
                 yield _batch(
-                    shard=pa.array(ordered[runs[:-1]], pa.int32()),
+                    shard=pa.array(shards, pa.int32()),
                     row=pa.array(np.full(none, number)),
                     events=pa.array(bodies, pa.binary()),
                     doc_id=pa.nulls(none, batch.column(0).type),
@@ -385,19 +411,21 @@ def scores(
 
         def finished() -> Iterator[pa.RecordBatch]:
             if held:
-                events = [np.frombuffer(body, dtype=np.uint32).reshape(4, -1) for _, body in held]
-                starts = np.repeat([row for row, _ in held], [e.shape[1] for e in events])
-                rows, logs = shard_scores(v, np.concatenate(events, axis=1), starts)
+                found = shard_scores(v, [body for _, body in held])
+                slices = [row for row, _ in held]
                 held.clear()
-                none = len(rows)
+                none = len(found)
                 yield _batch(
-                    row=pa.array(rows),
-                    value=pa.array(logs / np.log(10)),
+                    row=pa.nulls(none, pa.int64()),
+                    value=pa.nulls(none, pa.float64()),
                     doc_id=pa.nulls(none, id_type),
                     n_tokens=pa.nulls(none, pa.int64()),
                     known=pa.nulls(none, pa.int64()),
                     base=pa.nulls(none, pa.float64()),
                     rare=pa.nulls(none, pa.list_(pa.int64())),
+                    slice=pa.array(slices, pa.int64()),
+                    rows=pa.array([r.astype(np.uint32).tobytes() for r, _ in found], pa.binary()),
+                    sums=pa.array([(s / np.log(10)).astype(np.float32).tobytes() for _, s in found], pa.binary()),
                 )
 
         for batch in batches:
@@ -408,7 +436,8 @@ def scores(
                 rare = c["n_tokens"].to_numpy() - c["known"].to_numpy()
                 yield _batch(
                     row=c["row"], value=pa.array(-rare * rest), doc_id=c["doc_id"], n_tokens=c["n_tokens"],
-                    known=c["known"], base=c["base"], rare=c["rare"],
+                    known=c["known"], base=c["base"], rare=c["rare"], slice=pa.nulls(own.num_rows, pa.int64()),
+                    rows=pa.nulls(own.num_rows, pa.binary()), sums=pa.nulls(own.num_rows, pa.binary()),
                 )
             events = batch.select([0, 1, 2]).filter(batch.column(2).is_valid())
             for shard, row, body in zip(*(events.column(i) for i in range(3)), strict=True):
@@ -421,14 +450,17 @@ def scores(
     doc_kind = f"doc_id {id_kind}, n_tokens long, known long, base double, rare array<bigint>"
     events = rows.mapInArrow(read, f"shard int, row long, events binary, {doc_kind}")
     sharded = events.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard")
-    scored = frames.store(sharded.mapInArrow(score, f"row long, value double, {doc_kind}"), "scored")
+    scored = frames.store(sharded.mapInArrow(score, f"row long, value double, {doc_kind}, slice long, rows binary, sums binary"), "scored")
 
-    own = scored.where(F.col("n_tokens").isNotNull())
+    own = scored.where(F.col("row").isNotNull()).drop("slice", "rows", "sums")
+    # Shards return their sums by slices of documents, so there are never more rows than slices times shards.
+    packs = scored.where(F.col("slice").isNotNull()).select("slice", "rows", "sums")
+    summed = packs.groupBy("slice").applyInArrow(_slice_sums, "row long, part double")
     # Words outside the head: their counts come by a join, both scores add the log of the count.
     met = own.select("row", F.explode("rare").alias("hash")).join(counts, "hash")
     nothing = F.lit(0.0)
     parts = met.select("row", F.lit(1).alias("more"), F.log10(F.col("n") + 1).alias("share"), nothing.alias("part")).union(
-        scored.where(F.col("n_tokens").isNull()).select("row", F.lit(0), nothing, "value")
+        summed.select("row", F.lit(0), nothing, "part")
     )
     sums = parts.groupBy("row").agg(F.sum("more").alias("more"), F.sum("share").alias("share"), F.sum("part").alias("part"))
     joined = own.drop("rare").join(sums.withColumnRenamed("row", "own"), F.col("row") == F.col("own"), "left")
