@@ -211,29 +211,44 @@ def catalog_tables(spark, folder):
     return tables.listing(spark, database).drop("comment")
 
 
-def _processed(spark, folder) -> Star:
-    """Raw tables cleaned, loaded and read back: what the queries of a user run on."""
-    return files.load(batch.clean_star(_raw(spark, folder)), fresh_path(spark, "layer"))
+def load_layer(spark, folder) -> str:
+    """Raw tables cleaned, loaded and published below the path returned."""
+    path = fresh_path(spark, "layer")
+    files.load(batch.clean_star(_raw(spark, folder)), path)
+    return path
+
+
+#: Queries of a user over a published layer; the registered ones load it first.
+ON_LAYER: dict[str, Callable[[Star], DataFrame]] = {
+    "layer_category_rank": lambda star: facts.category_rank(star, limit=None),
+    "layer_daily_sales": lambda star: facts.daily_sales(star, START, END),
+    "layer_top_products": lambda star: dashboard.top_products(star, START, END, 50),
+    "layer_store_sales": lambda star: dashboard.store_sales(star, START, END),
+}
+
+
+def _on_fresh_layer(name: str, spark: SparkSession, folder: str) -> DataFrame:
+    return ON_LAYER[name](files.read_published(spark, load_layer(spark, folder)))
 
 
 @_query
 def layer_category_rank(spark, folder):
-    return facts.category_rank(_processed(spark, folder), limit=None)
+    return _on_fresh_layer("layer_category_rank", spark, folder)
 
 
 @_query
 def layer_daily_sales(spark, folder):
-    return facts.daily_sales(_processed(spark, folder), START, END)
+    return _on_fresh_layer("layer_daily_sales", spark, folder)
 
 
 @_query
 def layer_top_products(spark, folder):
-    return dashboard.top_products(_processed(spark, folder), START, END, 50)
+    return _on_fresh_layer("layer_top_products", spark, folder)
 
 
 @_query
 def layer_store_sales(spark, folder):
-    return dashboard.store_sales(_processed(spark, folder), START, END)
+    return _on_fresh_layer("layer_store_sales", spark, folder)
 
 
 @_query

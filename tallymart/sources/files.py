@@ -6,7 +6,7 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,7 +97,7 @@ def typed(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
-def write_sales(sales: DataFrame, path: str, clustered: bool = True) -> None:
+def write_sales(sales: DataFrame, path: str, clustered: bool = True, watch: Observation | None = None) -> None:
     """Overwrite the fact table, one folder per month for date pruning.
 
     The rebalance hint gathers each month before writing, so files are few, and lets AQE cut a
@@ -105,8 +105,13 @@ def write_sales(sales: DataFrame, path: str, clustered: bool = True) -> None:
     that the bounds of row groups tell most of them apart, and bloom filters tell which hold a store or
     an order: a lookup by any of the three skips row groups. The sort takes the place of the one by
     month that the write needs anyway.
+
+    ``watch`` observes the null cells of required columns. It stands behind the last shuffle, where
+    only finished tasks of the writing stage report, and before the sort, which the write must see.
     """
     placed = sales.withColumn("month", F.date_format("date", "yyyy-MM")).hint("rebalance", F.col("month"))
+    if watch is not None:
+        placed = placed.observe(watch, *verify.null_counts("sales"))
     if not clustered:
         placed.write.mode("overwrite").partitionBy("month").parquet(path)
         return
@@ -117,11 +122,11 @@ def write_sales(sales: DataFrame, path: str, clustered: bool = True) -> None:
     writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
-def write_processed(star: Star, folder: str) -> None:
-    """Full refresh of the processed layer, dimensions first."""
+def write_processed(star: Star, folder: str, watch: Observation | None = None) -> None:
+    """Full refresh of the processed layer, dimensions first; ``watch`` as for ``write_sales``."""
     star.stores.write.mode("overwrite").parquet(f"{folder}/stores")
     star.products.write.mode("overwrite").parquet(f"{folder}/products")
-    write_sales(star.sales, f"{folder}/sales")
+    write_sales(star.sales, f"{folder}/sales", watch=watch)
 
 
 def read_processed(spark: SparkSession, folder: str) -> Star:
@@ -140,9 +145,11 @@ def read_processed(spark: SparkSession, folder: str) -> Star:
 def load(star: Star, folder: str) -> Star:
     """Write the typed tables as a new version, check it, and publish it last.
 
-    A broken rule raises and leaves the version unpublished, so readers keep the one before.
+    A broken rule raises and leaves the version unpublished, so readers keep the one before. Null
+    cells of the fact are counted by its write; it is read again for its references only.
     """
     spark = star.sales.sparkSession
+    watch = Observation()
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     place = f"{folder}/versions/{version}"
     write_processed(
@@ -152,9 +159,10 @@ def load(star: Star, folder: str) -> Star:
             products=typed(star.products, schema.PRODUCTS),
         ),
         place,
+        watch,
     )
     loaded = read_processed(spark, place)
-    verify.require_valid(loaded)
+    verify.require_valid(loaded, watch.get)
     # Publishing adds one row, which the commit of the append makes visible at once.
     spark.createDataFrame([(version,)], _PUBLISHED).coalesce(1).write.mode("append").parquet(
         f"{folder}/published"

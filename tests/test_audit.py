@@ -133,4 +133,9 @@ def test_the_fact_is_read_twice(spark, raw, star, tmp_path):
     assert _reads(batch.audit_report(stored)) == 2
     typed = str(tmp_path / "sales")
     star.sales.write.parquet(typed)
-    assert _reads(verify.constraints(Star(spark.read.parquet(typed), star.stores, star.products))) == 2
+    loaded = Star(spark.read.parquet(typed), star.stores, star.products)
+    assert _reads(verify.constraints(loaded)) == 2
+    counted = dict.fromkeys(verify.REQUIRED["sales"], 0) | {"qty": 3}
+    known = verify.constraints(loaded, counted)
+    assert _reads(known) == 1
+    assert [tuple(r) for r in known.where("violations > 0").collect()] == [("sales", "not_null", "qty", 3)]

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymart import schema
 from tallymart.operators import clean, verify
 from tallymart.plans import batch
 from tallymart.sources import files, sample
+from tallymart.sources.star import Star
 from tests.conftest import CLEAN, PRODUCTS, STORES, values_of
 
 FUNNEL = {
@@ -110,10 +112,6 @@ def test_load_and_read_back(spark, raw, tmp_path):
 
 
 def test_load_refuses_broken_references(spark, star, tmp_path):
-    import pytest
-
-    from tallymart.sources.star import Star
-
     folder = str(tmp_path / "layer")
     files.load(star, folder)
     orphaned = Star(star.sales, star.stores.where("store_id <> 'S05'"), star.products)
@@ -125,6 +123,17 @@ def test_load_refuses_broken_references(spark, star, tmp_path):
     assert files.read_published(spark, folder).sales.count() == 1
 
 
+def test_load_refuses_null_cells_that_its_write_counts(spark, star, tmp_path):
+    folder = str(tmp_path / "layer")
+    lost = Star(star.sales.withColumn("qty", F.expr("if(order_id = 'O1', null, qty)")), star.stores, star.products)
+    nulls = lost.sales.where("qty is null").count()
+    assert nulls
+    with pytest.raises(ValueError, match=f"sales.qty not_null: {nulls}$"):
+        files.load(lost, folder)
+    empty = files.load(Star(star.sales.where("false"), star.stores, star.products), folder)
+    assert empty.sales.count() == 0 and files.read_published(spark, folder).stores.count() == 5
+
+
 def test_csv_by_name(spark, tmp_path):
     path = tmp_path / "stores.csv"
     path.write_text("extra,district,store_id\n1,North,S1\n2,NA,S2\n")
