@@ -276,25 +276,30 @@ def packed(shard: np.ndarray, columns: list[np.ndarray], flagged: np.ndarray) ->
     return shard[at[:-1]], bodies
 
 
-def shard_scores(v: Vocabulary, bodies: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows of documents and the sums of their tokens' natural logs, for each slice of a shard."""
+def shard_scores(v: Vocabulary, bodies: list[bytes | pa.Buffer]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of documents and the sums of their tokens' natural logs, for each slice of a shard; empties ``bodies``."""
     read = [np.frombuffer(body, dtype=np.uint32) for body in bodies]
     ends = [1 + 3 * int(r[0]) for r in read]
-    one, two, word = (
-        np.concatenate([r[1 + c * int(r[0]) : 1 + (c + 1) * int(r[0])] for r in read]).astype(np.int64) for c in range(3)
-    )
     docs = [r[e:].reshape(2, -1) for r, e in zip(read, ends, strict=True)]
     ids, sizes = np.concatenate(docs, axis=1).astype(np.int64)
+    cuts = np.cumsum([d.shape[1] for d in docs])[:-1]
+    one, two, word = (np.concatenate([r[1 + c * int(r[0]) : 1 + (c + 1) * int(r[0])] for r in read]) for c in range(3))
+    # What is as long as the shard has tokens goes before the weights, the largest part, are made.
+    bodies.clear()
+    del docs, read
     key = text.mix(_pair(one, two) + word.astype(_U) * END)
     order = np.argsort(key)
     runs = text.runs(key[order])
     del key
     at = order[runs[:-1]]
     n = np.add.reduceat(np.repeat(ids & 1, sizes)[order], runs[:-1])
+    events = [c[at].astype(np.int64) for c in (one, two, word)]
+    del one, two, word, at
+    order = order.astype(np.int32 if len(order) < 1 << 31 else np.int64)
+    found = Shard(v, *events, n).logs
     logs = np.empty(len(order))
-    logs[order] = np.repeat(Shard(v, one[at], two[at], word[at], n).logs, np.diff(runs))
+    logs[order] = np.repeat(found, np.diff(runs))
     sums = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-    cuts = np.cumsum([d.shape[1] for d in docs])[:-1]
     return list(zip(np.split(ids >> 1, cuts), np.split(sums, cuts), strict=True))
 
 
@@ -406,14 +411,14 @@ def scores(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as they come; each shard's events are trained on and scored once all are there."""
         v = sent.value[0]
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, pa.Buffer]] = []
         now, id_type = -1, pa.null()
 
         def finished() -> Iterator[pa.RecordBatch]:
             if held:
-                found = shard_scores(v, [body for _, body in held])
-                slices = [row for row, _ in held]
+                slices, bodies = [row for row, _ in held], [body for _, body in held]
                 held.clear()
+                found = shard_scores(v, bodies)
                 none = len(found)
                 yield _batch(
                     row=pa.nulls(none, pa.int64()),
@@ -430,7 +435,8 @@ def scores(
 
         for batch in batches:
             id_type = batch.column(3).type
-            own = batch.filter(batch.column(2).is_null())
+            shards, rows, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            own = batch.drop_columns(["events"]).filter(bodies.is_null())
             if own.num_rows:
                 c = dict(zip(own.schema.names, own.columns, strict=True))
                 rare = c["n_tokens"].to_numpy() - c["known"].to_numpy()
@@ -439,12 +445,17 @@ def scores(
                     known=c["known"], base=c["base"], rare=c["rare"], slice=pa.nulls(own.num_rows, pa.int64()),
                     rows=pa.nulls(own.num_rows, pa.binary()), sums=pa.nulls(own.num_rows, pa.binary()),
                 )
-            events = batch.select([0, 1, 2]).filter(batch.column(2).is_valid())
-            for shard, row, body in zip(*(events.column(i) for i in range(3)), strict=True):
-                if shard.as_py() != now:
+            # Bodies are views of the batch, which goes with the last of them.
+            held_here = [(int(shards[i]), int(rows[i]), bodies[int(i)].as_buffer()) for i in np.flatnonzero(bodies.is_valid())]
+            del batch, own, shards, rows, bodies
+            held_here.reverse()
+            while held_here:
+                shard, row, body = held_here.pop()
+                if shard != now:
                     yield from finished()
-                    now = shard.as_py()
-                held.append((row.as_py(), body.as_buffer().to_pybytes()))
+                    now = shard
+                held.append((row, body))
+                del body
         yield from finished()
 
     doc_kind = f"doc_id {id_kind}, n_tokens long, known long, base double, rare array<bigint>"

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,17 @@ def test_odd_rows(odd, clashing, nothing):
     untrained = maxent.score_corpus(odd, F.lit(False)).collect()
     check_base(rows, [], untrained)
     assert all(math.isfinite(r["score"]) for r in untrained)
+
+
+def test_a_shard_lets_go_of_its_events(monkeypatch):
+    """Bodies are given up before the weights are made, and views of a batch do as well as bytes."""
+    draw = np.random.default_rng(5)
+    hashes = np.sort(draw.integers(1, 1 << 62, 40).astype(np.uint64))
+    v = maxent.Vocabulary(hashes, np.arange(40, 0, -1), 820, 40)
+    columns = [draw.integers(0, 40, 300) for _ in range(3)]
+    _, bodies = maxent.packed(np.zeros(300, dtype=np.int64), columns, np.repeat(np.arange(30), 10))
+    left, made = [], maxent.Shard.__init__
+    given = [pa.py_buffer(b) for b in bodies]
+    monkeypatch.setattr(maxent.Shard, "__init__", lambda self, *a: (left.append(len(given)), made(self, *a))[1])
+    (rows, sums), = maxent.shard_scores(v, given)
+    assert left == [0] and rows.tolist() == np.repeat(np.arange(15), 2).tolist() and (sums < 0).all()
