@@ -6,6 +6,7 @@ from tallymart import session
 
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
+
 def test_tasks_read_bounded_partitions_and_smaller_ones_stay(spark):
     before = spark.conf.get(ADVISORY)
     try:
