@@ -1,25 +1,25 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
 
-Items and documents are sequences of words (letters and digits, lower-cased). A CGK walk reads a
-window of words: at step j it outputs the word under the cursor and moves on if a random bit of
-(word, j) is set. Two windows at small edit distance then have embeddings at small Hamming distance.
-A repetition hashes sampled positions of its embedding; windows whose samples agree are candidates.
-
-Items are grouped by length: class c has m = 4 * 2**c up to 2m - 1 words. Of an item of n words, d edits
-leave a run of (n - d) / (d + 1) words or more untouched, rounded up: for up to 20 % of n that is at least 2
-words in class 0, 3 in class 1 and 4 in all others. Windows have that many words and one starts at every word
-of items and documents, so each passage shares an untouched window with its item. Equal windows take the
-same walk, so every passage is a candidate whatever the walk. Around each hit the words of
-the document are kept, and the least edit distance of the item to any passage there is computed.
-A passage counts if that is at most ``max_edits`` times the item's words.
-
-Items of one to three words admit no edit: their one window is the whole item, and a passage equals it.
-
-An edit spoils no more windows than a window has words, so a passage keeps all but so many of its item's
-distinct keys, say n of d. Then it has one of any d - n + 1 of them, and documents meet an item by those that
-are rarest among the documents: common word pairs are no keys of the join. Who met must share n keys. Before that, windows pass filters of fixed size built
-from all items, which let every passage through: the window's key must be that of an item, and enough
-neighbouring words around it must be neighbours in some item.
+Items and documents are sequences of words (letters and digits, lower-cased). A CGK walk reads words
+from a place on: at step j it outputs the word under the cursor and moves on if a random bit of
+(word, j) is set. Two passages at small edit distance then have embeddings at small Hamming distance:
+after an edit both walks soon read the same words again. A repetition is a walk of its own and hashes a
+sample of the positions of its embedding; places whose samples agree are candidates.
+
+Items are grouped by length: class c has m = 4 * 2**c up to 2m - 1 words. Windows start at every word of
+items and documents, and a walk of two steps a word covers about a window: half the shortest item of the
+class, and less in long ones, since agreement falls with every edit a walk meets. With 20 % of the words
+edited, at least ``AGREEMENT ** SAMPLED`` of the walks give a passage and its item a common key, whatever the
+kind and place of the edits (measured: see the tests); ``repetitions`` says how many walks that takes. Around
+each hit the words of the document are kept, and the least edit distance of the item to any passage there is
+computed. A passage counts if that is at most ``max_edits`` times the item's words.
+
+Items of one to three words admit no edit: their one walk reads the whole item, and a passage equals it.
+
+Documents meet items by common keys. Two bounds, which let every passage through, keep others out. Windows
+pass filters of fixed size built from all items: the window's key must be that of an item, and enough
+neighbouring words around it must be neighbours in some item. And an edit breaks two pairs of neighbours at
+most, so a stretch of a document must hold all but so many of the different pairs of the item it met.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,16 +38,20 @@ from tallymart.functions.sizes import broadcast_if_small
 from tallymart.llm import frames, text
 
 MAX_EDITS = 0.2
-TARGET_RECALL = 0.97
-AGREEMENT = 1.0  # of sampled positions in the untouched window that every passage has
-SAMPLED = 6
-WALK = 3  # steps for each word of a window
+TARGET_RECALL = 0.9999
+AGREEMENT = 0.8  # of a sampled position, in the best window of the passages hit least at 20 % edits
+SAMPLED = 4  # positions of an embedding in a key
+WALK = 2  # steps for each word of a window
+WINDOWS = (2, 4, 8)  # words of the windows by class; longer classes have the last
 FILTER_BITS = 22
 CLASSES = 24
 SEED = 0xC6A4A7935BD1E995
 
 _U = np.uint64
 _MASK = _U((1 << FILTER_BITS) - 1)
+_SHIFTS = 0, 32 - FILTER_BITS, 32  # the first two read a key's lower half alone
+_SPREAD = _U(0x9E3779B97F4A7C15)
+_BLOCK = 1 << 15  # places walked at once: their arrays fit a core's cache
 
 # Everything but ASCII letters, digits and the bytes of longer characters ends a word.
 BREAKS = np.ones(256, dtype=bool)
@@ -55,9 +59,7 @@ BREAKS[48:58] = BREAKS[65:91] = BREAKS[97:123] = BREAKS[128:] = False
 
 
 def repetitions(recall: float = TARGET_RECALL, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
-    """Walks after which a window of this agreement is hit with this probability."""
-    if agreement >= 1:
-        return 1
+    """Walks after which a passage of this agreement is hit with this probability."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled)))
 
 
@@ -85,9 +87,14 @@ def numbers(first: str | bytes, second: str | bytes) -> tuple[np.ndarray, np.nda
     return number[: w.first[1]], number[w.first[1] :]
 
 
+def kind(klass: int) -> int:
+    """Classes of one kind have the same walks."""
+    return klass if klass > CLASSES else min(klass, len(WINDOWS) - 1)
+
+
 def shape(klass: int) -> tuple[int, int]:
     """Words and stride of the windows of a length class."""
-    return klass - CLASSES if klass > CLASSES else min(klass, 2) + 2, 1
+    return klass - CLASSES if klass > CLASSES else WINDOWS[kind(klass)], 1
 
 
 def class_of(n_words: int) -> int:
@@ -95,60 +102,96 @@ def class_of(n_words: int) -> int:
     return n_words.bit_length() - 3 if n_words >= 4 else CLASSES + n_words if n_words else -1
 
 
-def sampled(klass: int) -> int:
-    """Steps a repetition samples: two for each word of the window at least."""
-    return max(SAMPLED, 2 * shape(klass)[0])
-
-
 class Walks:
-    """The random choices: steps to sample by class and repetition, moves by repetition.
+    """The random choices: steps to sample by kind of class and repetition, moves by repetition.
 
     Step j of repetition r moves on by bit 32 + j % 32 of the word's hash times a constant of (r, j // 32).
-    One step is sampled from each of ``sampled`` equal parts of the walk.
+    One step is sampled from each of ``SAMPLED`` equal parts of the walk. Items that take no edit have one
+    walk, which reads their words in order. A zero ends a row: its product has no bit that moves on, so
+    a walk beyond a row reads zeros.
     """
 
     def __init__(self, klasses: list[int], reps: int):
         self.klasses, self.reps = klasses, reps
-        self.steps = {}
-        for klass in klasses:
-            length = WALK * shape(klass)[0]
-            parts = min(length, sampled(klass))
-            edges = [length * k // parts for k in range(parts + 1)]
-            draw = np.random.default_rng((SEED, klass))
-            self.steps[klass] = [[int(draw.integers(a, max(a + 1, b))) for a, b in zip(edges, edges[1:])] for _ in range(reps)]
+        self.steps: dict[int, list[list[int]]] = {}
+        for k in sorted({kind(klass) for klass in klasses}):
+            width = shape(k)[0]
+            if k > CLASSES:
+                self.steps[k] = [list(range(width))]
+                continue
+            edges = [WALK * width * part // SAMPLED for part in range(SAMPLED + 1)]
+            draw = np.random.default_rng((SEED, k))
+            self.steps[k] = [[int(draw.integers(a, b)) for a, b in zip(edges, edges[1:])] for _ in range(reps)]
         draw = np.random.default_rng((SEED, 1 << 20))
-        longest = max((WALK * shape(k)[0] for k in klasses), default=0)
+        longest = WALK * max(WINDOWS)
         self.factors = draw.integers(1 << 62, size=(reps, longest // 32 + 1), dtype=np.int64).view(_U) * _U(2) + _U(1)
 
     def keys(self, words: np.ndarray, starts: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, keys of its windows) for each repetition; windows lie within ``words``."""
-        longest = max((WALK * shape(k)[0] for k in self.klasses), default=0)
-        padded = np.concatenate((words, np.zeros(longest + 1, dtype=_U)))
-        for rep in range(self.reps):
-            moves: list[np.ndarray] = []
-            for klass in self.klasses:
-                begin = starts[klass]
-                if len(begin):
-                    yield klass, self._walk(padded, begin, klass, rep, moves)
-
-    def _walk(self, words: np.ndarray, begin: np.ndarray, klass: int, rep: int, moves: list[np.ndarray]) -> np.ndarray:
-        steps, width = self.steps[klass][rep], shape(klass)[0]
-        at, move = begin.astype(np.int64), np.empty(len(begin), dtype=np.int64)
-        key = np.full(len(begin), _U((klass << 16) | rep), dtype=_U)
+        """(class, keys of its windows) for each repetition; ``words`` are one row."""
+        for klass in self.klasses:
+            for rep in range(len(self.steps[kind(klass)])):
+                if len(starts[klass]):
+                    yield klass, self.full(words, starts[klass], kind(klass), rep)
+
+    def full(self, words: np.ndarray, at: np.ndarray, k: int, rep: int) -> np.ndarray:
+        """Keys of the walks from these places: the sum of sampled symbols times powers of a constant."""
+        steps = self.steps[k][rep]
+        padded = np.concatenate((words, np.zeros(steps[-1] + 1, dtype=_U)))
+        at, key = at.astype(np.int64), np.full(len(at), _seed(k, rep), dtype=_U)
         for step in range(steps[-1] + 1):
-            block, bit = divmod(step, 32)
-            if block == len(moves):
-                moves.append((words * self.factors[rep, block]).view(np.int64))
+            word = padded[at]
             if step in steps:
-                symbol = words[at]
-                symbol[at >= begin + width] = 0  # past its end the embedding is padded
-                key *= _U(0x9E3779B97F4A7C15)
-                key += symbol
-            np.take(moves[block], at, out=move, mode="clip")
-            np.right_shift(move, 32 + bit, out=move)
-            np.bitwise_and(move, 1, out=move)
-            np.add(at, move, out=at)
-        return text.mix(key)
+                key += word * _U(pow(int(_SPREAD), steps.index(step), 1 << 64))
+            if k > CLASSES:
+                at += 1
+            else:
+                at += ((word * self.factors[rep, step // 32]) >> _U(32 + step % 32) & _U(1)).view(np.int64)
+        return key
+
+    def low(self, words: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(kind, repetition, first place, the lower 32 bits of the keys from there on), block by block."""
+        longest = max(s[-1] for steps in self.steps.values() for s in steps)
+        padded = np.concatenate((words, np.zeros(longest, dtype=_U)))
+        symbols = padded.astype(np.uint32)
+        for a in range(0, len(words), _BLOCK):
+            n = min(_BLOCK, len(words) - a)
+            part, symbol = padded[a : a + n + longest], symbols[a : a + n + longest]
+            for rep in range(self.reps):
+                moves = [(part * factor >> _U(32)).astype(np.uint32) for factor in self.factors[rep]]
+                for k, steps in self.steps.items():
+                    if rep < len(steps):
+                        yield k, rep, a, self._low(symbol, moves, n, steps[rep], k, rep)
+
+    @staticmethod
+    def _low(symbol: np.ndarray, moves: list[np.ndarray], n: int, steps: list[int], k: int, rep: int) -> np.ndarray:
+        """From the last sampled step back, for all places at once.
+
+        What a walk reads from a place on is what it reads from there or from the next place, as the bit
+        of the word says, so each step selects between neighbours.
+        """
+        last = steps[-1]
+        key = np.zeros(n + last, dtype=np.uint32)
+        moved, other = np.empty_like(key), np.empty_like(key)
+        for step in range(last, -1, -1):
+            size = n + step
+            if step < last and k > CLASSES:
+                key = key[1:]
+            elif step < last:
+                mask, differ = moved[:size], other[:size]
+                np.left_shift(moves[step // 32][:size], np.uint32(31 - step % 32), out=mask)
+                np.right_shift(mask.view(np.int32), 31, out=mask.view(np.int32))  # all ones where the walk moves on
+                np.bitwise_xor(key[1 : size + 1], key[:size], out=differ)
+                np.bitwise_and(differ, mask, out=differ)
+                key = key[:size]
+                np.bitwise_xor(key, differ, out=key)
+            if step in steps:
+                key *= np.uint32(_SPREAD & _U(0xFFFFFFFF))
+                key += symbol[:size]
+        return key + np.uint32(_seed(k, rep) & _U(0xFFFFFFFF))
+
+
+def _seed(k: int, rep: int) -> np.uint64:
+    return text.mix(np.array([(k << 16) | rep], dtype=_U))[0]
 
 
 def _starts(first: np.ndarray, width: int, stride: int) -> np.ndarray:
@@ -160,7 +203,8 @@ def _starts(first: np.ndarray, width: int, stride: int) -> np.ndarray:
 
 
 def item_keys(items: DataFrame, reps: int, max_edits: float = MAX_EDITS) -> DataFrame:
-    """Rows (item, klass, need, keys): the keys of an item's windows, and how many of them a passage has at least."""
+    """Rows (item, klass, need, keys, pairs): the keys of an item's windows, its pairs of neighbours, and how many
+    of these a passage has at least."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks: dict[int, Walks] = {}
@@ -175,35 +219,28 @@ def item_keys(items: DataFrame, reps: int, max_edits: float = MAX_EDITS) -> Data
                     if klass < 0:
                         continue
                     walk = walks.setdefault(klass, Walks([klass], reps))
-                    width = shape(klass)[0]
-                    starts = np.arange(len(words) - width + 1)
+                    starts = _starts(np.array([0, len(words)]), *shape(klass))
                     found = np.unique(np.concatenate([key for _, key in walk.keys(words, {klass: starts})]))
-                    spoiled = math.floor(max_edits * len(words) + 1e-9) * width * reps
-                    out.append((int(ids[first_row + row]), klass, max(1, len(found) - spoiled), found.view(np.int64)))
+                    pairs = np.unique(pairs_of(words))
+                    broken = 2 * math.floor(max_edits * len(words) + 1e-9)
+                    need = max(0, len(pairs) - broken)
+                    out.append((int(ids[first_row + row]), klass, need, found.view(np.int64), pairs.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([o[i] for o in out], kind) for i, kind in enumerate(_ITEM_KEYS.values())], list(_ITEM_KEYS)
                 )
 
-    return items.select("item", "text").mapInArrow(keys, "item long, klass int, need int, keys array<bigint>")
+    return items.select("item", "text").mapInArrow(keys, "item long, klass int, need int, keys array<bigint>, pairs array<bigint>")
 
 
 def candidates(found: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows (region, item) that share as many keys as a passage and its item do at least.
-
-    They meet by the rarest keys of the item of which a passage must have one; equal counts go by key.
-    """
-    seen = found.select("region", F.explode("keys").alias("key"))
-    often = seen.groupBy("key").agg(F.count("*").alias("n")).withColumnRenamed("key", "seen_key")
-    own = keys.select("item", (F.size("keys") - F.col("need") + 1).alias("most"), F.explode("keys").alias("key"))
-    ranked = own.join(often, F.col("key") == F.col("seen_key"), "left").withColumn(
-        "place", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "key"))
-    )
-    chosen = frames.store(ranked.where("place <= most and n is not null").select("key", "item"), "rare-keys")
-    met = seen.join(broadcast_if_small(chosen), "key").select("region", "item").distinct()
-    both = met.join(broadcast_if_small(keys.select("item", "need", F.col("keys").alias("item_keys"))), "item").join(
-        found.select("region", "keys"), "region"
+    """Rows (region, item) with a common key and as many common pairs of neighbours as a passage has at least."""
+    seen = found.select("region", "klass", F.explode("keys").alias("key"))
+    own = frames.store(keys.select("item", "klass", F.explode("keys").alias("key")), "windows")
+    met = seen.join(broadcast_if_small(own), ["klass", "key"]).select("region", "item").distinct()
+    both = met.join(keys.select("item", "need", F.col("pairs").alias("item_pairs")), "item").join(
+        found.select("region", "pairs"), "region"
     )
-    return both.where(F.size(F.array_intersect("keys", "item_keys")) >= F.col("need")).select("region", "item")
+    return both.where(F.size(F.array_intersect("pairs", "item_pairs")) >= F.col("need")).select("region", "item")
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
@@ -225,14 +262,13 @@ def item_pairs(items: DataFrame) -> DataFrame:
 
 
 def key_filter(keys: DataFrame, pairs: DataFrame) -> np.ndarray:
-    """Three tables of 2**FILTER_BITS flags: two for window keys, one for pairs of words.
+    """Four tables of 2**FILTER_BITS flags: three for window keys, by ``_SHIFTS``, one for pairs of words.
 
     Their size does not depend on the items; with more items more windows pass.
     """
-    low = F.col("key").bitwiseAND(int(_MASK))
-    high = F.shiftrightunsigned("key", FILTER_BITS).bitwiseAND(int(_MASK))
-    table = np.zeros((3, 1 << FILTER_BITS), dtype=bool)
-    for i, (frame, cell) in enumerate(((keys, low), (keys, high), (pairs, low))):
+    table = np.zeros((4, 1 << FILTER_BITS), dtype=bool)
+    for i, (frame, shift) in enumerate([*((keys, shift) for shift in _SHIFTS), (pairs, 0)]):
+        cell = F.shiftrightunsigned("key", shift).bitwiseAND(int(_MASK))
         found = frame.select(cell.alias("cell")).distinct().toArrow()["cell"].to_numpy()
         table[i, found] = True
     return table
@@ -240,19 +276,21 @@ def key_filter(keys: DataFrame, pairs: DataFrame) -> np.ndarray:
 
 _REGION = T.StructType([
     T.StructField("region", T.LongType()),
+    T.StructField("klass", T.IntegerType()),
     T.StructField("doc", T.LongType()),
     T.StructField("start", T.LongType()),
     T.StructField("words", T.BinaryType()),
     T.StructField("keys", T.ArrayType(T.LongType())),
+    T.StructField("pairs", T.ArrayType(T.LongType())),
 ])
 
 
 def regions(docs: DataFrame, table: np.ndarray, klasses: list[int], reps: int) -> DataFrame:
-    """Stretches of documents around windows that pass the filter, with the keys seen in them."""
+    """Stretches of documents around windows that pass the filter, with the keys and the items' pairs of neighbours seen in them."""
     sent = frames.ready(docs).sparkContext.broadcast(np.packbits(table, axis=1))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high, pair = (np.unpackbits(t).view(bool) for t in sent.value)
+        low, middle, high, pair = (np.unpackbits(t).view(bool) for t in sent.value)
         walks = Walks(klasses, reps)
         base, made = (TaskContext.get().partitionId() << 33), 0
         for batch in batches:
@@ -260,28 +298,42 @@ def regions(docs: DataFrame, table: np.ndarray, klasses: list[int], reps: int) -
             for first_row, _, data, at in text.slices(batch.column(1)):
                 w = cut(data, at)
                 hashes, first = w.hashes(), w.first
-                starts = {k: _starts(first, *shape(k)) for k in klasses}
-                hits: dict[int, list[tuple]] = {k: [] for k in klasses}
-                for klass, key in walks.keys(hashes, starts):
-                    maybe = np.flatnonzero(low[(key & _MASK).view(np.int64)])
-                    maybe = maybe[high[((key[maybe] >> _U(FILTER_BITS)) & _MASK).view(np.int64)]]
+                rows = len(first) - 1
+                ended = np.insert(hashes, first[1:], _U(0))  # a zero ends each row
+                left = np.insert(np.repeat(first[1:], np.diff(first)) - np.arange(len(hashes)), first[1:], 0)
+                hits: dict[int, list[tuple]] = {k: [] for k in walks.steps}
+                for k, rep, begin, key in walks.low(ended):
+                    maybe = np.flatnonzero(low.take(key & np.uint32(_MASK), mode="clip"))
+                    maybe = maybe[middle[key[maybe] >> np.uint32(_SHIFTS[1])]] + begin
+                    maybe = maybe[left[maybe] >= shape(k)[0]]
+                    if not len(maybe):
+                        continue
+                    keys = walks.full(ended, maybe, k, rep)
+                    seen = high[((keys >> _U(_SHIFTS[2])) & _MASK).view(np.int64)]
+                    maybe, keys = maybe[seen], keys[seen]
                     if len(maybe):
-                        hits[klass].append((starts[klass][maybe], key[maybe]))
-                known = pair[(pairs_of(hashes) & _MASK).view(np.int64)] if any(hits.values()) else None
+                        place = maybe - np.searchsorted(first[1:] + np.arange(rows), maybe)
+                        hits[k].append((place, keys))
+                if not any(hits.values()):
+                    continue
+                pairs = pairs_of(hashes)
+                known = pair[(pairs & _MASK).view(np.int64)]
                 out: list[tuple] = []
-                for klass, found in hits.items():
-                    if found:
+                for klass in klasses:
+                    if found := hits[kind(klass)]:
                         where, keys = (np.concatenate([f[i] for f in found]) for i in (0, 1))
                         likely = _likely(where, klass, known)
                         where, keys = where[likely], keys[likely]
-                        out += _merged(where, keys, klass, w)
+                        out += [(klass, *o) for o in _merged(where, keys, klass, w, pairs, known)]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(range(base + made, base + made + len(out)), pa.int64()),
-                         pa.array([int(ids[first_row + o[0]]) for o in out], pa.int64()),
-                         pa.array([int(o[1]) for o in out], pa.int64()),
-                         pa.array([o[2].tobytes() for o in out], pa.binary()),
-                         pa.array([o[3].view(np.int64).tolist() for o in out], pa.list_(pa.int64()))],
+                         pa.array([o[0] for o in out], pa.int32()),
+                         pa.array([int(ids[first_row + o[1]]) for o in out], pa.int64()),
+                         pa.array([int(o[2]) for o in out], pa.int64()),
+                         pa.array([o[3].tobytes() for o in out], pa.binary()),
+                         pa.array([o[4].view(np.int64) for o in out], pa.list_(pa.int64())),
+                         pa.array([o[5].view(np.int64) for o in out], pa.list_(pa.int64()))],
                         names=_REGION.names,
                     )
                     made += len(out)
@@ -315,8 +367,10 @@ def _reach(klass: int) -> int:
     return math.ceil((4 << klass) * 2 * (1 + MAX_EDITS))
 
 
-def _merged(where: np.ndarray, keys: np.ndarray, klass: int, w: text.Words) -> Iterator[tuple]:
-    """(row, first word in it, their text, keys) for hits of one class, overlapping surroundings as one.
+def _merged(
+    where: np.ndarray, keys: np.ndarray, klass: int, w: text.Words, pairs: np.ndarray, known: np.ndarray
+) -> Iterator[tuple]:
+    """(row, first word in it, their text, keys, known pairs) for hits of one class, overlapping surroundings as one.
 
     An item of the class has less than 2m words, so it lies within 2.4 m words around a window of it
     even with the edits allowed. A stretch ends after 16 such lengths, and the next begins anew.
@@ -335,7 +389,8 @@ def _merged(where: np.ndarray, keys: np.ndarray, klass: int, w: text.Words) -> I
         b = min(first[row + 1], where[j - 1] + width + reach)
         # All keys in the stretch: a passage has its windows in one stretch at least.
         inside = slice(np.searchsorted(where, a), np.searchsorted(where, b - width, side="right"))
-        yield row, a - first[row], w.data[w.start[a] : w.end[b - 1]], np.unique(keys[inside])
+        inner = np.unique(pairs[a : b - 1][known[a : b - 1]])
+        yield row, a - first[row], w.data[w.start[a] : w.end[b - 1]], np.unique(keys[inside]), inner
         i = j
 
 
@@ -446,7 +501,9 @@ def leaks(
 
 
 _NULL = -(1 << 63)
-_ITEM_KEYS = {"item": pa.int64(), "klass": pa.int32(), "need": pa.int32(), "keys": pa.list_(pa.int64())}
+_ITEM_KEYS = {
+    "item": pa.int64(), "klass": pa.int32(), "need": pa.int32(), "keys": pa.list_(pa.int64()), "pairs": pa.list_(pa.int64()),
+}
 _FOUND = {
     "doc": pa.int64(), "item": pa.int64(), "edits": pa.int32(), "item_words": pa.int32(),
     "first_word": pa.int64(), "passage_words": pa.int32(),

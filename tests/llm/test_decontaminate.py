@@ -189,3 +189,57 @@ def near(item, words):
             if len(part) == n != 6 and any(long[:i] + long[i + 1 :] == short for i in range(len(long))):
                 return True
     return False
+
+
+def test_several_walks_meet_windows_with_an_edit():
+    """An edit lies within the window; some walks read around it, others do not."""
+    reps = decontaminate.repetitions()
+    assert reps > decontaminate.repetitions(0.9) > 1
+    walk, draw, shared = decontaminate.Walks([2], reps), np.random.default_rng(6), []
+    for _ in range(40):
+        item = draw.integers(1, 1 << 62, size=16, dtype=np.int64).view(np.uint64)
+        other = item.copy()
+        other[4] = 7
+        start = {2: np.zeros(1, dtype=np.int64)}
+        shared.append([a[1][0] == b[1][0] for a, b in zip(walk.keys(item, start), walk.keys(other, start), strict=True)])
+        assert len(shared[-1]) == reps
+    assert 0.1 < np.mean(shared) < 0.9 and np.mean(np.any(shared, axis=1)) > 0.9
+
+
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 15, 16, 20, 31, 40, 80])
+def test_walks_agree_as_the_number_of_repetitions_assumes(n):
+    """The share of walks that hit a passage with 20 % edits, evenly spread ones being worst."""
+    klass, most = decontaminate.class_of(n), math.floor(0.2 * n)
+    walk, width = decontaminate.Walks([klass], 24), decontaminate.shape(klass)[0]
+    for kind in ("substitute", "delete", "insert"):
+        hits = []
+        for trial in range(20):
+            draw = random.Random(100 * n + trial)
+            words = [draw.getrandbits(64) for _ in range(n)]
+            body = list(words)
+            for k in reversed(range(most)):
+                place = (k + 1) * (n + 1) // (most + 1) - 1
+                new = [] if kind == "delete" else [draw.getrandbits(64)]
+                body[place : place + (kind != "insert")] = new
+            body = [draw.getrandbits(64) for _ in range(9)] + body + [draw.getrandbits(64) for _ in range(20)]
+
+            def keys(value):
+                at = {klass: np.arange(len(value) - width + 1)}
+                return [set(k.tolist()) for _, k in walk.keys(np.array(value, dtype=np.uint64), at)]
+
+            hits += [bool(x & y) for x, y in zip(keys(words), keys(body), strict=True)]
+        assert np.mean(hits) >= decontaminate.AGREEMENT**decontaminate.SAMPLED, kind
+
+
+def test_all_places_at_once_give_the_lower_half_of_each_key(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_BLOCK", 50)
+    words = np.random.default_rng(3).integers(1 << 62, size=180, dtype=np.int64).view(np.uint64)
+    words[[40, 49, 50, 120, 179]] = 0
+    klasses = [0, 1, 2, 5, *(decontaminate.CLASSES + n for n in (1, 2, 3))]
+    walk = decontaminate.Walks(klasses, 3)
+    seen = 0
+    for kind, rep, first, low in walk.low(words):
+        key = walk.full(words, np.arange(first, first + len(low)), kind, rep)
+        assert (key.astype(np.uint32) == low).all()
+        seen += len(low)
+    assert seen == 180 * (3 * 3 + 3)
