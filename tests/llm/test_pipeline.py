@@ -45,3 +45,23 @@ def test_registered():
 def test_query_equals_sql(spark, name):
     with connect(FOLDER) as con:
         assert difference(queries.queries()[name](spark, FOLDER), con, queries.oracle_sql()[name]) is None
+
+
+def test_decontamination_takes_several_walks(spark, tmp_path, monkeypatch):
+    """The stage drops a passage with an edit in the middle, found by walks that each have keys of their own."""
+    item = "one two three four five six seven eight"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(
+        [(1, f"here is {item.replace('five', 'other')} again"), (2, "eight seven six five four three two one"), (3, None)],
+        "doc_id long, text string",
+    )
+    walks, regions = [], decontaminate.regions
+
+    def seen(rows, table, klasses, reps):
+        walks.append(reps)
+        return regions(rows, table, klasses, reps)
+
+    monkeypatch.setattr(decontaminate, "regions", seen)
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {2, 3}
+    assert walks == [decontaminate.repetitions()] and walks[0] > 1
