@@ -243,3 +243,29 @@ def test_all_places_at_once_give_the_lower_half_of_each_key(monkeypatch):
         assert (key.astype(np.uint32) == low).all()
         seen += len(low)
     assert seen == 180 * (3 * 3 + 3)
+
+
+@pytest.mark.parametrize("places", [(4, 8, 9), (4, 8, 10), (3, 8, 9)])
+def test_close_deletions_are_hit_as_often_as_the_number_of_repetitions_assumes(places):
+    """Shortest items of their class that keep the fewest windows, as whole documents."""
+    reps, draw = decontaminate.repetitions(), np.random.default_rng(places)
+    walk, width = decontaminate.Walks([2], reps), decontaminate.shape(2)[0]
+    hits = []
+    for _ in range(400):
+        item = draw.integers(1, 1 << 62, size=16, dtype=np.int64).view(np.uint64)
+
+        def keys(value):
+            return [set(k.tolist()) for _, k in walk.keys(value, {2: np.arange(len(value) - width + 1)})]
+
+        hits.append([bool(x & y) for x, y in zip(keys(item), keys(np.delete(item, places)), strict=True)])
+    share = np.mean(hits)
+    assert share >= decontaminate.AGREEMENT**decontaminate.SAMPLED
+    assert (1 - share) ** reps <= 1 - decontaminate.TARGET_RECALL
+
+
+def test_flags_in_bytes_are_those_of_the_table():
+    draw = np.random.default_rng(9)
+    table = draw.random(1 << decontaminate.FILTER_BITS) < 0.1
+    key = draw.integers(1 << 32, size=5000, dtype=np.uint32)
+    found = decontaminate._flagged(np.packbits(table), key)
+    assert found.tolist() == [i for i, k in enumerate(key.tolist()) if table[k & int(decontaminate._MASK)]]
